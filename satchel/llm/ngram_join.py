@@ -5,15 +5,16 @@ of these hashes, and the order is cut into fragments (ranges).
 
 Candidates.  If two sets of sizes n and m have a Jaccard similarity of at least t, they differ in at most
 d = (n + m)(1 - t) / (1 + t) shingles.  Sizes fall in classes (horizontal partitioning), and each class cuts the order
-into more than d fragments, so that one fragment at least is equal in both sets.  Sets are grouped by equal fragments.
+into more than d fragments, so that one fragment at least is equal in both sets.  Sets are grouped by equal fragments;
+those that share fewer fragments with others than any of their links would need have no links and leave first.
 
-Overlaps.  Candidate pairs are joined with the fragments of both sets; each fragment's overlap is counted separately
-and the counts are summed per pair; the pair is linked if 100 * overlap >= percent * union.
+Overlaps.  Sets that share equal fragments, directly or through others, form a cluster; clusters are cut into blocks of
+bounded size in the order of set sizes, and each pair of blocks whose sizes allow links is one task.  In a task the
+tokens are cut into fragments again, each fragment's overlaps of all its sets are counted separately (as a product of
+0/1 matrices) and summed per pair; a pair is linked if 100 * overlap >= percent * union.
 
-Copies.  Equal sets are one node.  In a group of near copies not all pairs are needed: in some rounds every set is only
-compared with one set of its groups, linked sets are merged into components, and groups within one component are done.
-At the end all pairs of different components that share a fragment and weren't compared are compared, so no link
-between components is lost, and the components are those of the complete join.
+Copies.  Equal sets are one node.  Pairs live only as matrix entries inside a task; what leaves it is one row per linked
+set with a representative of its component, so groups of near copies aren't expanded and no link is lost.
 
 Defined cases: null text, empty text and text without words have an empty set, no links, and are components of their
 own.  Ties and repeated rows: equal sets are linked; the component's id is its smallest doc_id (null if all are null).
@@ -26,15 +27,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import SPACED, U64, WordHasher, bounded, mixed, pieces, text_bytes, with_fields, written
 
-PARTS = 4  # fragments in which overlaps are counted
+FRAGMENT = 4096  # tokens of a fragment in which overlaps are counted
+BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds so many tokens, each set counting as so many more
 SPREAD = 1.5  # ratio of the bounds of a size class
 BROADCAST_ROWS = 400_000
+PEELS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, width: int) -> list[np.ndarray]:
@@ -84,8 +87,9 @@ class Classes:
         return out
 
 
-def fragment_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """One hash per fragment of the set and class; empty fragments only where the others might be too few."""
+def fragment_keys(s: np.ndarray, classes: Classes) -> list[tuple[np.ndarray, int]]:
+    """By class (one or two): a hash per fragment, empty fragments only where the others might be too few, and how many
+    of them a linked set of that class must have too."""
     out = []
     for c, fragments, differ in classes.of(len(s)):
         f = ((s >> U64(32)) * U64(fragments)) >> U64(32)
@@ -95,8 +99,8 @@ def fragment_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
         if len(starts) <= differ:
             empty = np.setdiff1d(np.arange(fragments, dtype=U64), which)
             which, total = np.concatenate([which, empty]), np.concatenate([total, np.zeros(len(empty), U64)])
-        out.append(mixed(total + mixed(which * U64(1024) + U64(c))))
-    return np.concatenate(out)
+        out.append((mixed(total + mixed(which * U64(1024) + U64(c))), max(1, len(starts) - differ)))
+    return out
 
 
 def set_id(s: np.ndarray) -> int:
@@ -108,139 +112,166 @@ def _signed(values) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
-    """doc_id, text_key, n, sid and the fragment keys of each row."""
-    schema = with_fields(docs.select("doc_id").schema, "text_key long, n long, sid long, keys array<long>")
+    """doc_id, text_key, n, sid of each row; the fragment keys in its first and second class, and how many must be shared."""
+    schema = with_fields(docs.select("doc_id").schema, "text_key long, n long, sid long, keys1 array<long>, keys2 array<long>, need1 int, need2 int")
 
     def rows(batches):
         hasher = WordHasher(SPACED)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            n, sid, keys, ends = [], [], [np.zeros(0, U64)], [0]
+            n, sid, needs, none = [], [], ([], []), (np.zeros(0, U64), 0)
+            keys, ends = ([none[0]], [none[0]]), ([0], [0])
             for a, b in pieces(offsets):
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hasher, width):
                     n.append(len(s))
                     sid.append(set_id(s))
-                    if len(s):
-                        keys.append(fragment_keys(s, classes))
-                        ends.append(ends[-1] + len(keys[-1]))
-                    else:
-                        ends.append(ends[-1])
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(_signed(np.concatenate(keys))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_signed(sid)), lists], schema.fieldNames())
+                    found = [*(fragment_keys(s, classes) if len(s) else ()), none, none]
+                    for k in (0, 1):
+                        keys[k].append(found[k][0])
+                        ends[k].append(ends[k][-1] + len(found[k][0]))
+                        needs[k].append(found[k][1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.array(ends[k], np.int32)), pa.array(_signed(np.concatenate(keys[k])))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_signed(sid)), *lists, *(pa.array(x, pa.int32()) for x in needs)], schema.fieldNames())
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(rows, schema)
 
 
-def _fragments(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """sid, part and the shingles of that part, for the chosen (text_key, doc_id)."""
+def _tokens(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """sid and its sorted shingles, for the chosen (want_key, want_id); a repeated row repeats its set."""
 
     def rows(batches):
         hasher = WordHasher(SPACED)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            sid, part, values, ends = [], [], [np.zeros(0, U64)], [0]
+            sid, raw = [], []
             for a, b in pieces(offsets):
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hasher, width):
-                    cut = np.searchsorted(s, [U64((1 << 64) // PARTS * k) for k in range(PARTS)])
-                    me = set_id(s)
-                    for k in range(PARTS):
-                        sid.append(me)
-                        part.append(k)
-                        values.append(s[cut[k] : cut[k + 1] if k + 1 < PARTS else len(s)])
-                        ends.append(ends[-1] + len(values[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(_signed(np.concatenate(values))))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(sid)), pa.array(part, pa.int32()), lists], ["sid", "part", "shingles"])
+                    sid.append(set_id(s))
+                    raw.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(sid)), pa.array(raw, pa.binary())], ["sid", "shingles"])
 
     keyed = docs.select("text", F.xxhash64("text").alias("text_key"), "doc_id")
     wanted = bounded(chosen, BROADCAST_ROWS)
     found = keyed.join(wanted, (keyed.text_key == wanted.want_key) & keyed.doc_id.eqNullSafe(wanted.want_id), "left_semi").select("text")
-    return found.mapInArrow(rows, "sid long, part int, shingles array<long>").dropDuplicates(["sid", "part"])
+    return found.mapInArrow(rows, "sid long, shingles binary")
+
 
+def linked_in_task(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Links among the sets of left (right None), or between those of left and right, as a boolean matrix over all.
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, summed over fragments, reaches the threshold."""
-    left = fragments.select(F.col("sid").alias("a"), "part", F.col("shingles").alias("x"))
-    right = fragments.select(F.col("sid").alias("b"), "part", F.col("shingles").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+    The order of shingles is cut into fragments; each gives its partial overlaps, which are summed.
+    """
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets])
+    tokens, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[at]
+    keep = shared[at]
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = len(left)
+    rest = slice(0, n) if right is None else slice(n, len(sets))
+    overlap = np.zeros((n, len(sets[rest])), np.float32)
+    for first in range(0, int(shared.sum()), FRAGMENT):
+        part = slice(*np.searchsorted(column, [first, first + FRAGMENT]))
+        x = np.zeros((len(sets), FRAGMENT), np.float32)
+        x[row[part], column[part] - first] = 1
+        overlap += x[:n] @ x[rest].T
+    union = sizes[:n, None] + sizes[None, rest] - overlap
+    links = np.zeros((len(sets), len(sets)), bool)
+    links[:n, rest] = 100 * overlap.astype(np.float64) >= percent * union
+    return links | links.T
+
+
+def roots(links: np.ndarray) -> np.ndarray:
+    """The first member of each row's component in a symmetric boolean matrix."""
+    label = np.arange(len(links))
+    while True:
+        low = np.minimum(label, np.where(links, label[None], len(links)).min(1, initial=len(links)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _compared(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked sets and the representative of their component in a task, of rows (cluster, i, j, block, sid, shingles)."""
 
+    def rows(batches):
+        now, held = None, {}
+
+        def done():
+            i, j = now[1:]
+            sides = [[(s, x) for s, (b, x) in held.items() if b == k] for k in ((i,) if i == j else (i, j))]
+            if not all(sides):
+                return [], []
+            ids = [s for side in sides for s, _ in side]
+            found = roots(linked_in_task([x for _, x in sides[0]], [x for _, x in sides[1]] if i != j else None, percent))
+            far = np.flatnonzero(found != np.arange(len(ids)))
+            return [ids[k] for k in far.tolist()], [ids[k] for k in found[far].tolist()]
 
-def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90, rounds: int = 6) -> DataFrame:
+        for batch in batches:
+            a, b = [], []
+            for cluster, i, j, block, sid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != now:
+                    if held:
+                        more = done()
+                        a += more[0]
+                        b += more[1]
+                    now, held = (cluster, i, j), {}
+                held[sid] = (block, np.frombuffer(raw, U64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], ["a", "b"])
+
+    names = ["cluster", "i", "j", "block", "sid", "shingles"]
+    return tasks.select(*names).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(rows, "a long, b long")
+
+
+def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
+    """(cluster, i, j, block, sid): the tasks in which each set of a cluster (sid, n, cluster) takes part."""
+    ordered = Window.partitionBy("cluster").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, 0)
+    blocked = written(nodes.withColumn("block", F.floor((F.sum(F.col("n") + ROW_TOKENS).over(ordered) - 1) / BLOCK_TOKENS).cast("int")), "blocks")
+    bounds = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = bounds.toDF("cluster", "i", "li", "hi"), bounds.toDF("cluster", "j", "lj", "hj")
+    met = one.join(two, "cluster").where("i <= j").where(F.col("hi") * 100 >= F.col("lj") * percent).select("cluster", "i", "j")
+    sides = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return blocked.join(sides, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid")
+
+
+def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     classes = Classes(percent)
     described = written(_described(docs, width, classes), "sets")
-    sets = written(described.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"), F.count(F.lit(1)).alias("rows")), "distinct")
+    sets = written(described.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"), F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("rows")), "distinct")
     # all rows of a set have equal keys: one of them is enough
     extra = written(described.where("n > 0").join(sets.where("rows > 1").select("sid", "least", F.col("text_key").alias("tk")), "sid").where("not (doc_id <=> least and text_key = tk)").select("doc_id", "text_key").distinct(), "extra")
     hint = bounded(extra.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")), BROADCAST_ROWS)
     one = described.where("n > 0").join(hint, (F.col("text_key") == F.col("x_key")) & F.col("doc_id").eqNullSafe(F.col("x_id")), "left_anti")
-    members = one.select("sid", "n", F.explode("keys").alias("key")).withColumn("low", F.min("sid").over(_by("key"))).withColumn("high", F.max("sid").over(_by("key")))
-    members = written(members.where("low != high").select("key", "sid", "n").distinct(), "members")
-    involved = members.select("sid").distinct().join(sets, "sid").select(F.col("text_key").alias("want_key"), F.col("least").alias("want_id"))
-    fragments = written(_fragments(docs, written(involved, "involved"), width), "fragments")
-
-    component = written(members.select("sid", F.col("sid").alias("c")).distinct(), "component")
-    rows, compared = members.count(), None
-    for turn in range(rounds + 1):
-        if members.isEmpty():
-            break
-        grouped = members.join(component, "sid")
-        last = turn == rounds or _cross_pairs(grouped) <= 4 * rows
-        pairs = _all_pairs(grouped, percent) if last else _some_pairs(grouped, percent, turn)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        if not last:  # one partner for each set is enough in a round
-            pairs = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.xxhash64("a", F.lit(turn))).alias("p")).select("p.a", "b", "p.na", "p.nb")
-        pairs = written(pairs, "pairs")
-        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
-        links = _linked(pairs, fragments, percent)
-        ends = [component.select(F.col("sid").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b")]
-        merged = connected_components(links.join(ends[0], "a").join(ends[1], "b"), "ca", "cb")
-        component = written(component.join(merged, F.col("c") == F.col("node"), "left").select("sid", F.coalesce("component", "c").alias("c")), "component")
-        if last:
-            break
-        grouped = members.join(component, "sid")
-        split = grouped.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-        members = written(members.join(split, "key", "left_semi"), "members")
-    return _answer(described, sets, component)
-
-
-def _cross_pairs(grouped: DataFrame) -> int:
-    """How many pairs of rows of one key are in different components."""
-    each = grouped.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    return each.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) from (s, n, r, m): a < b, and sizes that a link allows."""
-    rows = rows.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    first = F.col("s") < F.col("r")
-    return rows.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("na"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("nb")).distinct()
-
-
-def _some_pairs(grouped: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each set with one set of its group, drawn anew in each turn, if they are in different components."""
-    drawn = grouped.groupBy("key").agg(F.min_by(F.struct("sid", "n", "c"), F.xxhash64("sid", F.lit(turn))).alias("r"))
-    both = grouped.join(drawn, "key").where("c != r.c")
-    return _pairs(both.select(F.col("sid").alias("s"), "n", F.col("r.sid").alias("r"), F.col("r.n").alias("m")), percent)
-
-
-def _all_pairs(grouped: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a group that are in different components."""
-    both = grouped.select("key", F.col("sid").alias("s"), "n", "c").join(grouped.select("key", F.col("sid").alias("r"), F.col("n").alias("m"), F.col("c").alias("rc")), "key")
-    return _pairs(both.where("c < rc"), percent)
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
-def _answer(described: DataFrame, sets: DataFrame, component: DataFrame) -> DataFrame:
-    smallest = component.join(sets, "sid").groupBy("c").agg(F.min("least").alias("small"))
-    mapped = component.join(smallest, "c").select("sid", "small")
+    tagged = F.concat(F.transform("keys1", lambda k: F.struct(k.alias("key"), F.lit(1).cast("byte").alias("of"))), F.transform("keys2", lambda k: F.struct(k.alias("key"), F.lit(2).cast("byte").alias("of"))))
+    same_key = Window.partitionBy("key")
+    keyed = one.select("sid", F.explode(tagged).alias("k")).select("sid", "k.*").withColumn("low", F.min("sid").over(same_key)).withColumn("high", F.max("sid").over(same_key))
+    members = written(keyed.where("low != high").select("key", "of", "sid").distinct(), "members")
+    for _ in range(PEELS):  # a set with too few shared fragments has no link; without it, others may have too few
+        enough = members.groupBy("sid", "of").count().join(sets.select("sid", "need1", "need2"), "sid").where(F.col("count") >= F.when(F.col("of") == 1, F.col("need1")).otherwise(F.col("need2"))).select("sid", "of")
+        members = members.select("key", "of", "sid").join(enough, ["sid", "of"], "left_semi")
+        lone = members.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("key", "low")
+        members = written(members.join(lone, "key").select("key", "of", "sid", "low"), "members")
+    stars = written(members.where("low != sid").select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
+    nodes = connected_components(stars).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    nodes = written(nodes.join(sets, "sid").select("sid", "n", "cluster", F.col("text_key").alias("want_key"), F.col("least").alias("want_id")), "nodes")
+    tasks = written(_tasks(nodes.select("sid", "n", "cluster"), percent), "tasks")
+    tokens = _tokens(docs, nodes.select("want_key", "want_id"), width)
+    edges = written(_compared(tokens.join(bounded(tasks, BROADCAST_ROWS), "sid"), percent), "links")
+    return _answer(described, sets, edges)
+
+
+def _answer(described: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    reached = written(connected_components(edges), "reached")
+    smallest = reached.join(sets, F.col("node") == F.col("sid")).groupBy("component").agg(F.min("least").alias("small"))
+    mapped = reached.join(smallest, "component").select(F.col("node").alias("sid"), "small")
     to = sets.join(mapped, "sid", "left").select("sid", F.coalesce("small", "least").alias("component_id"))
     rows = described.select("doc_id", F.col("n").alias("n_shingles"), "sid")
     return rows.join(to, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
