@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import U64, WordHasher, bounded, mixed, pieces, text_bytes, with_fields, written
+from .shared import U64, WordHasher, light, mixed, pieces, text_bytes, with_fields, written
 
 ANCHOR = 48
-BROADCAST_ROWS = 400_000
 IN_MEMORY = 32 << 20
 SLICE = 8 << 20
+PIECE = 1 << 20
+CUT = np.dtype([("anchor", "<i8"), ("first", "<i4"), ("windows", "<i4"), ("left", "<i4")])
 
 
 class Segmenter:
@@ -105,7 +106,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 # a text beyond SLICE is cut into slices that share length - 1 bytes: each window is in one of them
                 for at in range(int(offsets[a]), max(int(offsets[a]) + 1, int(offsets[b]) - length + 1), SLICE) if b - a == 1 else [int(offsets[a])]:
                     to = min(int(offsets[b]), at + SLICE + length - 1) if b - a == 1 else int(offsets[b])
@@ -208,11 +209,11 @@ def _constructed(open_: DataFrame, length: int, most_bytes: int = 8 << 20) -> Da
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """text_key (xxhash64 of the text) and spans: array of (first, last) starts of repeated windows; only texts that have any."""
+    """text_key (xxhash64 of the text) and spans: runs (first, last) of starts of repeated windows, packed; only texts that have any."""
     texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("text_key"), "doc_id", "text")
     counts = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("one"), F.min(F.octet_length("text")).alias("size"))
     copied = written(counts.where("rows > 1"), "copied")
-    hint = bounded(copied.select(F.col("text_key").alias("ck"), "one"), BROADCAST_ROWS)
+    hint = light(copied.select(F.col("text_key").alias("ck"), "one"))
     # of equal texts one row is cut; their windows repeat anyhow
     once = texts.join(hint, (F.col("text_key") == F.col("ck")) & ~F.col("doc_id").eqNullSafe(F.col("one")), "left_anti")
     w = Window.partitionBy("anchor").orderBy("content")
@@ -222,13 +223,48 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     open_ = met.where("not whole").select("text_key", "anchor", "first", "windows", "left")
     anchors = met.where("not whole").select("anchor").distinct()
     stand = met.where("whole").join(anchors, "anchor", "left_semi").groupBy("anchor", "content").agg(F.min(F.struct("text_key", "first", "windows", "left")).alias("s")).select("s.text_key", "anchor", "s.first", "s.windows", "s.left")
-    wanted = open_.union(stand).groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "windows", "left")).alias("cuts"))
-    wanted = written(wanted, "cuts")
+    wanted = written(_packed(open_.union(stand)), "cuts")
     found = _constructed(_raw(once, wanted, length), length)
     whole = met.where("whole").select("text_key", "first", (F.col("first") + F.col("windows") - 1).cast("int").alias("last"))
     full = copied.select("text_key", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))
-    spans = whole.union(found).union(full).groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return written(spans, "spans")
+    return written(_merged(whole.union(found).union(full)), "spans")
+
+
+def _packed(cuts: DataFrame) -> DataFrame:
+    """text_key and its cuts as one binary of 20 bytes each, so that they stay small in a join."""
+
+    def rows(batches):
+        for batch in batches:
+            packed = []
+            for cuts in batch.column(1).to_pylist():
+                x = np.empty(len(cuts), CUT)
+                for i, c in enumerate(cuts):
+                    x[i] = (c["anchor"], c["first"], c["windows"], c["left"])
+                packed.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["text_key", "cuts"])
+
+    grouped = cuts.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "windows", "left")).alias("cuts"))
+    return grouped.mapInArrow(rows, "text_key long, cuts binary")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """text_key and spans: the runs of (first, last), merged where they touch, as a binary of two int32 each."""
+
+    def rows(batches):
+        for batch in batches:
+            packed = []
+            for spans in batch.column(1).to_pylist():
+                out: list[list[int]] = []
+                for s in sorted((s["first"], s["last"]) for s in spans):
+                    if out and s[0] <= out[-1][1] + 1:
+                        out[-1][1] = max(out[-1][1], s[1])
+                    else:
+                        out.append(list(s))
+                packed.append(np.array(out, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["text_key", "spans"])
+
+    grouped = spans.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return grouped.mapInArrow(rows, "text_key long, spans binary")
 
 
 def _raw(once: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -240,11 +276,11 @@ def _raw(once: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out = []
             for key, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                out += [(c["anchor"], key, c["first"], c["left"], raw[c["first"] : c["first"] + c["windows"] - 1 + length]) for c in cuts]
+                out += [(anchor, key, first, left, raw[first : first + windows - 1 + length]) for anchor, first, windows, left in np.frombuffer(cuts, CUT).tolist()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    joined = once.join(bounded(wanted, BROADCAST_ROWS // 2), "text_key").select("text_key", "text", "cuts")
+    joined = once.join(light(wanted), "text_key").select("text_key", "text", "cuts")
     return joined.mapInArrow(rows, "anchor long, text_key long, first int, left int, raw binary")
 
 
@@ -260,7 +296,7 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
                 raw = (text or "").encode()
                 out, at, cut, parts = [], 0, 0, 0
                 end = -1
-                for s in sorted((s["first"], s["last"] + length) for s in found or ()):
+                for s in [(a, b + length) for a, b in np.frombuffer(found or b"", "<i4").reshape(-1, 2).tolist()]:
                     if s[0] > end:
                         parts += 1
                         out.append(raw[at : s[0]])
@@ -277,7 +313,7 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema.fieldNames())
 
     keyed = docs.select(*keep, "text", F.xxhash64("text").alias("tk"))
-    joined = keyed.join(bounded(spans, BROADCAST_ROWS // 2), F.col("tk") == F.col("text_key"), "left").select(*keep, "text", "spans")
+    joined = keyed.join(light(spans), F.col("tk") == F.col("text_key"), "left").select(*keep, "text", "spans")
     return joined.mapInArrow(rows, schema)
 
 

@@ -150,3 +150,9 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 def bounded(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (it should be written); otherwise df as it is, to be shuffled."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def light(df: DataFrame, most_bytes: int = 24 << 20) -> DataFrame:
+    """A written df with a broadcast hint if its files are small; otherwise df as it is, to be shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes else df
