@@ -1,10 +1,12 @@
 """Training-order materialisation of token ids in binary shards.
 
 Texts become token ids (uint16, or uint32 for larger vocabularies), an end-of-text id and sequences of fixed length,
-the last one of a document padded.  Sequences are numbered densely in the order of the input; a keyed Feistel network
-over the next power of four, cycle-walking back into range, gives each its slot in training order without any sort key
-or permutation table.  A range of slots is a shard: a file of equal strides, so slot s is at byte
-(s % per_shard) * stride of shard s // per_shard, and training reads sequentially and resumes at any slot.
+the last one of a document padded.  A document can't have more tokens than bytes, so the lengths in bytes alone give
+each document a range of candidate numbers; texts are tokenised once.  A keyed Feistel network over the next power of
+four, cycle-walking back into range, permutes these numbers without any sort key or permutation table; a sequence's
+slot is the rank of its permuted number among those that exist.  A range of permuted numbers is a shard: a file of equal
+strides in slot order.  With the counts of the shards (the manifest), slot s is at byte (s - first slot) * stride of its
+shard, and training reads sequentially and resumes at any slot.
 
 The numbering needs two scans of the input in which partitions are equal (a scan of files is); each task checks its
 counts against the first scan's.  Other inputs are written once and scanned from there.
@@ -16,7 +18,9 @@ table gives no shards.
 from __future__ import annotations
 
 import base64
+import bisect
 import importlib.util
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -96,30 +100,21 @@ class Tokenizer:
 
 def shards_written(docs: DataFrame, folder: str, sequence: int = 512, shard_bytes: int = 32 << 20, key: int = 2026, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Write the shards below folder; one row per sequence: doc_id, sequence (its number in the document), slot, shard,
-    byte_offset, n_tokens (without padding)."""
+    byte_offset, n_tokens (without padding).  ``shard_bytes`` is what a shard holds at half a token per byte."""
     tokenizer = tokenizer or Tokenizer()
     if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = written(docs, "order")
     docs = docs.select("doc_id", "text")
 
-    def count(batches):
-        encode, _ = tokenizer.ready()
-        n = rows = 0
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                n += -(-len(encode(text or "")) // sequence)
-                rows += 1
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "rows": [rows], "n": [n]})
-
-    counts = {r.part: (r.rows, r.n) for r in docs.mapInArrow(count, "part long, rows long, n long").collect()}
+    bound = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / sequence) + 1
+    counts = {r.part: (r.rows, r.n) for r in docs.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum(bound).alias("n")).collect()}
     first, total = {}, 0
     for part in sorted(counts):
         first[part] = total
         total += counts[part][1]
-    width = np.dtype(tokenizer.dtype).itemsize
-    stride = sequence * width
-    per_shard = max(1, shard_bytes // stride)
-    shards = max(1, -(-total // per_shard))
+    stride = sequence * np.dtype(tokenizer.dtype).itemsize
+    span = max(1, 2 * shard_bytes // stride)
+    shards = max(1, -(-total // span))
     order = Feistel(max(1, total), key)
 
     def cut(batches):
@@ -127,9 +122,10 @@ def shards_written(docs: DataFrame, folder: str, sequence: int = 512, shard_byte
         part = TaskContext.get().partitionId()
         at, rows = first.get(part, 0), 0
         for batch in batches:
-            ids, numbers, sizes, slots, payload = [], [], [], [], []
+            ids, numbers, sizes, index, payload = [], [], [], [np.zeros(0, np.int64)], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = encode(text or "")
+                text = text or ""
+                tokens = encode(text)
                 n = -(-len(tokens) // sequence)
                 full = np.full(n * sequence, end, tokenizer.dtype)
                 full[: len(tokens)] = tokens
@@ -138,20 +134,21 @@ def shards_written(docs: DataFrame, folder: str, sequence: int = 512, shard_byte
                 sizes += [min(sequence, len(tokens) - i * sequence) for i in range(n)]
                 ids += [doc_id] * n
                 numbers += range(n)
+                index.append(np.arange(at, at + n))
+                at += len(text.encode()) // sequence + 1
                 rows += 1
-            slots = order.slots(np.arange(at, at + len(ids)))
-            at += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int64()), pa.array(slots, pa.int64()), pa.array((slots // per_shard).astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary())], ["doc_id", "sequence", "slot", "shard", "n_tokens", "payload"])
+            places = order.slots(np.concatenate(index))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), pa.array((places // span).astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary())], ["doc_id", "sequence", "place", "shard", "n_tokens", "payload"])
         if (rows, at - first.get(part, 0)) != counts.get(part, (0, 0)):
             raise RuntimeError("the input's partitions differ from those that were counted")
 
-    schema = with_fields(docs.select("doc_id").schema, "sequence long, slot long, shard int, n_tokens int")
+    schema = with_fields(docs.select("doc_id").schema, "sequence long, place long, shard int, n_tokens int")
     payload = docs.mapInArrow(cut, with_fields(schema, "payload binary"))
 
     def write(batches):
         fs, base = store(folder)
         fs.create_dir(base)
-        out, now, expected = None, -1, 0
+        out, now, row = None, -1, 0
         attempt = TaskContext.get().taskAttemptId()
 
         def close():
@@ -160,41 +157,48 @@ def shards_written(docs: DataFrame, folder: str, sequence: int = 512, shard_byte
                 fs.move(f"{base}/.shard-{now:08d}-{attempt}", f"{base}/shard-{now:08d}.bin")
 
         for batch in batches:
-            for shard, slot, raw in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            inside = []
+            for shard, raw in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if shard != now:
                     close()
-                    now, expected = shard, shard * per_shard
+                    now, row = shard, 0
                     out = fs.open_output_stream(f"{base}/.shard-{now:08d}-{attempt}")
-                if slot != expected:
-                    raise RuntimeError(f"slot {expected} is missing or taken twice")
                 out.write(raw)
-                expected += 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:5], schema.fieldNames())
+                inside.append(row)
+                row += 1
+            columns = [*batch.columns[:2], pa.array(inside, pa.int64()), *batch.columns[3:5]]
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
         close()
 
-    placed = payload.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(write, schema)
-    return placed.withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
+    placed = written(payload.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").mapInArrow(write, schema), "placed")
+    held = {r.shard: r[1] for r in placed.groupBy("shard").count().collect()}
+    starts, at = [], 0
+    for shard in range(shards):
+        starts.append((shard, at))
+        at += held.get(shard, 0)
+    fs, base = store(folder)
+    fs.create_dir(base)
+    with fs.open_output_stream(f"{base}/manifest.json") as f:
+        f.write(json.dumps({"sequence": sequence, "dtype": tokenizer.dtype, "starts": [s for _, s in starts], "total": at}).encode())
+    known = docs.sparkSession.createDataFrame(starts, "shard int, start long")
+    return placed.join(F.broadcast(known), "shard").select("doc_id", "sequence", (F.col("start") + F.col("place")).alias("slot"), "shard", (F.col("place") * stride).alias("byte_offset"), "n_tokens")
 
 
-def read_slots(folder: str, start: int, count: int, sequence: int = 512, shard_bytes: int = 32 << 20, dtype: str = "<u2") -> np.ndarray:
+def read_slots(folder: str, start: int, count: int) -> np.ndarray:
     """``count`` sequences in training order from slot ``start`` on (fewer at the end), by sequential reads."""
     fs, base = store(folder)
+    with fs.open_input_file(f"{base}/manifest.json") as f:
+        known = json.loads(f.read())
+    sequence, dtype, starts = known["sequence"], known["dtype"], [*known["starts"], known["total"]]
     stride = sequence * np.dtype(dtype).itemsize
-    per_shard = max(1, shard_bytes // stride)
-    out = []
-    while count > 0:
-        shard, row = divmod(start, per_shard)
-        n = min(count, per_shard - row)
-        path = f"{base}/shard-{shard:08d}.bin"
-        if fs.get_file_info(path).type.name != "File":
-            break
-        with fs.open_input_file(path) as f:
-            raw = f.read_at(n * stride, row * stride)
-        out.append(np.frombuffer(raw, dtype).reshape(-1, sequence))
-        if len(raw) < n * stride:
-            break
+    out = [np.zeros((0, sequence), dtype)]
+    while count > 0 and start < known["total"]:
+        shard = bisect.bisect_right(starts, start) - 1
+        n = min(count, starts[shard + 1] - start)
+        with fs.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
+            out.append(np.frombuffer(f.read_at(n * stride, (start - starts[shard]) * stride), dtype).reshape(-1, sequence))
         start, count = start + n, count - n
-    return np.concatenate(out) if out else np.zeros((0, sequence), dtype)
+    return np.concatenate(out)
 
 
 def training_order(docs: DataFrame, sequence: int = 512) -> DataFrame:

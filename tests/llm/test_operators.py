@@ -257,9 +257,9 @@ def test_training_order(spark, docs, texts, none):
     folder = shared.fresh_path(spark, "shards")
     rows = feistel_shards.shards_written(docs, folder, sequence=64, shard_bytes=64 * 2 * 40).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    data = feistel_shards.read_slots(folder, 0, 10**6, 64, 64 * 2 * 40)
+    data = feistel_shards.read_slots(folder, 0, 10**6)
     assert data.shape == (len(rows), 64)
-    assert (feistel_shards.read_slots(folder, 37, 9, 64, 64 * 2 * 40) == data[37:46]).all()
+    assert (feistel_shards.read_slots(folder, 37, 9) == data[37:46]).all()
     encode, end = feistel_shards.Tokenizer().ready()
     for i, t in enumerate(texts):
         mine = sorted((r.sequence, r.slot, r.n_tokens) for r in rows if r.doc_id == i)
