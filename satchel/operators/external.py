@@ -188,7 +188,8 @@ def auc(rows: DataFrame) -> DataFrame:
 def multilabel(rows: DataFrame, truth: str = "truth", guess: str = "guess") -> DataFrame:
     """13 metrics of 0/1 array columns; terms that aren't defined leave their mean."""
     t, g = F.col(truth), F.col(guess)
-    flags = rows.select(F.monotonically_increasing_id().alias("id"), F.posexplode(F.arrays_zip(t.alias("t"), g.alias("g"))).alias("label", "s")).select("id", "label", F.col("s.t").cast("int").alias("t"), F.col("s.g").cast("int").alias("g"))
+    # numbered before the rows are taken apart
+    flags = rows.withColumn("id", F.monotonically_increasing_id()).select("id", F.posexplode(F.arrays_zip(t.alias("t"), g.alias("g"))).alias("label", "s")).select("id", "label", F.col("s.t").cast("int").alias("t"), F.col("s.g").cast("int").alias("g"))
     tp, fp, fn, tn = (F.sum(((F.col("t") == a) & (F.col("g") == b)).cast("int")) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0)))
 
     def ratio(a, b):

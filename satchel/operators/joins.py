@@ -26,22 +26,23 @@ def _joined(left: DataFrame, right: DataFrame, distance: str, keep, block: int)
     """keep(i, ids of the right block, distances) gives the mask of pairs that leave the group."""
     a, n = _blocked(left, block)
     b, m = _blocked(right, block)
-    a = a.select("bag_idx", "bag", F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"))
-    b = b.select("bag_idx", "bag", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+    # new names throughout: both sides may be one table
+    a = a.select(F.col("bag_idx").alias("i"), F.col("bag").alias("x"), F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"))
+    b = b.select(F.col("bag_idx").alias("j"), F.col("bag").alias("y"), F.col("block").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("r"))
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(y):
-            mats = [np.stack(v).astype(float) for v in y.bag]
+            mats = [np.stack(v).astype(float) for v in y.y]
             stack, starts = np.concatenate(mats), np.cumsum([0, *(len(v) for v in mats[:-1])])
-            ids = y.bag_idx.to_numpy()
-            for i, bag in zip(x.bag_idx, x.bag, strict=True):
+            ids = y.j.to_numpy()
+            for i, bag in zip(x.i, x.x, strict=True):
                 d = kernels.against(distance, np.stack(bag).astype(float), stack, starts)
                 mask = keep(i, ids, d)
                 out.append(pd.DataFrame({"i": i, "j": ids[mask], "d": d[mask]}))
         return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
 
-    return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(compare, "i long, j long, d double")
+    return a.groupBy("p", "q").cogroup(b.groupBy("r", "s")).applyInPandas(compare, "i long, j long, d double")
 
 
 def pair_table(left: DataFrame, right: DataFrame | None = None, distance: str = "maxmin", compat_mirror: bool = False, block: int = BLOCK) -> DataFrame:

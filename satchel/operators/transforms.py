@@ -18,7 +18,7 @@ def attributes(instances: DataFrame) -> DataFrame:
 
 def _arrays(stats: DataFrame, *names: str) -> DataFrame:
     """One row with an array per statistic, in the order of the attributes."""
-    return stats.agg(*(F.transform(F.sort_array(F.collect_list(F.struct("dim", n))), lambda s, n=n: s[n]).alias(f"_{n}") for n in names))
+    return stats.agg(*(F.sort_array(F.collect_list(F.struct("dim", n)))[n].alias(f"_{n}") for n in names))
 
 
 def _with(instances: DataFrame, *names: str) -> DataFrame:
