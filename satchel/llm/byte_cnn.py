@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, text_bytes, with_fields
+from .shared import modest_batches, pieces, text_bytes, with_fields
 
 EMBED, STEP, FILTERS, CHUNK = 6, 4, 24, 512
 HALF = CHUNK // 2 // STEP  # filter positions in half a chunk
@@ -81,7 +81,7 @@ class ByteCNN:
         if self.prior is not None:
             return np.full(len(offsets) - 1, self.prior)
         out = [np.zeros(0)]
-        for a, b in pieces(offsets, 1 << 19):
+        for a, b in pieces(offsets, 1 << 18):
             z = self._forward(data[offsets[a] : offsets[b]], offsets[a : b + 1]).astype(np.float64)
             out.append(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6))  # beyond that, it depends on the batch
         return np.concatenate(out)
@@ -171,6 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs:
 
 def score_quality(docs: DataFrame, model: ByteCNN, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, score and predicted."""
+    modest_batches(docs.sparkSession)
     schema = with_fields(docs.select(*keep).schema, "score double, predicted int")
 
     def score(batches):

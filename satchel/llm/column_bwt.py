@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import U64, WordHasher, light, mixed, pieces, text_bytes, with_fields, written
+from .shared import U64, WordHasher, light, mixed, modest_batches, pieces, text_bytes, with_fields, written
 
 ANCHOR = 48
 IN_MEMORY = 32 << 20
@@ -210,6 +210,7 @@ def _constructed(open_: DataFrame, length: int, most_bytes: int = 8 << 20) -> Da
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """text_key (xxhash64 of the text) and spans: runs (first, last) of starts of repeated windows, packed; only texts that have any."""
+    modest_batches(docs.sparkSession)
     texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("text_key"), "doc_id", "text")
     counts = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("one"), F.min(F.octet_length("text")).alias("size"))
     copied = written(counts.where("rows > 1"), "copied")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, fresh_path, mixed, store, with_fields, written
+from .shared import U64, fresh_path, mixed, modest_batches, store, with_fields, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -101,6 +101,7 @@ class Tokenizer:
 def shards_written(docs: DataFrame, folder: str, sequence: int = 512, shard_bytes: int = 32 << 20, key: int = 2026, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Write the shards below folder; one row per sequence: doc_id, sequence (its number in the document), slot, shard,
     byte_offset, n_tokens (without padding).  ``shard_bytes`` is what a shard holds at half a token per byte."""
+    modest_batches(docs.sparkSession)
     tokenizer = tokenizer or Tokenizer()
     if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = written(docs, "order")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SPACED, U64, WordHasher, bounded, mixed, pieces, text_bytes, with_fields, written
+from .shared import SPACED, U64, WordHasher, bounded, mixed, modest_batches, pieces, text_bytes, with_fields, written
 
 FRAGMENT = 4096  # tokens of a fragment in which overlaps are counted
 BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds so many tokens, each set counting as so many more
@@ -243,6 +243,7 @@ def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
 
 def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     classes = Classes(percent)
     described = written(_described(docs, width, classes), "sets")
     sets = written(described.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"), F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("rows")), "distinct")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_cnn import fold
-from .shared import with_fields
+from .shared import modest_batches, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -108,6 +108,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, severity (expected grade), grade (most thresholds passed with 0.5 or more), score (P of grade 1
     or more), predicted (1 if score >= 0.5)."""
+    modest_batches(docs.sparkSession)
     model = fit_toxicity(docs, labels, fold() != 1)
     schema = with_fields(docs.select("doc_id").schema, "severity double, grade int, score double, predicted int")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_fields, written
+from .shared import modest_batches, with_fields, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "secret", "number", "written_email")
@@ -210,6 +210,7 @@ def span_classifier(keys: list[str], counts: np.ndarray, post: np.ndarray, ridge
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidate spans (kind number, start, end, holds, key), by start, then kind."""
+    modest_batches(docs.sparkSession)
     schema = with_fields(docs.select("doc_id").schema, "spans array<struct<kind:int,start:int,end:int,holds:boolean,key:string>>")
     item = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("holds", pa.bool_()), ("key", pa.string())]))
 

@@ -57,6 +57,13 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: hand Python workers at most so many rows at once (a setting of the session)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,7 +86,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges (from, to) of rows whose bytes together stay near ``most``; one row at least."""
     at, n = 0, len(offsets) - 1
     while at < n:

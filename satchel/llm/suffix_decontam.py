@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U64, WordHasher, mixed, pieces, text_bytes, with_fields
+from .shared import ALNUM, U64, WordHasher, mixed, modest_batches, pieces, text_bytes, with_fields
 
 FIRST = 3  # words of a suffix that must occur in the benchmark for its position to enter the array
 SLOTS = 1 << 22
@@ -168,15 +168,17 @@ def _blocks(benchmark: DataFrame, window: int, block_items: int, block_chars: in
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 20_000, block_chars: int = 4_000_000) -> DataFrame:
     """All columns of docs, and decon_words (int), decon_hit (words inside occurring windows), decon_longest (longest run
     of hit words), decon_items (item ids sorted as strings) and decon_matches (first word, last word, item)."""
+    modest_batches(docs.sparkSession)
     names = docs.columns
     if any(n.startswith("decon_") for n in names):
         raise ValueError("columns named decon_* are taken")
     match = "array<struct<first:int,last:int,item:string>>"
     carried = docs.withColumn("decon_words", F.lit(0)).withColumn("decon_matches", F.array().cast(match))
     text_at, schema = names.index("text"), carried.schema
+    final = with_fields(schema, "decon_hit int, decon_longest int, decon_items array<string>")
     match_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 
-    def passed(block: Block):
+    def passed(block: Block, last: bool):
         def rows(batches):
             hasher = _Hasher()
             for batch in batches:
@@ -189,32 +191,33 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                         matches[a + d].append({"first": p, "last": p + n - 1, "item": block.ids[i]})
                 kept = [batch.column(k) for k in range(len(names))]
                 total = np.concatenate(words) if words else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(total.astype(np.int32)), pa.array(matches, match_type)], [*names, "decon_words", "decon_matches"])
+                columns = [*kept, pa.array(total.astype(np.int32)), pa.array(matches, match_type)]
+                yield pa.RecordBatch.from_arrays(columns + summed(matches) if last else columns, (final if last else schema).fieldNames())
 
         return rows
 
+    def summed(rows: list[list[dict]]) -> list[pa.Array]:
+        hit, longest, items = [], [], []
+        for matches in rows:
+            total = best = 0
+            begin = last = -2
+            for m in sorted(matches, key=lambda m: m["first"]):
+                if m["first"] > last + 1:
+                    begin = m["first"]
+                total += max(0, m["last"] - max(last, m["first"] - 1))
+                last = max(last, m["last"])
+                best = max(best, last - begin + 1)
+            hit.append(total)
+            longest.append(best)
+            items.append(sorted({m["item"] for m in matches}))
+        return [pa.array(hit, pa.int32()), pa.array(longest, pa.int32()), pa.array(items, pa.list_(pa.string()))]
+
+    before = None
     for block in _blocks(benchmark, window, block_items, block_chars):
-        carried = carried.mapInArrow(passed(block), schema)
-    final = with_fields(schema, "decon_hit int, decon_longest int, decon_items array<string>")
-
-    def ends(batches):
-        for batch in batches:
-            hit, longest, items = [], [], []
-            for matches in batch.column(len(names) + 1).to_pylist():
-                total = best = 0
-                begin = last = -2
-                for m in sorted(matches, key=lambda m: m["first"]):
-                    if m["first"] > last + 1:
-                        begin = m["first"]
-                    total += max(0, m["last"] - max(last, m["first"] - 1))
-                    last = max(last, m["last"])
-                    best = max(best, last - begin + 1)
-                hit.append(total)
-                longest.append(best)
-                items.append(sorted({m["item"] for m in matches}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.int32()), pa.array(longest, pa.int32()), pa.array(items, pa.list_(pa.string()))], final.fieldNames())
-
-    return carried.mapInArrow(ends, final)
+        if before is not None:
+            carried = carried.mapInArrow(passed(before, False), schema)
+        before = block
+    return carried.mapInArrow(passed(before, True), final)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, store, written
+from .shared import fresh_path, modest_batches, store, written
 
 BLOCK_LINES = 1000
 MAGIC = b"2LCI"
@@ -86,6 +86,7 @@ def _attempt_name(prefix: str, suffix: str) -> str:
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """Write the archives of pages (page_id, url, html); the captures (url_key, record_id, file, offset, length)."""
+    modest_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit(""))
     known = pages.select("page_id", F.col("url"), payload.alias("html"), url_key(F.col("url")).alias("url_key"), F.unhex(F.sha1(payload)).alias("sha"))
     groups = known.where(F.octet_length("html") >= revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n")
