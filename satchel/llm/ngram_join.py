@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SPACED, U64, WordHasher, bounded, mixed, modest_batches, pieces, text_bytes, with_fields, written
+from .shared import MADE, SPACED, U64, WordHasher, bounded, forget, mixed, modest_batches, pieces, text_bytes, with_fields, written
 
 FRAGMENT = 4096  # tokens of a fragment in which overlaps are counted
 BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds so many tokens, each set counting as so many more
@@ -283,7 +283,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Rows without words are all kept.  Of repeated rows with that doc_id one is kept; without any doc_id, one row.
     """
+    since = len(MADE)
     found = components_by_similarity(docs.select("doc_id", "text"), width, percent)
     stay = written(found.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("n")).select("doc_id", "n"), "stay")
+    forget(docs.sparkSession, since)
     kept = docs.join(bounded(stay.select(F.col("doc_id").alias("stay_id")), 4 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
     return kept

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U64 = np.uint64
+#: Paths of the tables that written() has made and nothing has removed.
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a short lineage that outlives any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +67,14 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def forget(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the written tables from number ``since`` on, but for the last ``keep``."""
+    gone = MADE[since : len(MADE) - keep]
+    for path in gone:
+        removed(spark, path)
+    MADE[since : len(MADE) - keep] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
