@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,9 +140,9 @@ def run(spark: SparkSession, problem: Problem, algorithm: str = "SGE", n: int =
     return pop
 
 
-def chc(spark: SparkSession, problem: Problem, length: int, n: int = 40, generations: int = 20, seed: int = 1, survivors: int = 1) -> DataFrame:
+def chc(spark: SparkSession, problem: Problem, length: int, n: int = 40, generations: int = 20, seed: int = 1, survivors: int = 1, improve: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """CHC: pairs mate if they differ in more than 2d loci (HUX); the best of parents and children stay; without a change
-    d falls, and below 0 the population restarts around its survivors."""
+    d falls, and below 0 the population restarts around its survivors.  improve: change children before they are rated."""
     pop, d = saved(evaluated(problem, problem.create(spark, n, seed))), length // 4
     for g in range(1, generations + 1):
         s = seed * 1_000_003 + 17 * g
@@ -152,7 +150,8 @@ def chc(spark: SparkSession, problem: Problem, length: int, n: int = 40, generat
         pairs = P.pairs(pop.withColumn("slot", order)).where(hamming(F.col("a"), F.col("b")) / 2 > d)
         sons = V.half_uniform(F.col("a"), F.col("b"), draw_array(s, F.lit(length), F.col("pair")))
         rows = pairs.select("pair", F.posexplode(F.array(*sons)).alias("side", "genotype"))
-        children = evaluated(problem, rows.select((F.lit(g * 10 * n) + F.col("pair") * 2 + F.col("side")).cast("long").alias("ind_id"), "genotype", F.lit(None).cast("double").alias("fitness")))
+        sired = rows.select((F.lit(g * 10 * n) + F.col("pair") * 2 + F.col("side")).cast("long").alias("ind_id"), "genotype", F.lit(None).cast("double").alias("fitness"))
+        children = evaluated(problem, sired if improve is None else improve(saved(sired), s))
         after = saved(_sorted(pop.unionByName(children), problem.maximise).limit(n))
         if after.join(pop.select("ind_id"), "ind_id", "left_anti").isEmpty():
             d -= 1
@@ -195,54 +194,3 @@ def spea2(spark: SparkSession, problem: Problem, n: int = 40, archive: int = 20,
             children = offspring(problem, P.chosen(kept, P.tournament(kept, drawn, maximise=False)), s, (g + 1) * 10 * n).drop("fitness")
             pop = saved(problem.evaluate(children).select("ind_id", "genotype", "objectives"))
     return kept
-
-
-# Clustering problems: a label per bag, rated by the fast within-cluster variation
-
-
-def clustering_problem(bags: DataFrame, k: int, p_locus: float = 0.05) -> Problem:
-    """Genotype: a label per bag, in the order of bag_idx; fitness (minimised) from bag means: all individuals of a
-    generation are rated by one aggregation keyed by individual."""
-    order = [r[0] for r in bags.select("bag_idx").orderBy("bag_idx").collect()]
-    place = bags.sparkSession.createDataFrame(list(zip(order, range(len(order)), strict=True)), "bag_idx long, locus int")
-    from ..functions.columns import bag_mean, total
-
-    q = saved(bags.join(F.broadcast(place), "bag_idx").select("locus", total(F.transform(bag_mean(F.col("bag")), lambda v: v * v)).alias("q")))
-
-    def evaluate(pop: DataFrame) -> DataFrame:
-        flat = pop.select("ind_id", F.posexplode("genotype").alias("locus", "c")).join(q, "locus")
-        per = flat.groupBy("ind_id", "c").agg(F.sum("q").alias("s"), F.count("q").alias("n")).groupBy("ind_id").agg((F.sum("s") - F.sum(F.col("s") / F.col("n"))).alias("fitness"))
-        return pop.join(per, "ind_id").select("ind_id", "genotype", "fitness")
-
-    return integer_problem(len(order), 0, k, evaluate, maximise=False, p_locus=p_locus)
-
-
-def kmeans_operator(pop: DataFrame, bags: DataFrame) -> DataFrame:
-    """One k-means step on every individual: each bag mean to the nearest mean centroid of the individual's clusters."""
-    rows = bags.orderBy("bag_idx").select("bag").collect()
-    means = np.array([np.asarray(r.bag, float).mean(0) for r in rows])  # one per bag of a genotype
-
-    def step(batches):
-        for pdf in batches:
-            out = []
-            for g in pdf.genotype:
-                g = np.asarray(g)
-                c = np.array([means[g == k].mean(0) if (g == k).any() else np.full(means.shape[1], np.inf) for k in range(g.max() + 1)])
-                out.append(((means[:, None] - c[None]) ** 2).sum(2).argmin(1).astype(int).tolist())
-            yield pd.DataFrame({"ind_id": pdf.ind_id, "genotype": out, "fitness": None})
-
-    return pop.mapInPandas(step, "ind_id long, genotype array<int>, fitness double")
-
-
-def migka(bags: DataFrame, k: int = 2, n: int = 20, generations: int = 5, seed: int = 1) -> DataFrame:
-    """Genetic k-means: elitist, mutation then a k-means step, no crossover."""
-    spark, problem = bags.sparkSession, clustering_problem(bags, k)
-    problem.cross = lambda a, b, seed, key: (a, b)
-    problem.p_mutate = 1.0
-    pop = saved(evaluated(problem, problem.create(spark, n, seed)))
-    for g in range(1, generations + 1):
-        s = seed * 1_000_003 + 17 * g
-        children = kmeans_operator(offspring(problem, _parents(problem, pop, n, s), s, g * 10 * n), bags)
-        both = evaluated(problem, children).unionByName(_sorted(pop, False).limit(1))
-        pop = saved(_sorted(both, False).limit(n))
-    return pop

@@ -1,4 +1,7 @@
-"""Internal validity indices of an assignment (bag_idx, cluster) of bags (bag_idx, bag, label)."""
+"""Internal validity indices of an assignment (bag_idx, cluster) of bags (bag_idx, bag, label).
+
+``by`` names further key columns: one row per key, so that all assignments of a population are rated by one plan.
+"""
 
 from __future__ import annotations
 
@@ -30,40 +33,41 @@ def centroid_distances(bags: DataFrame, clusters: DataFrame, distance: str = "ma
     return pair_table(c, None, distance)
 
 
-def twcv(own: DataFrame) -> DataFrame:
+def twcv(own: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sum of squared distances to own centroids; ``own`` is to_own_centroid."""
-    return own.agg(F.sum(F.col("d") * F.col("d")).alias("twcv"))
+    return own.groupBy(*by).agg(F.sum(F.col("d") * F.col("d")).alias("twcv"))
 
 
-def rmsstd(own: DataFrame, dimensions: int) -> DataFrame:
-    per = own.groupBy("cluster").agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("d").alias("n"))
-    return per.agg(F.sqrt(F.try_divide(F.sum("s"), dimensions * F.sum(F.col("n") - 1))).alias("rmsstd"))
+def rmsstd(own: DataFrame, dimensions: int, by: tuple[str, ...] = ()) -> DataFrame:
+    per = own.groupBy(*by, "cluster").agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("d").alias("n"))
+    return per.groupBy(*by).agg(F.sqrt(F.try_divide(F.sum("s"), dimensions * F.sum(F.col("n") - 1))).alias("rmsstd"))
 
 
-def xie_beni(own: DataFrame, between: DataFrame) -> DataFrame:
-    per = own.groupBy("cluster").agg((F.sum(F.col("d") * F.col("d")) / F.count("d")).alias("s"), F.count("d").alias("n")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    least = between.where("i < j").agg(F.min(F.col("d") * F.col("d")).alias("m"))
-    return per.join(least).select(F.try_divide("s", F.col("n") * F.col("m")).alias("xie_beni"))  # one row each
+def xie_beni(own: DataFrame, between: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    per = own.groupBy(*by, "cluster").agg((F.sum(F.col("d") * F.col("d")) / F.count("d")).alias("s"), F.count("d").alias("n")).groupBy(*by).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    least = between.where("i < j").groupBy(*by).agg(F.min(F.col("d") * F.col("d")).alias("m"))
+    both = per.join(least, list(by), "left") if by else per.join(least)  # without keys one row each
+    return both.select(*by, F.try_divide("s", F.col("n") * F.col("m")).alias("xie_beni"))
 
 
-def davies_bouldin(own: DataFrame, between: DataFrame) -> DataFrame:
+def davies_bouldin(own: DataFrame, between: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over i of max_j (S_i + S_j) / min_j d(i, j), maximum and minimum taken apart."""
-    s = own.groupBy("cluster").agg(F.avg("d").alias("s"))
-    rows = between.join(s.toDF("i", "si"), "i").join(s.toDF("j", "sj"), "j")
-    return rows.groupBy("i").agg(F.try_divide(F.max(F.col("si") + F.col("sj")), F.min("d")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    s = own.groupBy(*by, "cluster").agg(F.avg("d").alias("s"))
+    rows = between.join(s.toDF(*by, "i", "si"), [*by, "i"]).join(s.toDF(*by, "j", "sj"), [*by, "j"])
+    return rows.groupBy(*by, "i").agg(F.try_divide(F.max(F.col("si") + F.col("sj")), F.min("d")).alias("r")).groupBy(*by).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette_values(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+def silhouette_values(pairs: DataFrame, clusters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """bag_idx, cluster, a, b, s: own cluster divided by n - 1, others by n; s is 0 for a cluster of one."""
-    c = clusters.where("cluster >= 0").select("bag_idx", "cluster")
-    rows = pairs.join(c.toDF("i", "ci"), "i").join(c.toDF("j", "cj"), "j").groupBy("i", "ci", "cj").agg(F.avg("d").alias("d"))
-    rows = rows.groupBy(F.col("i").alias("bag_idx"), F.col("ci").alias("cluster")).agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
+    c = clusters.where("cluster >= 0").select(*by, "bag_idx", "cluster")
+    rows = pairs.join(c.toDF(*by, "i", "ci"), "i").join(c.toDF(*by, "j", "cj"), [*by, "j"]).groupBy(*by, "i", "ci", "cj").agg(F.avg("d").alias("d"))
+    rows = rows.groupBy(*by, F.col("i").alias("bag_idx"), F.col("ci").alias("cluster")).agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     s = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return rows.withColumn("s", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(s, F.lit(0.0))))
 
 
-def silhouette(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    return silhouette_values(pairs, clusters).agg(F.coalesce(F.avg("s"), F.lit(-1.0)).alias("silhouette"))
+def silhouette(pairs: DataFrame, clusters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return silhouette_values(pairs, clusters, by).groupBy(*by).agg(F.coalesce(F.avg("s"), F.lit(-1.0)).alias("silhouette"))
 
 
 def s_dbw(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
@@ -90,11 +94,11 @@ def s_dbw(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> Dat
     return bags.sparkSession.createDataFrame([(float(scat), float(dens), float(scat + dens))], "scat double, dens double, s_dbw double")
 
 
-def ftwcv(bags: DataFrame, clusters: DataFrame) -> DataFrame:
+def ftwcv(bags: DataFrame, clusters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sum of squared norms of bag means, less per cluster that sum divided by its size."""
-    q = bags.join(clusters.where("cluster >= 0").select("bag_idx", "cluster"), "bag_idx").select("cluster", total(F.transform(bag_mean(F.col("bag")), lambda v: v * v)).alias("q"))
-    per = q.groupBy("cluster").agg(F.sum("q").alias("s"), F.count("q").alias("n"))
-    return per.agg((F.sum("s") - F.sum(F.col("s") / F.col("n"))).alias("ftwcv"))
+    q = bags.join(clusters.where("cluster >= 0").select(*by, "bag_idx", "cluster"), "bag_idx").select(*by, "cluster", total(F.transform(bag_mean(F.col("bag")), lambda v: v * v)).alias("q"))
+    per = q.groupBy(*by, "cluster").agg(F.sum("q").alias("s"), F.count("q").alias("n"))
+    return per.groupBy(*by).agg((F.sum("s") - F.sum(F.col("s") / F.col("n"))).alias("ftwcv"))
 
 
 def ftwcv_fitness(scores: DataFrame) -> DataFrame:
@@ -103,18 +107,19 @@ def ftwcv_fitness(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(e)).select("ind_id", F.when(F.col("complete"), 1.5 * F.col("_max") - F.col("f")).otherwise(F.col("_min")).alias("fitness"))
 
 
-def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Density-based validity: each cluster's spanning tree of mutual reachability against the gap to other clusters.
 
     Noise (negative clusters) counts in the weights only.  The tree is built per cluster from its edges.
     """
     d = bags.select(F.size(F.col("bag")[0])).first()[0]
-    total_n = clusters.count()
-    c = clusters.where("cluster >= 0").select("bag_idx", "cluster")
-    inside = pairs.join(c.toDF("i", "ci"), "i").join(c.toDF("j", "cj"), "j")
+    types = dict(clusters.dtypes)
+    every = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_every"))
+    c = clusters.where("cluster >= 0").select(*by, "bag_idx", "cluster")
+    inside = pairs.join(c.toDF(*by, "i", "ci"), "i").join(c.toDF(*by, "j", "cj"), [*by, "j"])
     own = inside.where("ci = cj")
-    core = own.groupBy("i").agg(F.pow(F.sum(F.pow(1 / F.greatest("d", F.lit(1e-12)), F.lit(float(d)))) / F.count("d"), F.lit(-1.0 / d)).alias("core"))
-    reach = inside.join(core.toDF("i", "ki"), "i").join(core.toDF("j", "kj"), "j").withColumn("r", F.greatest("d", "ki", "kj"))
+    core = own.groupBy(*by, "i").agg(F.pow(F.sum(F.pow(1 / F.greatest("d", F.lit(1e-12)), F.lit(float(d)))) / F.count("d"), F.lit(-1.0 / d)).alias("core"))
+    reach = inside.join(core.toDF(*by, "i", "ki"), [*by, "i"]).join(core.toDF(*by, "j", "kj"), [*by, "j"]).withColumn("r", F.greatest("d", "ki", "kj"))
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "i", "j"])
@@ -132,16 +137,16 @@ def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame) -> DataFrame:
             if a != b:
                 to[a] = b
                 longest = max(longest, float(r))
-        return pd.DataFrame({"cluster": [int(pdf.ci.iloc[0])], "sparse": [longest]})
-
-    sparse = reach.where("ci = cj and i < j").groupBy("ci").applyInPandas(lambda pdf: tree(pdf), "cluster int, sparse double")
-    gap = reach.where("ci != cj").groupBy(F.col("ci").alias("cluster")).agg(F.min("r").alias("gap"))
-    n = c.groupBy("cluster").agg(F.count("bag_idx").alias("n"))
-    v = n.join(sparse, "cluster", "left").join(gap, "cluster", "left")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "cluster": [int(pdf.ci.iloc[0])], "sparse": [longest]})
+
+    shape = ", ".join([*(f"{k} {types[k]}" for k in by), "cluster int, sparse double"])
+    sparse = reach.where("ci = cj and i < j").groupBy(*by, "ci").applyInPandas(lambda pdf: tree(pdf), shape)
+    gap = reach.where("ci != cj").groupBy(*by, F.col("ci").alias("cluster")).agg(F.min("r").alias("gap"))
+    n = c.groupBy(*by, "cluster").agg(F.count("bag_idx").alias("n"))
+    v = n.join(sparse, [*by, "cluster"], "left").join(gap, [*by, "cluster"], "left")
+    v = v.join(every, list(by)) if by else v.join(F.broadcast(every))  # without keys one row
     value = F.coalesce(F.try_divide(F.col("gap") - F.col("sparse"), F.greatest("gap", "sparse")), F.lit(0.0))
-    return v.agg((F.sum(value * F.col("n")) / total_n).alias("dbcv"))
-
-
+    return v.groupBy(*by).agg((F.sum(value * F.col("n") / F.col("_every"))).alias("dbcv"))
 
 
 def full_evaluation(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> dict[str, float]:

@@ -193,3 +193,24 @@ class Grammar:
         low, high = {"expand": (now + 1, most - self.size(tree) + now), "reduce": (1, now - 1)}.get(kind, (1, most - self.size(tree) + now))
         sizes = [k for k in range(max(1, low), high + 1) if self.count(s, k)]
         return self._put(tree, p, self.derive(g.choice(sizes), seed + 1, s)) if sizes else tree
+
+
+# Several trees per individual: an operator on one of them (drawn, or named by its index), or on all
+
+
+def lifted_pair(operator: Callable, a: list, b: list, seed: int, index: int | None = None) -> tuple[list, list]:
+    """operator(x, y, seed) -> (x, y) on the trees at one place of both individuals."""
+    at = random.Random(seed).randrange(min(len(a), len(b))) if index is None else index
+    x, y = operator(a[at], b[at], seed)
+    return [*a[:at], x, *a[at + 1 :]], [*b[:at], y, *b[at + 1 :]]
+
+
+def lifted(operator: Callable, trees: list, seed: int, index: int | None = None, every: bool = False) -> list:
+    """operator(x, seed) -> x on one tree, or with ``every`` on each with a seed of its own."""
+    at = random.Random(seed).randrange(len(trees)) if index is None else index
+    return [operator(t, seed + i) if every or i == at else t for i, t in enumerate(trees)]
+
+
+def exchanged(a: list, b: list, seed: int, index: int | None = None) -> tuple[list, list]:
+    """Whole trees at one place change sides."""
+    return lifted_pair(lambda x, y, _: (y, x), a, b, seed, index)

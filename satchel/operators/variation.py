@@ -177,6 +177,19 @@ def non_uniform(g: Column, us: Column, vs: Column, low: float, high: float, gene
     return _real(g, us, vs, p, low, high, new)
 
 
+def mixed_non_uniform(g: Column, us: Column, vs: Column, generation: int, most: int, b: float = 5.0, p: float = 0.05) -> Column:
+    """non_uniform over mixed_domains: real loci move freely, the others to the nearest whole number."""
+    e = (1 - generation / most) ** b
+
+    def change(s: Column, i: Column) -> Column:
+        x, high = s["g"], F.when((i == 10) | (i == 11), 4.0).otherwise(1.0)
+        part = 1 - F.pow(F.greatest(_digit(s["v"], 1), F.lit(1e-300)), F.lit(e))
+        y = F.when(_digit(s["v"], 99) < 0.5, x - x * part).otherwise(x + (high - x) * part)
+        return F.when(s["u"] < p, F.when(i < 10, y).otherwise(F.round(y))).otherwise(x)
+
+    return F.transform(F.arrays_zip(g.alias("g"), us.alias("u"), vs.alias("v")), change)
+
+
 def mixed_domains(length: int) -> list[tuple[float, float]]:
     """Ten real loci in [0, 1], two of five ways, the rest of two ways."""
     return [(0.0, 1.0) if i < 10 else (0.0, 4.0) if i < 12 else (0.0, 1.0) for i in range(length)]

@@ -212,11 +212,6 @@ def test_multiobjective(spark):
     assert evolution.spea2(spark, problem, 8, 4, 1).count() == 4
 
 
-def test_clustering_by_evolution(blobs):
-    found = evolution.migka(blobs, 3, n=6, generations=2)
-    assert found.count() == 6 and found.agg(F.min("fitness")).first()[0] is not None
-
-
 def test_programs(spark):
     df = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
     assert df.select(programs.column(["+", "a", "*", "b", "4"])).first()[0] == 14
