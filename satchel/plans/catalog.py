@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import centres, clusterers, external, indices, joins, multiobjective, population, transforms, variation
+from ..operators import centres, clusterers, evoclusters, external, indices, joins, multiobjective, population, transforms, variation
 from ..operators.lineage import saved
 from ..sources import views
 
@@ -42,6 +42,26 @@ def medoid_assignment(spark, d):
     return bags, joins.assign_nearest(bags, held, "maxmin")
 
 
+RULES = (2, 3, 4)  # individuals of the population queries: bag_idx % rule
+RATED = {"population_rmsstd": "rmssd", "population_silhouette": "silhouette", "population_davies_bouldin": "db", "population_xie_beni": "xb", "population_twcv": "twcv", "population_s_dbw": "sdbw"}
+
+
+def population_rated(metric, name):
+    """One metric of several assignments by one plan."""
+
+    def query(spark, d):
+        bags = vec(spark, d)
+        labels = bags.select("bag_idx", F.explode(F.array(*[F.lit(t) for t in RULES])).alias("ind_id"))
+        labels = labels.select(F.col("ind_id").cast("long"), "bag_idx", (F.col("bag_idx") % F.col("ind_id")).cast("int").alias("cluster"))
+        return rounded(evoclusters.Space(bags, max(RULES)).rated(labels, metric).withColumnRenamed("fitness", name))
+
+    return query
+
+
+def evolved(run):
+    return lambda s, d: rounded(run(vec(s, d), n=4, generations=1))
+
+
 # SQL pieces
 
 VEC = "inst as (select vec_id // 5 as bag, vec_id as ord, list_transform(embedding, lambda v: v::double) as x from embeddings), lab as (select vec_id // 5 as bag, arg_min(label, vec_id) as label from embeddings group by 1)"
@@ -243,6 +263,8 @@ def queries():
     }
     for kind in ("boltzmann", "disruptive", "linear_rank", "nonlinear_rank", "sigma"):
         q[f"weights_{kind}"] = _weighted(kind)
+    q |= {name: population_rated(metric, name.removeprefix("population_")) for name, metric in RATED.items()}
+    q |= {f"evolve_{name.lower()}": evolved(run) for name, run in evoclusters.ALGORITHMS.items()}
     return q
 
 
@@ -368,4 +390,9 @@ def oracle_sql():
         "weights_nonlinear_rank": weighted("0.3 * pow(0.7::double, k)"),
         "weights_sigma": weighted("case when s = 0 then 1 else greatest(1 + (fitness - m) / (2 * s), 0) end"),
     }
+    for name in RATED:
+        value = name.removeprefix("population_")
+        # the SQL of one assignment, with its number of clusters (3, and 6 ordered pairs) replaced
+        each = [out[value].replace("% 3", f"% {t}").replace("/ 3", f"/ {t}").replace("/ 6", f"/ {t * (t - 1)}") for t in RULES]
+        out[name] = " union all ".join(f"select {t}::bigint as ind_id, {value} from ({sql})" for t, sql in zip(RULES, each, strict=True))
     return out
