@@ -8,6 +8,8 @@ every window of 200 bytes the least hash of a 48-byte string marks an anchor, an
 form a segment (at most 352 bytes).  Equal windows have their anchor at the same place, so they can only meet among
 segments whose anchors are equal; those are a collection, aligned at the anchor.  Segments that are equal as a whole
 repeat as a whole and need no construction; anchors that occur once can't repeat.
+Collections with too many different segments are split by longer common strings, each window into one part, so that no
+task holds more than a bounded number of them.
 
 Construction.  Round by round, from the last column to the first, one symbol of each segment is put before its suffix:
 the Burrows-Wheeler column in the order so far is sorted stably, which is the order of the longer suffixes, and the
@@ -30,7 +32,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import U64, WordHasher, light, mixed, modest_batches, pieces, text_bytes, with_fields, written
@@ -39,6 +41,7 @@ ANCHOR = 48
 IN_MEMORY = 32 << 20
 SLICE = 8 << 20
 PIECE = 1 << 20
+CROWD = 16_384  # different segments of a collection, at most about 6 MB
 CUT = np.dtype([("anchor", "<i8"), ("first", "<i4"), ("windows", "<i4"), ("left", "<i4")])
 
 
@@ -208,8 +211,9 @@ def _constructed(open_: DataFrame, length: int, most_bytes: int = 8 << 20) -> Da
     return ready.mapInArrow(rows, "text_key long, first int, last int")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """text_key (xxhash64 of the text) and spans: runs (first, last) of starts of repeated windows, packed; only texts that have any."""
+def repeated_spans(docs: DataFrame, length: int = 200, most: int = CROWD) -> DataFrame:
+    """text_key (xxhash64 of the text) and spans: runs (first, last) of starts of repeated windows, packed; only texts that
+    have any.  Collections of more than ``most`` different segments are split before they are constructed."""
     modest_batches(docs.sparkSession)
     texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("text_key"), "doc_id", "text")
     counts = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("one"), F.min(F.octet_length("text")).alias("size"))
@@ -217,20 +221,74 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     hint = light(copied.select(F.col("text_key").alias("ck"), "one"))
     # of equal texts one row is cut; their windows repeat anyhow
     once = texts.join(hint, (F.col("text_key") == F.col("ck")) & ~F.col("doc_id").eqNullSafe(F.col("one")), "left_anti")
-    w = Window.partitionBy("anchor").orderBy("content")
-    seen = _segments(once, length).withColumn("p", F.lag("content").over(w)).withColumn("q", F.lead("content").over(w))
-    met = written(seen.where("p is not null or q is not null").withColumn("whole", F.coalesce(F.col("p") == F.col("content"), F.lit(False)) | F.coalesce(F.col("q") == F.col("content"), F.lit(False))).drop("p", "q"), "met")
-    # an anchor whose segments are all equal needs no construction; of equal segments one takes part
-    open_ = met.where("not whole").select("text_key", "anchor", "first", "windows", "left")
-    anchors = met.where("not whole").select("anchor").distinct()
-    stand = met.where("whole").join(anchors, "anchor", "left_semi").groupBy("anchor", "content").agg(F.min(F.struct("text_key", "first", "windows", "left")).alias("s")).select("s.text_key", "anchor", "s.first", "s.windows", "s.left")
-    wanted = written(_packed(open_.union(stand)), "cuts")
-    found = _constructed(_raw(once, wanted, length), length)
-    whole = met.where("whole").select("text_key", "first", (F.col("first") + F.col("windows") - 1).cast("int").alias("last"))
+    segments = written(_segments(once, length), "segments")
+    # an anchor that occurs once can't repeat; one whose segments are all equal needs no construction
+    anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike"))
+    anchors = written(anchors.where("n > 1").select("anchor", "alike"), "anchors")
+    met = written(segments.join(light(anchors), "anchor"), "met")
+    # of equal segments one takes part
+    distinct = met.where("not alike").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "windows", "left")).alias("s"))
+    distinct = written(distinct.select("anchor", "content", "n", "s.*"), "contents")
+    twice = light(written(distinct.where("n > 1").select("anchor", "content"), "twice"))
+    whole = met.where("alike").select("text_key", "first", "windows").union(met.where("not alike").join(twice, ["anchor", "content"], "left_semi").select("text_key", "first", "windows"))
+    crowded = light(written(distinct.groupBy("anchor").count().where(F.col("count") > most).select("anchor"), "crowded"))
+    columns = ("text_key", "anchor", "first", "windows", "left")
+    calm = written(_packed(distinct.join(crowded, "anchor", "left_anti").select(*columns)), "cuts")
+    found = _constructed(_raw(once, calm, length), length)
+    if not crowded.isEmpty():
+        hot = written(_packed(distinct.join(crowded, "anchor", "left_semi").select(*columns)), "cuts")
+        found = found.union(_split(_raw(once, hot, length), length, most))
+    whole = whole.select("text_key", "first", (F.col("first") + F.col("windows") - 1).cast("int").alias("last"))
     full = copied.select("text_key", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))
     return written(_merged(whole.union(found).union(full)), "spans")
 
 
+def _halves(parts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Each part's windows that reach half of the missing bytes or more before the common string, and the others, which
+    reach far behind it: two parts with longer common strings, by which their new collections are named."""
+    common = F.lit(anchor) + F.col("before") + F.col("after")
+    more = F.floor((F.lit(length) - common + 1) / 2).cast("int")
+    start, last = F.col("left") - F.col("before"), F.col("windows") - 1
+
+    def half(low, high, ahead, behind):
+        key = F.xxhash64("anchor", ahead, F.substring("raw", start - ahead + 1, common + ahead + behind))
+        raw = F.substring("raw", low + 1, high - low + length)
+        return F.struct(key.alias("anchor"), "text_key", (F.col("first") + low).alias("first"), (high - low + 1).alias("windows"), (F.col("left") - low).alias("left"), (F.col("before") + ahead).alias("before"), (F.col("after") + behind).alias("after"), raw.alias("raw"))
+
+    zero = F.lit(0)
+    both = F.array(half(zero, F.least(last, start - more), more, zero), half(F.greatest(zero, start - more + 1), last, zero, F.lit(length) - common - more + 1))
+    return parts.select(F.explode(both).alias("h")).select("h.*").where("windows > 0")
+
+
+def _split(raw: DataFrame, length: int, most: int) -> DataFrame:
+    """text_key, first, last: runs of repeated windows among the segments of crowded anchors.
+
+    Such a collection is split by longer common strings until none holds more than ``most`` different segments, so no
+    task gets more.  Every window is in one part at each level; after at most nine levels a part is a single window.
+    """
+    anchor, found = min(ANCHOR, length), []
+    zero = F.lit(0)
+    parts = raw.withColumns({"windows": F.octet_length("raw") - length + 1, "before": zero, "after": zero})
+    run = ("text_key", "first", (F.col("first") + F.col("windows") - 1).cast("int").alias("last"))
+    while True:
+        parts = written(_halves(parts, length, anchor).withColumn("content", F.xxhash64("raw", "left")), "halves")
+        distinct = parts.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first")).alias("one"))
+        distinct = written(distinct, "contents")
+        twice = light(written(distinct.where("n > 1").select("anchor", "content"), "twice"))
+        found.append(parts.join(twice, ["anchor", "content"], "left_semi").select(*run))
+        several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        stand = light(written(distinct.join(several, "anchor").select("anchor", "content", "one", (F.col("k") > most).alias("crowded")), "stand"))
+        left = parts.join(stand, ["anchor", "content"]).where(F.struct("text_key", "first") == F.col("one")).drop("one")
+        found.append(_constructed(left.where("not crowded"), length))
+        parts = left.where("crowded").drop("crowded", "content")
+        if stand.where("crowded").isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def _packed(cuts: DataFrame) -> DataFrame:
     """text_key and its cuts as one binary of 20 bytes each, so that they stay small in a join."""
 
@@ -285,9 +343,9 @@ def _raw(once: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(rows, "anchor long, text_key long, first int, left int, raw binary")
 
 
-def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), most: int = CROWD) -> DataFrame:
     """The columns ``keep``, n_bytes, n_removed, n_spans and kept (binary: the bytes that remain)."""
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, most)
     schema = with_fields(docs.select(*keep).schema, "n_bytes long, n_removed long, n_spans long, kept binary")
 
     def rows(batches):

@@ -181,6 +181,44 @@ def test_column_bwt(docs, texts, none):
     assert column_bwt.repeats_report(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_column_bwt_splits_crowded_collections(spark, most):
+    g = random.Random(8)
+    letters = lambda n: "".join(g.choices("abcdefgh", k=n))
+    line, near = letters(90), letters(199)
+    sides = [letters(150) for _ in range(3)]
+    texts = [g.choice(sides)[g.randint(0, 60) :] + line + g.choice(sides)[: g.randint(60, 150)] for _ in range(25)]
+    texts += [letters(g.randint(0, 40)) + near + letters(g.randint(0, 40)) for _ in range(25)]
+    texts += [letters(70) + line + letters(70) for _ in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = column_bwt.brute_force(texts)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in column_bwt.without_repeats(rows, most=most).collect()}
+    assert found == {i: w[:3] for i, w in enumerate(want)}
+    assert 0 < sum(w[1] for w in want) < sum(w[0] for w in want)
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_ngram_join_large_clusters(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
+    g = random.Random(9)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(g.randint(0, 4)):
+            w[g.randrange(len(w))] = f"x{g.randrange(30)}"
+        texts.append(" ".join(w[: g.randint(120, 200)]))
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in map(str.split, texts)]
+    to = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= percent * len(a | b):
+                    to[i] = to[j] = min(to[i], to[j])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components_by_similarity(rows, width, percent).collect()}
+    assert found == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, to, strict=True))}
+
+
 def test_column_bwt_slices_and_spool(docs, texts, monkeypatch):
     monkeypatch.setattr(column_bwt, "IN_MEMORY", 64)
     strings = [b"abcdefgh", b"xbcdefg", b"zzzzzzzz", b"bcdefghi"]
