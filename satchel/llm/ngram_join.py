@@ -9,7 +9,7 @@ into more than d fragments, so that one fragment at least is equal in both sets.
 those that share fewer fragments with others than any of their links would need have no links and leave first.
 
 Overlaps.  Sets that share equal fragments, directly or through others, form a cluster; clusters are cut into blocks of
-bounded size in the order of set sizes, and each pair of blocks whose sizes allow links is one task.  In a task the
+bounded size by bands of set sizes and by hashes, and each pair of blocks whose sizes allow links is one task.  In a task the
 tokens are cut into fragments again, each fragment's overlaps of all its sets are counted separately (as a product of
 0/1 matrices) and summed per pair; a pair is linked if 100 * overlap >= percent * union.
 
@@ -27,14 +27,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import MADE, SPACED, U64, WordHasher, bounded, forget, mixed, modest_batches, pieces, text_bytes, with_fields, written
 
 FRAGMENT = 4096  # tokens of a fragment in which overlaps are counted
-BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds so many tokens, each set counting as so many more
+BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds about so many tokens, each set counting as so many more
+BAND = 1.25  # ratio of set sizes in a band of a large cluster
 SPREAD = 1.5  # ratio of the bounds of a size class
 BROADCAST_ROWS = 400_000
 PEELS = 2
@@ -232,8 +233,14 @@ def _compared(tasks: DataFrame, percent: int) -> DataFrame:
 
 def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
     """(cluster, i, j, block, sid): the tasks in which each set of a cluster (sid, n, cluster) takes part."""
-    ordered = Window.partitionBy("cluster").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, 0)
-    blocked = written(nodes.withColumn("block", F.floor((F.sum(F.col("n") + ROW_TOKENS).over(ordered) - 1) / BLOCK_TOKENS).cast("int")), "blocks")
+    size = F.col("n") + ROW_TOKENS
+    whole = nodes.groupBy("cluster").agg((F.sum(size) > BLOCK_TOKENS).alias("large"))
+    # a large cluster is cut into bands of set sizes, and a large band by hashes; no task needs to see a cluster's rows in order
+    banded = nodes.join(whole, "cluster").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n")) / math.log(BAND)) + 1).otherwise(0).cast("long")).drop("large")
+    banded = written(banded, "bands")
+    cuts = banded.groupBy("cluster", "band").agg(F.ceil(F.sum(size) / BLOCK_TOKENS).alias("cuts"))
+    part = F.pmod(F.xxhash64("sid"), F.col("cuts"))
+    blocked = written(banded.join(cuts, ["cluster", "band"]).select("sid", "n", "cluster", F.shiftleft("band", 32).bitwiseOR(part).alias("block")), "blocks")
     bounds = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = bounds.toDF("cluster", "i", "li", "hi"), bounds.toDF("cluster", "j", "lj", "hj")
     met = one.join(two, "cluster").where("i <= j").where(F.col("hi") * 100 >= F.col("lj") * percent).select("cluster", "i", "j")
@@ -252,9 +259,9 @@ def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90)
     hint = bounded(extra.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")), BROADCAST_ROWS)
     one = described.where("n > 0").join(hint, (F.col("text_key") == F.col("x_key")) & F.col("doc_id").eqNullSafe(F.col("x_id")), "left_anti")
     tagged = F.concat(F.transform("keys1", lambda k: F.struct(k.alias("key"), F.lit(1).cast("byte").alias("of"))), F.transform("keys2", lambda k: F.struct(k.alias("key"), F.lit(2).cast("byte").alias("of"))))
-    same_key = Window.partitionBy("key")
-    keyed = one.select("sid", F.explode(tagged).alias("k")).select("sid", "k.*").withColumn("low", F.min("sid").over(same_key)).withColumn("high", F.max("sid").over(same_key))
-    members = written(keyed.where("low != high").select("key", "of", "sid").distinct(), "members")
+    keyed = one.select("sid", F.explode(tagged).alias("k")).select("sid", "k.*")
+    several = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("key")
+    members = written(keyed.join(several, "key").select("key", "of", "sid").distinct(), "members")
     for _ in range(PEELS):  # a set with too few shared fragments has no link; without it, others may have too few
         enough = members.groupBy("sid", "of").count().join(sets.select("sid", "need1", "need2"), "sid").where(F.col("count") >= F.when(F.col("of") == 1, F.col("need1")).otherwise(F.col("need2"))).select("sid", "of")
         members = members.select("key", "of", "sid").join(enough, ["sid", "of"], "left_semi")
