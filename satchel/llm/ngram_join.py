@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import MADE, SPACED, U64, WordHasher, bounded, forget, mixed, modest_batches, pieces, text_bytes, with_fields, written
+from .shared import MADE, SPACED, U64, WordHasher, bounded, forget, light, mixed, modest_batches, pieces, text_bytes, with_fields, written
 
 FRAGMENT = 4096  # tokens of a fragment in which overlaps are counted
 BLOCK_TOKENS, ROW_TOKENS = 1 << 20, 512  # a block holds about so many tokens, each set counting as so many more
@@ -261,7 +261,7 @@ def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90)
     tagged = F.concat(F.transform("keys1", lambda k: F.struct(k.alias("key"), F.lit(1).cast("byte").alias("of"))), F.transform("keys2", lambda k: F.struct(k.alias("key"), F.lit(2).cast("byte").alias("of"))))
     keyed = one.select("sid", F.explode(tagged).alias("k")).select("sid", "k.*")
     several = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("key")
-    members = written(keyed.join(several, "key").select("key", "of", "sid").distinct(), "members")
+    members = written(keyed.join(light(written(several, "several")), "key").select("key", "of", "sid").distinct(), "members")
     for _ in range(PEELS):  # a set with too few shared fragments has no link; without it, others may have too few
         enough = members.groupBy("sid", "of").count().join(sets.select("sid", "need1", "need2"), "sid").where(F.col("count") >= F.when(F.col("of") == 1, F.col("need1")).otherwise(F.col("need2"))).select("sid", "of")
         members = members.select("key", "of", "sid").join(enough, ["sid", "of"], "left_semi")
