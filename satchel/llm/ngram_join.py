@@ -253,7 +253,10 @@ def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90)
     modest_batches(docs.sparkSession)
     classes = Classes(percent)
     described = written(_described(docs, width, classes), "sets")
-    sets = written(described.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"), F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("rows")), "distinct")
+    # one row of the set stands for it: both fields come from the same aggregate, and a null doc_id is the last choice
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("least"), "text_key")).alias("first")
+    sets = described.where("n > 0").groupBy("sid", "n").agg(first, F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("rows"))
+    sets = written(sets.select("sid", "n", "first.least", "first.text_key", "need1", "need2", "rows"), "distinct")
     # all rows of a set have equal keys: one of them is enough
     extra = written(described.where("n > 0").join(sets.where("rows > 1").select("sid", "least", F.col("text_key").alias("tk")), "sid").where("not (doc_id <=> least and text_key = tk)").select("doc_id", "text_key").distinct(), "extra")
     hint = bounded(extra.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")), BROADCAST_ROWS)

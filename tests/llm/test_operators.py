@@ -82,6 +82,14 @@ def test_ngram_join_repeated_and_null_ids(spark, none):
     assert ngram_join.components_by_similarity(none).count() == 0
 
 
+def test_ngram_join_null_id_in_another_case(spark):
+    w = [f"w{i}" for i in range(40)]
+    text, near = " ".join(w), " ".join([*w[:-1], "x"])
+    rows = spark.createDataFrame([(None, text.upper()), (4, text), (7, near), (None, near.replace(" ", "  ")), (9, "other words here")], "doc_id long, text string")
+    found = sorted(map(tuple, ngram_join.components_by_similarity(rows).collect()), key=str)
+    assert found == sorted([(None, 38, 4), (4, 38, 4), (7, 38, 4), (None, 38, 4), (9, 1, 9)], key=str)
+
+
 def test_classes_hold_the_pigeonhole():
     g = np.random.Generator(np.random.PCG64(3))
     for percent in (80, 90):
