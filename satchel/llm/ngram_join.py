@@ -248,15 +248,16 @@ def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
     return blocked.join(sides, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid")
 
 
-def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows of docs (doc_id, text), their distinct sets, and (node, component) of the sets with links."""
     modest_batches(docs.sparkSession)
     classes = Classes(percent)
     described = written(_described(docs, width, classes), "sets")
-    # one row of the set stands for it: both fields come from the same aggregate, and a null doc_id is the last choice
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("least"), "text_key")).alias("first")
-    sets = described.where("n > 0").groupBy("sid", "n").agg(first, F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("rows"))
-    sets = written(sets.select("sid", "n", "first.least", "first.text_key", "need1", "need2", "rows"), "distinct")
+    # one row of the set stands for it: its fields come from the same aggregate, and a null doc_id is the last choice; copies repeat it
+    same = described.where("n > 0").groupBy("sid", "n", "doc_id", "text_key").agg(F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("least"), "text_key", "copies")).alias("first")
+    sets = same.groupBy("sid", "n").agg(first, F.first("need1").alias("need1"), F.first("need2").alias("need2"), F.sum("copies").alias("rows"))
+    sets = written(sets.select("sid", "n", "first.least", "first.text_key", "first.copies", "need1", "need2", "rows"), "distinct")
     # all rows of a set have equal keys: one of them is enough
     extra = written(described.where("n > 0").join(sets.where("rows > 1").select("sid", "least", F.col("text_key").alias("tk")), "sid").where("not (doc_id <=> least and text_key = tk)").select("doc_id", "text_key").distinct(), "extra")
     hint = bounded(extra.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")), BROADCAST_ROWS)
@@ -276,11 +277,12 @@ def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90)
     tasks = written(_tasks(nodes.select("sid", "n", "cluster"), percent), "tasks")
     tokens = _tokens(docs, nodes.select("want_key", "want_id"), width)
     edges = written(_compared(tokens.join(bounded(tasks, BROADCAST_ROWS), "sid"), percent), "links")
-    return _answer(described, sets, edges)
+    return described, sets, written(connected_components(edges), "reached")
 
 
-def _answer(described: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    reached = written(connected_components(edges), "reached")
+def components_by_similarity(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    described, sets, reached = _linked(docs, width, percent)
     smallest = reached.join(sets, F.col("node") == F.col("sid")).groupBy("component").agg(F.min("least").alias("small"))
     mapped = reached.join(smallest, "component").select(F.col("node").alias("sid"), "small")
     to = sets.join(mapped, "sid", "left").select("sid", F.coalesce("small", "least").alias("component_id"))
@@ -291,11 +293,23 @@ def _answer(described: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFram
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component is kept: that whose doc_id is the component's.
 
-    Rows without words are all kept.  Of repeated rows with that doc_id one is kept; without any doc_id, one row.
+    Rows without words are all kept.  Of several rows with that doc_id one is kept; without any doc_id, one row.
     """
     since = len(MADE)
-    found = components_by_similarity(docs.select("doc_id", "text"), width, percent)
-    stay = written(found.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("n")).select("doc_id", "n"), "stay")
+    described, sets, reached = _linked(docs.select("doc_id", "text"), width, percent)
+    # components are told apart by a set of theirs, as a doc_id (or null) can be in several
+    of = sets.join(reached.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "text_key", "copies")).alias("first"))
+    wordless = described.where("n = 0").select("doc_id", "text_key", F.lit(False)).distinct()
+    stay = written(first.select(F.col("first.least").alias("stay_id"), F.col("first.text_key").alias("stay_key"), (F.col("first.copies") > 1).alias("repeated")).union(wordless), "stay")
     forget(docs.sparkSession, since)
-    kept = docs.join(bounded(stay.select(F.col("doc_id").alias("stay_id")), 4 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return kept
+
+    def chosen(of: DataFrame) -> DataFrame:
+        of = bounded(of, 4 * BROADCAST_ROWS)
+        return docs.join(of, (F.xxhash64(docs["text"]) == of["stay_key"]) & docs["doc_id"].eqNullSafe(of["stay_id"]), "left_semi")
+
+    kept, repeated = chosen(stay.where("not repeated")), stay.where("repeated")
+    if repeated.isEmpty():
+        return kept
+    one = chosen(repeated).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.union(one.select("row.*"))

@@ -90,6 +90,21 @@ def test_ngram_join_null_id_in_another_case(spark):
     assert found == sorted([(None, 38, 4), (4, 38, 4), (7, 38, 4), (None, 38, 4), (9, 1, 9)], key=str)
 
 
+def test_one_of_each_keeps_one_row(spark):
+    w = [f"w{i}" for i in range(40)]
+    text, near, far = " ".join(w), " ".join([*w[:-1], "x"]), "quite another text of its own"
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, near, "a"), (2, far, "a"), (None, near, "a"), (None, text, "a")]
+    rows += [(None, "no id at all", "a"), (None, "No id  at all", "a"), (None, "no id at all", "a"), (None, "", "a"), (None, "", "a"), (3, None, "a"), (3, "lone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    unnamed = [r for r in found if r[0] is None and r[1]]
+    assert len(unnamed) == 1 and unnamed[0][1].lower().split() == ["no", "id", "at", "all"]
+    named = sorted((r for r in found if r not in unnamed), key=str)
+    assert named == sorted([(1, text, "a"), (2, far, "a"), (None, "", "a"), (None, "", "a"), (3, None, "a"), (3, "lone", None)], key=str)
+
+
 def test_classes_hold_the_pigeonhole():
     g = np.random.Generator(np.random.PCG64(3))
     for percent in (80, 90):
