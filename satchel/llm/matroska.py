@@ -17,6 +17,7 @@ import struct
 import zlib
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -263,6 +264,11 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, with_fields(docs.select("doc_id").schema, "n_bytes long, media binary"))
 
 
+def level(payload: bytes) -> int:
+    """The mean of all bytes, rounded down."""
+    return int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)) // max(1, len(payload))
+
+
 def media_features(docs: DataFrame) -> DataFrame:
     """Per document: the payload read back from its Matroska bytes, digests, and features of the packet table."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -275,8 +281,7 @@ def media_features(docs: DataFrame) -> DataFrame:
                 found = parse(raw)
                 view = memoryview(raw)
                 payload = b"".join(view[p.start : p.end] for p in found.packets)
-                loud = sum(payload[i] for i in range(0, len(payload), 64)) // max(1, len(payload) // 64)
-                feature = f"{found.tracks.get(1, '')};packets={len(found.packets)};blocks={len({(p.cluster, p.block) for p in found.packets})};clusters={len(found.cues)};ms={len(found.packets) * TICK_NS // 1_000_000};level={loud}"
+                feature = f"{found.tracks.get(1, '')};packets={len(found.packets)};blocks={len({(p.cluster, p.block) for p in found.packets})};clusters={len(found.cues)};ms={len(found.packets) * TICK_NS // 1_000_000};level={level(payload)}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -272,6 +272,13 @@ def test_matroska_round_trip(spark, docs, texts, none):
     assert matroska.media_features(none).count() == 0
 
 
+def test_matroska_level_is_of_all_bytes():
+    payload = bytearray(576)
+    payload[1:64] = b"\xff" * 63
+    assert matroska.level(bytes(payload)) == 63 * 255 // 576
+    assert matroska.level(b"\xff" * 576) == 255 and matroska.level(b"") == 0
+
+
 def test_matroska_unknown_sizes():
     block = b"\xa3\x85\x81\x00\x00\x80A"
     data = matroska._HEADER + b"\x18\x53\x80\x67" + b"\x01" + b"\xff" * 7 + matroska._TRACKS + b"\x1f\x43\xb6\x75\xff" + b"\xe7\x81\x02" + block + b"\x1f\x43\xb6\x75\xff" + b"\xe7\x81\x03" + block
