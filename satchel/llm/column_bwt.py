@@ -15,30 +15,34 @@ Construction.  Round by round, from the last column to the first, one symbol of
 the Burrows-Wheeler column in the order so far is sorted stably, which is the order of the longer suffixes, and the
 common prefixes of neighbours grow by one where their symbols agree (else they are 0), over the least common prefix
 between their old places.  A segment's suffix that has at least ``length`` symbols in common with a neighbour is a
-window that repeats.  The columns lie in one file that is written once and read backwards in sequence; only the order
-and the common prefixes are in memory.
+window that repeats.  The columns of a large construction lie in a file of the shared folder that is written in sequence,
+last column first, and read once in the same order; then only the order and the common prefixes are in memory.
 
-Texts are equal by their 64-bit hash and length; windows are compared symbol by symbol within collections.
+Texts are equal by 128 bits (MD5), segments of one anchor by 64 bits of a hash of their 48-byte strings; windows are
+compared symbol by symbol within collections.
 
 Defined cases: null text counts as empty; texts under ``length`` bytes lose nothing; repeated rows of a text of at
-least ``length`` bytes lose all of it, in every row; ties don't occur; an empty table gives an empty table; matches
-never cross documents.  Columns other than doc_id and text don't matter.
+least ``length`` bytes lose all of it, in every row, and only one of the rows is cut; ties don't occur; an empty table
+gives an empty table; matches never cross documents.  A long text is cut in slices.  Columns other than doc_id and text
+don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, WordHasher, light, mixed, modest_batches, pieces, text_bytes, with_fields, written
+from .shared import U64, light, looked_up, mixed, modest_batches, pieces, removed_file, shared_dir, store, text_bytes, unused, with_fields, written
 
 ANCHOR = 48
-IN_MEMORY = 32 << 20
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+IN_MEMORY = 64 << 20  # bytes of columns; beyond them, a file of the shared folder holds them
+GROUP = 4 << 20  # bytes of columns that are written or read at once
 SLICE = 8 << 20
 PIECE = 1 << 20
 CROWD = 16_384  # different segments of a collection, at most about 6 MB
@@ -61,7 +65,7 @@ class Segmenter:
             return empty
         if len(self.up) < n:
             m = max(n, 1 << 16)
-            for name, base in (("up", WordHasher.BASE), ("down", WordHasher.INVERSE)):
+            for name, base in (("up", BASE), ("down", INVERSE)):
                 steps = np.full(m, base, U64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
@@ -95,7 +99,12 @@ class Segmenter:
         stop = np.flatnonzero(np.append(new | ~valid, True))
         last = stop[np.searchsorted(stop, first, "right")] - 1
         to = last + self.length
-        content = mixed((total[to] - total[first]) * self.down[first] + (to - first).astype(U64) * U64(0xD6E8FEB86659FD93))
+        # of all strings of the anchor's length that cover it, without gaps: no sum of powers over a longer string
+        content = mixed(grams[to - self.anchor] + (to - first).astype(U64) * U64(0xD6E8FEB86659FD93))
+        for j in range(int((to - first).max()) // self.anchor):
+            at = first + j * self.anchor
+            inside = at + self.anchor <= to
+            content[inside] = mixed(content[inside] + grams[at[inside]])
         doc = np.searchsorted(offsets - offsets[0], first, "right") - 1
         return doc, first, last, place[first], grams[place[first]], content
 
@@ -108,7 +117,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
         cut = Segmenter(length)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0)
             for a, b in pieces(offsets, PIECE):
                 # a text beyond SLICE is cut into slices that share length - 1 bytes: each window is in one of them
                 for at in range(int(offsets[a]), max(int(offsets[a]) + 1, int(offsets[b]) - length + 1), SLICE) if b - a == 1 else [int(offsets[a])]:
@@ -116,36 +125,57 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                     bounds = np.clip(offsets[a : b + 1], at, to)
                     doc, first, last, place, anchor, content = cut(data[at:to], bounds)
                     shift = at - offsets[a:b][doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc], pa.int64()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array((first + shift).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc + a)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array((first + shift).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], names)
 
-    return docs.select("text_key", "text").mapInArrow(rows, "text_key long, anchor long, content long, first int, windows int, left int")
+    return docs.select("text_key", "text").mapInArrow(rows, "text_key binary, anchor long, content long, first int, windows int, left int")
 
 
-def repeated_windows(strings: list[bytes], left: np.ndarray, length: int) -> np.ndarray:
+def _columns(strings: list[bytes], left: np.ndarray, before: int, width: int, folder: str | None):
+    """The columns of aligned strings from the last to the first: 1 + byte, or 0 where a string has none.
+
+    They are made in groups of columns; if there are many, the groups are written one after another to a file of the
+    shared folder and read back in that order.
+    """
+    m, sizes = len(strings), np.array([len(s) for s in strings])
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    at_once = max(1, GROUP // (2 * m))
+
+    def groups():
+        for last in range(width, 0, -at_once):
+            first = max(0, last - at_once)
+            place = np.arange(first, last)[:, None] - (before - left)[None]
+            inside = (place >= 0) & (place < sizes[None])
+            yield np.where(inside, flat[np.where(inside, starts[None] + place, 0)].astype(np.int16) + 1, np.int16(0))
+
+    if folder is None or 2 * m * width <= IN_MEMORY:
+        for group in groups():
+            yield from group[::-1]
+        return
+    name = f"{folder}/columns-{uuid.uuid4().hex}"
+    fs, path = store(name)
+    heights = []
+    try:
+        with fs.open_output_stream(path, compression=None) as f:
+            for group in groups():
+                heights.append(len(group))
+                f.write(np.ascontiguousarray(group[::-1]).tobytes())
+        with fs.open_input_stream(path, compression=None) as f:
+            for n in heights:
+                yield from np.frombuffer(f.read(2 * n * m), np.int16).reshape(n, m)
+    finally:
+        removed_file(name)
+
+
+def repeated_windows(strings: list[bytes], left: np.ndarray, length: int, folder: str | None = None) -> np.ndarray:
     """Of strings aligned at their anchors (``left`` bytes before it): (string, offset) of windows that occur twice."""
     m = len(strings)
-    sizes = np.array([len(s) for s in strings])
-    before, after = int(left.max()), int((sizes - left).max())
-    width = before + after
-    spool = None
-    if m * width > IN_MEMORY:
-        spool = tempfile.TemporaryFile()
-        columns = np.memmap(spool, np.int16, "w+", shape=(width, m))
-    else:
-        columns = np.empty((width, m), np.int16)
-    step = max(1, IN_MEMORY // (4 * width))
-    for a in range(0, m, step):  # symbols are 1 + byte; 0 where a string has none
-        b = min(m, a + step)
-        part = np.zeros((b - a, width), np.int16)
-        flat = np.frombuffer(b"".join(strings[a:b]), np.uint8).astype(np.int16) + 1
-        row = np.repeat(np.arange(b - a), sizes[a:b])
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b]) + np.repeat(before - left[a:b], sizes[a:b])
-        part[row, col] = flat
-        columns[:, a:b] = part.T
+    before = int(left.max())
+    width = before + int((np.array([len(s) for s in strings]) - left).max())
     order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: with the string before, in order
     found = []
-    for c in range(width - 1, -1, -1):
-        symbol = np.asarray(columns[c])[order]
+    for c, column in zip(range(width - 1, -1, -1), _columns(strings, left, before, width, folder), strict=True):
+        symbol = column[order]
         move = np.argsort(symbol, kind="stable")
         sorted_symbol = symbol[move]
         same = np.zeros(m, bool)
@@ -166,9 +196,6 @@ def repeated_windows(strings: list[bytes], left: np.ndarray, length: int) -> np.
         if hit.any():
             s = order[hit]
             found.append(np.stack([s, c - (before - left[s])], 1))
-    if spool is not None:
-        del columns
-        spool.close()
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
@@ -183,18 +210,19 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 def _constructed(open_: DataFrame, length: int, most_bytes: int = 8 << 20) -> DataFrame:
     """text_key, first, last: runs of repeated windows among segments (anchor, text_key, first, left, raw)."""
     names = ["text_key", "first", "last"]
+    folder = shared_dir(open_.sparkSession)
 
     def rows(batches):
         held: list[tuple] = []
         size, now = 0, None
 
         def done():
-            hits = repeated_windows([h[3] for h in held], np.array([h[2] for h in held]), length)
+            hits = repeated_windows([h[3] for h in held], np.array([h[2] for h in held]), length, folder)
             hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
             cut = np.searchsorted(hits[:, 0], np.arange(len(held) + 1))
             out = [(held[i][0], held[i][1] + a, held[i][1] + b) for i in np.unique(hits[:, 0]).tolist() for a, b in _runs(hits[cut[i] : cut[i + 1], 1])]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names)
 
         for batch in batches:
             for anchor, key, first, left, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -208,29 +236,58 @@ def _constructed(open_: DataFrame, length: int, most_bytes: int = 8 << 20) -> Da
             yield done()
 
     ready = open_.select("anchor", "text_key", "first", "left", "raw").repartition("anchor").sortWithinPartitions("anchor")
-    return ready.mapInArrow(rows, "text_key long, first int, last int")
+    return ready.mapInArrow(rows, "text_key binary, first int, last int")
+
+
+def _small(df: DataFrame) -> bool:
+    return light(df) is not df
+
+
+def text_key(text: str = "text"):
+    """128 bits by which texts are told apart."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
+def _once(texts: DataFrame, copied: DataFrame, total: int) -> DataFrame:
+    """text_key and text of rows (text_key, doc_id, text): one row of each text.
+
+    copied: the text_key of each text of several rows, their number, the doc_id of one, and how many rows share that.
+    """
+    def others(rows: DataFrame, known: DataFrame) -> DataFrame:
+        known = known.select(F.col("text_key").alias("ck"), "one", "same")
+        return rows.join(known, (F.col("text_key") == F.col("ck")) & ((F.col("same") > 1) | ~F.col("doc_id").eqNullSafe(F.col("one"))), "left_anti")
+
+    hot = F.col("rows") > max(1, total // 1000)  # fewer than a thousand texts
+    once = others(others(texts, F.broadcast(copied.where(hot))), light(copied) if _small(copied) else copied.where(~hot)).select("text_key", "text")
+    twins = copied.where("same > 1")
+    if twins.isEmpty():
+        return once
+    # rows with equal ids and texts: any of them, reduced before the shuffle
+    keys = twins.select("text_key", "rows")
+    found = texts.join(light(keys), "text_key") if _small(twins) else looked_up(texts, keys, "text_key", "rows", total)
+    return once.union(found.groupBy("text_key").agg(F.min("text").alias("text")))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most: int = CROWD) -> DataFrame:
-    """text_key (xxhash64 of the text) and spans: runs (first, last) of starts of repeated windows, packed; only texts that
-    have any.  Collections of more than ``most`` different segments are split before they are constructed."""
+    """text_key, spans: runs (first, last) of starts of repeated windows, packed, and rows, how many rows have the text; only
+    texts that have any.  Collections of more than ``most`` different segments are split before they are constructed."""
     modest_batches(docs.sparkSession)
-    texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("text_key"), "doc_id", "text")
-    counts = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("one"), F.min(F.octet_length("text")).alias("size"))
-    copied = written(counts.where("rows > 1"), "copied")
-    hint = light(copied.select(F.col("text_key").alias("ck"), "one"))
-    # of equal texts one row is cut; their windows repeat anyhow
-    once = texts.join(hint, (F.col("text_key") == F.col("ck")) & ~F.col("doc_id").eqNullSafe(F.col("one")), "left_anti")
+    texts = docs.where(F.octet_length("text") >= length).select(text_key().alias("text_key"), "doc_id", "text")
+    same = texts.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("same"), F.min(F.octet_length("text")).alias("size"))
+    counts = same.groupBy("text_key").agg(F.sum("same").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same")).alias("one"), F.min("size").alias("size"))
+    copied = written(counts.where("rows > 1").select("text_key", "rows", F.col("one.doc_id").alias("one"), "one.same", "size"), "copied")
+    total = copied.agg(F.sum("rows")).first()[0] or 0
+    once = _once(texts, copied, total)
     segments = written(_segments(once, length), "segments")
     # an anchor that occurs once can't repeat; one whose segments are all equal needs no construction
     anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike"))
-    anchors = written(anchors.where("n > 1").select("anchor", "alike"), "anchors")
-    met = written(segments.join(light(anchors), "anchor"), "met")
+    anchors = written(anchors.where("n > 1"), "anchors")
+    met = written(_met(segments, anchors, "anchor").drop("n"), "met")
     # of equal segments one takes part
     distinct = met.where("not alike").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "windows", "left")).alias("s"))
     distinct = written(distinct.select("anchor", "content", "n", "s.*"), "contents")
-    twice = light(written(distinct.where("n > 1").select("anchor", "content"), "twice"))
-    whole = met.where("alike").select("text_key", "first", "windows").union(met.where("not alike").join(twice, ["anchor", "content"], "left_semi").select("text_key", "first", "windows"))
+    twice = written(distinct.where("n > 1").select("anchor", "content", "n"), "twice")
+    whole = met.where("alike").select("text_key", "first", "windows").union(_met(met.where("not alike"), twice, "anchor", "content").select("text_key", "first", "windows"))
     crowded = light(written(distinct.groupBy("anchor").count().where(F.col("count") > most).select("anchor"), "crowded"))
     columns = ("text_key", "anchor", "first", "windows", "left")
     calm = written(_packed(distinct.join(crowded, "anchor", "left_anti").select(*columns)), "cuts")
@@ -240,7 +297,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, most: int = CROWD) -> Dat
         found = found.union(_split(_raw(once, hot, length), length, most))
     whole = whole.select("text_key", "first", (F.col("first") + F.col("windows") - 1).cast("int").alias("last"))
     full = copied.select("text_key", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))
-    return written(_merged(whole.union(found).union(full)), "spans")
+    spans = written(_merged(whole.union(found).union(full)), "spans")
+    counts = copied.select(F.col("text_key").alias("ck"), "rows")
+    return written(spans.join(counts, F.col("text_key") == F.col("ck"), "left").select("text_key", "spans", F.coalesce("rows", F.lit(1)).alias("rows")), "spans")
+
+
+def _met(rows: DataFrame, known: DataFrame, *key: str) -> DataFrame:
+    """rows joined with a written table of unique keys and the number n of rows of each."""
+    if _small(known):
+        return rows.join(light(known), list(key))
+    return looked_up(rows, known.withColumn("weight", F.col("n")), list(key), "weight", known.agg(F.sum("n")).first()[0] or 0)
 
 
 def _halves(parts: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -303,7 +369,7 @@ def _packed(cuts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["text_key", "cuts"])
 
     grouped = cuts.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "windows", "left")).alias("cuts"))
-    return grouped.mapInArrow(rows, "text_key long, cuts binary")
+    return grouped.mapInArrow(rows, "text_key binary, cuts binary")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -323,7 +389,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["text_key", "spans"])
 
     grouped = spans.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return grouped.mapInArrow(rows, "text_key long, spans binary")
+    return grouped.mapInArrow(rows, "text_key binary, spans binary")
 
 
 def _raw(once: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -337,16 +403,18 @@ def _raw(once: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 raw = text.encode()
                 out += [(anchor, key, first, left, raw[first : first + windows - 1 + length]) for anchor, first, windows, left in np.frombuffer(cuts, CUT).tolist()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    joined = once.join(light(wanted), "text_key").select("text_key", "text", "cuts")
-    return joined.mapInArrow(rows, "anchor long, text_key long, first int, left int, raw binary")
+    joined = once.join(light(wanted), "text_key").select("text_key", "text", "cuts")  # one row a text: no hot key
+    return joined.mapInArrow(rows, "anchor long, text_key binary, first int, left int, raw binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), most: int = CROWD) -> DataFrame:
-    """The columns ``keep``, n_bytes, n_removed, n_spans and kept (binary: the bytes that remain)."""
-    spans = repeated_spans(docs, length, most)
-    schema = with_fields(docs.select(*keep).schema, "n_bytes long, n_removed long, n_spans long, kept binary")
+    """The columns ``keep``, n_bytes, n_removed, n_spans and kept (binary: the bytes that remain); these names get
+    underscores behind them where ``keep`` has such columns."""
+    spans = repeated_spans(docs.select("doc_id", "text"), length, most)
+    said = unused(list(keep), "n_bytes", "n_removed", "n_spans", "kept")
+    schema = with_fields(docs.select(*keep).schema, ", ".join(f"`{n}` {k}" for n, k in zip(said, ("long", "long", "long", "binary"), strict=True)))
 
     def rows(batches):
         for batch in batches:
@@ -371,9 +439,15 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
                 kept.append(b"".join(out))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema.fieldNames())
 
-    keyed = docs.select(*keep, "text", F.xxhash64("text").alias("tk"))
-    joined = keyed.join(light(spans), F.col("tk") == F.col("text_key"), "left").select(*keep, "text", "spans")
-    return joined.mapInArrow(rows, schema)
+    # texts that are too short have keys of their own, which match nothing and spread evenly
+    own = F.concat(F.lit("short"), F.monotonically_increasing_id().cast("string")).cast("binary")
+    key = F.when(F.octet_length("text") >= length, text_key()).otherwise(own)
+    keyed = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"), key.alias("text_key"))
+    if _small(spans):
+        joined = keyed.join(light(spans), "text_key", "left")
+    else:
+        joined = looked_up(keyed, spans, "text_key", "rows", spans.agg(F.sum("rows")).first()[0] or 0, "left")
+    return joined.select("row.*", F.col("text").alias("text_key"), "spans").mapInArrow(rows, schema)
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """What the operators have in common: the shared folder, cut lineage, and numpy views of Arrow text.
 
 Everything an operator keeps between jobs is written below ``spark.checkpoint.dir``, which all executors and the
-driver see.  Only where that setting is missing (tests, one machine) is a temporary folder set in its place.
+driver see.  Only where that setting is missing and the master is local (tests, one machine) is a temporary folder set
+in its place; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="satchel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,11 +63,37 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: hand Python workers at most so many rows at once (a setting of the session)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+def removed_file(uri: str) -> None:
+    """Delete a file of the shared folder from where it was made, if it is there."""
+    fs, path = store(uri)
+    try:
+        fs.delete_file(path)
+    except FileNotFoundError:
+        pass
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
+    """Texts can be long: hand Python workers at most so many rows, and near so many bytes, at once.
+
+    These are settings of the session that plans read when they run, so they stay lowered; a row beyond the bytes is a
+    batch of its own.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most_bytes)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores appended until none is a column (whatever its case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def forget(spark: SparkSession, since: int, keep: int = 1) -> None:
@@ -114,47 +143,61 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of many texts at once, from prefix sums of byte values times powers.
+    """64-bit hashes of the words of many texts at once.
 
-    ``inside`` tells for each byte whether it belongs to words; A-Z count as a-z.
+    A word's hash is the sum of a random number per place and byte, so two different words agree with a chance of 2^-64
+    whatever they look like.  ``inside`` tells for each byte whether it belongs to words; A-Z count as a-z.  Texts are read in
+    slices, and a word may span several of them: beyond the words themselves, memory doesn't grow with the text.
     """
 
-    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    PLACES, SLICE = 64, 1 << 20
 
     def __init__(self, inside: np.ndarray) -> None:
         self.inside = inside.astype(bool)
-        values = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        values[65:91] = values[97:123]
-        self.values, self.up, self.down = values, np.ones(1, U64), np.ones(1, U64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, base in (("up", self.BASE), ("down", self.INVERSE)):
-                steps = np.full(n, base, U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        g = np.random.Generator(np.random.PCG64(20))
+        near = g.integers(0, 1 << 64, (self.PLACES, 256), dtype=np.uint64)
+        near[:, 65:91] = near[:, 97:123]
+        self.near, self.far = near.ravel(), near[0] ^ near[1]
+
+    def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, starts, ends, before = len(data), [], [], False
+        kind = np.int32 if n < 1 << 31 else np.int64
+        for a in range(0, n, self.SLICE):
+            z = min(n, a + self.SLICE)
+            inside = self.inside[data[a : min(n, z + 1)]]
+            inside = np.append(inside, False) if z == n else inside
+            first = np.zeros(z - a + 1, bool)
+            first[bounds[np.searchsorted(bounds, a) : np.searchsorted(bounds, z, "right")] - a] = True
+            now = inside[:-1]
+            starts.append((np.flatnonzero(now & (~np.append(before, now[:-1]) | first[:-1])) + a).astype(kind))
+            ends.append((np.flatnonzero(now & (~inside[1:] | first[1:])) + a + 1).astype(kind))
+            before = bool(now[-1])
+        return np.concatenate(starts), np.concatenate(ends)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """Of texts data[offsets[i]:offsets[i + 1]]: word starts and ends in data, hashes, and n + 1 offsets into them."""
-        n = len(data)
+        n, bounds = len(data), offsets - offsets[0]
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-        inside = self.inside[data]
-        first = np.zeros(n + 1, bool)
-        first[offsets - offsets[0]] = True
-        before = np.empty(n, bool)
-        before[0], before[1:] = False, inside[:-1]
-        starts = np.flatnonzero(inside & (~before | first[:n]))
-        after = np.empty(n, bool)
-        after[-1], after[:-1] = False, inside[1:]
-        ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-        self._powers(n)
-        total = np.empty(n + 1, U64)
-        total[0] = 0
-        np.cumsum(self.values[data] * self.up[:n], out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-        return starts, ends, hashes, np.searchsorted(starts, offsets - offsets[0])
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        starts, ends = self._cuts(data, bounds)
+        hashes = np.zeros(len(starts), U64)
+        for a in range(0, n, self.SLICE):
+            z = min(n, a + self.SLICE)
+            w = slice(np.searchsorted(ends, a, "right"), np.searchsorted(starts, z, "left"))
+            first, last = starts[w], np.minimum(ends[w], z) - a
+            if not len(first):
+                continue
+            letter = data[a:z]
+            begin = np.full(z - a, -(1 << 30), np.int32)  # of the word that a byte is in; negative for one from a slice before
+            begin[np.maximum(first - a, 0)] = first - a
+            place = np.arange(z - a, dtype=np.int32) - np.maximum.accumulate(begin)
+            part = self.near[(np.minimum(place, self.PLACES - 1) << 8) | letter]
+            late = np.flatnonzero(place >= self.PLACES)
+            if len(late):
+                part[late] = mixed(self.far[letter[late]] + place[late].astype(U64) * U64(0x9E3779B97F4A7C15))
+            edges = np.stack([np.maximum(first - a, 0), last], 1).ravel()
+            hashes[w] += np.add.reduceat(np.append(part, U64(0)), edges)[::2]
+        return starts, ends, mixed(hashes + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(starts, bounds)
 
 
 #: Words are runs of bytes other than space and \t \n \v \f \r.
@@ -174,3 +217,15 @@ def light(df: DataFrame, most_bytes: int = 24 << 20) -> DataFrame:
     """A written df with a broadcast hint if its files are small; otherwise df as it is, to be shuffled."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most_bytes else df
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of unique keys, whose column ``weight`` counts the rows of each (it is dropped).
+
+    A key with more than a thousandth of ``total`` rows is hot: there can be fewer than a thousand of them, so these are
+    broadcast; all others are shuffled.
+    """
+    most = max(1, total // 1000)
+    hot = F.broadcast(known.where(F.col(weight) > most).drop(weight))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col(weight) <= most).drop(weight), key, how)
+    return rows.join(hot, key).unionByName(rest)
