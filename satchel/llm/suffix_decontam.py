@@ -1,155 +1,188 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each shard (an Arrow batch of documents) gets a suffix array over its words: the positions at which a test suffix can
-begin at all, sorted by the words that follow, up to the window length.  A position can be left out only if its first
-words occur nowhere in the benchmark, so no match is lost.  Every suffix of every item is binary-searched in the array
-of every shard, for the interval of equal windows and for its longest match; matched words are then compared byte by
-byte, so equal hashes of unequal words can't count.
+Each shard (some megabytes of documents) gets a suffix array over its words, by prefix doubling until the order of the
+suffixes is settled to the window's length at least.  Every suffix of every benchmark item is binary-searched in the
+array of every shard, one word at a time: the interval of suffixes that agree so far narrows with each word, and suffixes
+whose interval is empty are dropped, so that most are done after a word or two.  Windows that follow each other in both texts
+are one verbatim match; matches are compared byte by byte, so unequal words that look alike in the array can't count.
 
-The benchmark is handled in blocks of ``block_items`` items of bounded size; each block is one pass over what the pass
-before it wrote, so neither a task nor the driver holds more than one block.
+The benchmark is written in blocks of bounded size to the shared folder.  A task reads one block at a time, for as many
+documents as a shard holds: there is one pass over the documents and one Python worker a task, and neither a task nor the
+driver holds more than one block.
 
 Null and empty texts have no words and are clean; items without words match nothing; repeated items and documents are
-all reported; an empty benchmark leaves every document clean.
+all reported (of matches of equal length the first in the document, then the first item, is the longest); an empty
+benchmark leaves every document clean.  A long text is cut into slices that overlap by a window, and matches are joined
+across them.  Columns of docs that have names of the result's get underscores behind those of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U64, WordHasher, mixed, modest_batches, pieces, text_bytes, with_fields
+from .shared import ALNUM, U64, WordHasher, fresh_path, modest_batches, pieces, store, text_bytes, unused, with_fields
 
-FIRST = 3  # words of a suffix that must occur in the benchmark for its position to enter the array
-SLOTS = 1 << 22
-
-
-def _joined(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive words at each of the len(h) - n + 1 positions."""
-    m = max(0, len(h) - n + 1)
-    out = np.zeros(m, U64)
-    for k in range(n):
-        out = mixed(out * U64(0x9FB21C651E98DF25) + h[k : k + m])
-    return out
+SHARD_BYTES = 16 << 20  # documents of a shard
+SHARD_WORDS = 2 << 20  # suffixes of a suffix array
+RESULT = ("decon_words", "decon_hit", "decon_longest", "decon_longest_at", "decon_longest_item", "decon_items", "decon_matches")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Block:
     """The suffixes of a block of items, ready to be searched."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int) -> None:
-        self.window, self.ids = window, ids
+        self.window, self.ids = window, np.array(ids, object)
         data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-        starts, ends, hashes, at = WordHasher(ALNUM)(data, offsets)
-        lower = np.arange(256, dtype=np.uint8)
-        lower[65:91] += 32
-        self.words = [lower[data[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)]
-        keys, lengths, items, position = [], [], [], []
-        first: dict[int, list[np.ndarray]] = {}
-        for i in range(len(ids)):
-            h = hashes[at[i] : at[i + 1]]
-            if not len(h):
-                continue
-            need = min(window, len(h))
-            for q in range(len(h) - need + 1):
-                row = np.zeros(window, U64)
-                row[:need] = h[q : q + need]
-                keys.append(row)
-                lengths.append(need)
-                items.append(i)
-                position.append(int(at[i]) + q)
-            first.setdefault(min(FIRST, need), []).append(_joined(h, min(FIRST, need))[: len(h) - need + 1])
-        self.keys = np.array(keys, U64).reshape(-1, window)
-        self.lengths, self.items, self.position = np.array(lengths, np.int64), np.array(items, np.int64), np.array(position, np.int64)
-        self.first = {n: np.unique(np.concatenate(x)) for n, x in first.items()}
-        self.slots: dict[int, np.ndarray] = {}
-
-    def candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Word positions of a shard at which a suffix of the block can begin."""
-        found = np.zeros(len(hashes), bool)
-        left = np.repeat(at[1:], np.diff(at)) - np.arange(len(hashes))  # words up to the end of the document
-        for n, known in self.first.items():
-            if n not in self.slots:  # made where it is used, so that it isn't shipped
-                self.slots[n] = np.zeros(SLOTS, bool)
-                self.slots[n][(known & U64(SLOTS - 1)).astype(np.int64)] = True
-            h = _joined(hashes, n)
-            maybe = np.flatnonzero(self.slots[n][(h & U64(SLOTS - 1)).astype(np.int64)])
-            h = h[maybe]
-            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = maybe[(known[k] == h)]
-            found[hit[left[hit] >= n]] = True
-        return np.flatnonzero(found)
-
-
-def _suffix_array(hashes: np.ndarray, at: np.ndarray, where: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The positions sorted by the words that follow them in their document, and those words' hashes (0 beyond its end)."""
-    doc_end = at[np.searchsorted(at, where, "right")]
-    rows = np.zeros((len(where), window), U64)
-    for k in range(window):
-        ok = where + k < doc_end
-        rows[ok, k] = hashes[where[ok] + k]
-    order = np.lexsort([*(rows[:, k] for k in range(window - 1, -1, -1))])
-    return where[order], rows[order]
-
-
-def _bounds(rows: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key, the interval of sorted rows that agree with its first ``lengths`` words, by binary search."""
-    ends = []
-    column = np.arange(keys.shape[1])[None]
-    for after in (False, True):
-        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), len(rows), np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            r = rows[np.minimum(mid, len(rows) - 1)]
-            differ = (r != keys) & (column < lengths[:, None])
-            some = differ.any(1)
-            k = differ.argmax(1)
-            i = np.arange(len(keys))
-            less = np.where(some, r[i, k] < keys[i, k], after)
-            low = np.where(open_ & less, mid + 1, low)
-            high = np.where(open_ & ~less, mid, high)
-        ends.append(low)
-    return ends[0], ends[1]
-
-
-def _marked(block: Block, hasher: WordHasher, data: np.ndarray, offsets: np.ndarray):
-    """Of the texts: number of words, and per match (document, first word in it, item, length)."""
-    starts, ends, hashes, at = hasher(data, offsets)
-    counts, none = np.diff(at), np.zeros((0, 4), np.int64)
-    where = block.candidates(hashes, at)
-    if not len(where):
-        return counts, none
-    where, rows = _suffix_array(hashes, at, where, block.window)
-    low, high = _bounds(rows, block.keys, block.lengths)
-    found = np.flatnonzero(high > low)
-    n = high[found] - low[found]
-    suffix = np.repeat(found, n)
-    place = where[np.repeat(low[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    lower = hasher.lower
-    right = np.ones(len(suffix), bool)
-    seen: dict[tuple[int, int], bool] = {}
-    for i, (s, p) in enumerate(zip(suffix.tolist(), place.tolist(), strict=True)):
-        q = int(block.position[s])
-        for k in range(int(block.lengths[s])):
-            key = (p + k, q + k)
-            if key not in seen:
-                seen[key] = lower[data[starts[p + k] : ends[p + k]]].tobytes() == block.words[q + k]
-            if not seen[key]:
-                right[i] = False
-                break
-    suffix, place = suffix[right], place[right]
+        self.starts, self.ends, self.hashes, at = WordHasher(ALNUM)(data, offsets)
+        self.data = _LOWER[data]
+        counts = np.diff(at)
+        need = np.minimum(window, counts)
+        n = np.where(counts > 0, counts - need + 1, 0)
+        #: of each suffix that is searched: its item, first word and length
+        self.items = np.repeat(np.arange(len(ids)), n)
+        self.position = np.repeat(at[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.lengths = need[self.items]
+
+    FIELDS = ("starts", "ends", "hashes", "data", "items", "position", "lengths")
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        ids = "\n".join(i.replace("\\", "\\\\").replace("\n", "\\n") for i in self.ids)
+        np.savez(out, ids=np.frombuffer(ids.encode() or b"", np.uint8), n=np.array([len(self.ids), self.window]), **{f: getattr(self, f) for f in self.FIELDS})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Block:
+        out = cls.__new__(cls)
+        with np.load(io.BytesIO(raw)) as found:
+            for f in cls.FIELDS:
+                setattr(out, f, found[f])
+            n, out.window = found["n"].tolist()
+            ids = found["ids"].tobytes().decode().split("\n") if n else []
+        out.ids = np.array([_unescaped(i) for i in ids], object)
+        return out
+
+
+def _unescaped(s: str) -> str:
+    return "\\".join(part.replace("\\n", "\n") for part in s.split("\\\\"))
+
+
+def word_numbers(hashes: np.ndarray) -> np.ndarray:
+    """Words by the upper half of their hash, never 0; words that agree in it are told apart when matches are compared."""
+    return np.maximum(hashes >> U64(32), U64(1))
+
+
+def suffix_array(words: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """The positions in the order of the words from there to the end of their document, settled to ``depth`` words at least.
+
+    Prefix doubling: a sort by two words, then by what is known of the suffixes k words on, of those alone that are not
+    yet settled.  Beyond the end of a document stands 0, so a prefix comes first.
+    """
+    n = len(words)
+    key = words << U64(32)
+    key[:-1] |= np.where(np.arange(1, n) < end[:-1], words[1:], U64(0))
+    order = np.argsort(key)
+    found = key[order]
+    new = np.append(True, found[1:] != found[:-1])
+    rank = np.empty(n, np.int64)  # the place in the order where those that agree so far begin
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    k, open_ = 2, np.flatnonzero(~new | ~np.append(new[1:], True))
+    while k < depth and len(open_):
+        mine = order[open_]
+        after = mine + k
+        key = rank[mine] * (n + 1) + np.where(after < end[mine], rank[np.minimum(after, n - 1)] + 1, 0)
+        move = np.argsort(key)
+        mine, key = mine[move], key[move]
+        order[open_] = mine
+        new = np.append(True, key[1:] != key[:-1])
+        rank[mine] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_ = open_[~new | ~np.append(new[1:], True)]
+        k *= 2
+    return order
+
+
+def intervals(words: np.ndarray, end: np.ndarray, array: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's suffixes that occur, and for each the interval of the suffix array that begins with its words."""
+    firsts, known = words[array], word_numbers(block.hashes)
+    alive = np.arange(len(block.position))
+    key = known[block.position]
+    low, high = np.searchsorted(firsts, key, "left"), np.searchsorted(firsts, key, "right")
+    done = []
+    for d in range(1, block.window + 1):
+        some = high > low
+        alive, low, high = alive[some], low[some], high[some]
+        over = block.lengths[alive] <= d
+        done.append((alive[over], low[over], high[over]))
+        alive, low, high = alive[~over], low[~over], high[~over]
+        if not len(alive):
+            break
+        key = known[block.position[alive] + d]
+
+        def bound(after: bool) -> np.ndarray:
+            a, z = low.copy(), high.copy()
+            while (open_ := np.flatnonzero(a < z)).size:
+                mid = (a[open_] + z[open_]) // 2
+                at = array[mid] + d
+                word = np.where(at < end[array[mid]], words[np.minimum(at, len(words) - 1)], U64(0))
+                less = word <= key[open_] if after else word < key[open_]
+                a[open_[less]] = mid[less] + 1
+                z[open_[~less]] = mid[~less]
+            return a
+
+        low, high = bound(False), bound(True)
+    return tuple(np.concatenate([x[i] for x in done]) if done else np.zeros(0, np.int64) for i in range(3))
+
+
+def _windows(block: Block, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix of the block, word of the shard) wherever a suffix occurs."""
+    total, found, words = len(hashes), [(np.zeros(0, np.int64),) * 2], word_numbers(hashes)
+    ends = np.repeat(at[1:], np.diff(at))
+    for first in range(0, max(0, total), SHARD_WORDS):
+        last = min(total, first + SHARD_WORDS + block.window - 1)
+        end = np.minimum(ends[first:last], last) - first
+        array = suffix_array(words[first:last], end, block.window)
+        suffix, low, high = intervals(words[first:last], end, array, block)
+        n = high - low
+        place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] + first
+        found.append((np.repeat(suffix, n), place))
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def matches(block: Block, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Verbatim matches (document, first word in it, words, item) that can't be longer, each of a window at least."""
+    suffix, place = _windows(block, hashes, at)
+    if not len(suffix):
+        return []
+    item, q, need = block.items[suffix], block.position[suffix], block.lengths[suffix]
+    order = np.lexsort((place, place - q))
+    item, q, need, place = item[order], q[order], need[order], place[order]
     doc = np.searchsorted(at, place, "right") - 1
-    return counts, np.stack([doc, place - at[doc], block.items[suffix], block.lengths[suffix]], 1)
-
-
-class _Hasher(WordHasher):
-    def __init__(self) -> None:
-        super().__init__(ALNUM)
-        self.lower = np.arange(256, dtype=np.uint8)
-        self.lower[65:91] += 32
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(q) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)
+    first = np.flatnonzero(new)
+    out = []
+    for a, b in zip(first.tolist(), np.append(first[1:], len(place)).tolist(), strict=True):
+        p, r, n = int(place[a]), int(q[a]), int(need[a])
+        words = b - a + n - 1
+        same = [_LOWER[data[starts[p + k] : ends[p + k]]].tobytes() == block.data[block.starts[r + k] : block.ends[r + k]].tobytes() for k in range(words)]
+        k = 0
+        while k < words:  # one run, unless hashes of different words are equal
+            to = k
+            while to < words and same[to]:
+                to += 1
+            if to - k >= n:
+                out.append((int(doc[a]), p + k - int(at[doc[a]]), to - k, int(item[a])))
+            k = to + 1
+    return out
 
 
 def _blocks(benchmark: DataFrame, window: int, block_items: int, block_chars: int):
@@ -165,71 +198,100 @@ def _blocks(benchmark: DataFrame, window: int, block_items: int, block_chars: in
     yield Block(ids, texts, window)
 
 
+def _stored(benchmark: DataFrame, window: int, block_items: int, block_chars: int) -> list[str]:
+    """The blocks as files of the shared folder; their paths."""
+    folder = fresh_path(benchmark.sparkSession, "benchmark")
+    fs, base = store(folder)
+    fs.create_dir(base)
+    out = []
+    for i, block in enumerate(_blocks(benchmark, window, block_items, block_chars)):
+        out.append(f"{folder}/block-{i:06d}.npz")
+        with fs.open_output_stream(f"{base}/block-{i:06d}.npz", compression=None) as f:
+            f.write(block.packed())
+    return out
+
+
+def _summed(found: list[tuple[int, int, str]]) -> tuple:
+    """hit, longest, its first word, its item, items, matches of one document from (first word, words, item)."""
+    total, last = 0, -1
+    for first, n, _ in sorted(found):
+        total += max(0, first + n - 1 - max(last, first - 1))
+        last = max(last, first + n - 1)
+    best = min(found, key=lambda m: (-m[1], m[0], m[2]), default=None)
+    said = [{"first": a, "last": a + n - 1, "item": i} for a, n, i in sorted(set(found))]
+    return total, best[1] if best else 0, best[0] if best else None, best[2] if best else None, sorted({i for _, _, i in found}), said
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 20_000, block_chars: int = 4_000_000) -> DataFrame:
-    """All columns of docs, and decon_words (int), decon_hit (words inside occurring windows), decon_longest (longest run
-    of hit words), decon_items (item ids sorted as strings) and decon_matches (first word, last word, item)."""
+    """All columns of docs, then the number of words, of words inside occurring windows, the length of the longest verbatim
+    match, its first word and item, the item ids sorted as strings, and all matches (first word, last word, item)."""
     modest_batches(docs.sparkSession)
     names = docs.columns
-    if any(n.startswith("decon_") for n in names):
-        raise ValueError("columns named decon_* are taken")
-    match = "array<struct<first:int,last:int,item:string>>"
-    carried = docs.withColumn("decon_words", F.lit(0)).withColumn("decon_matches", F.array().cast(match))
-    text_at, schema = names.index("text"), carried.schema
-    final = with_fields(schema, "decon_hit int, decon_longest int, decon_items array<string>")
-    match_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
-
-    def passed(block: Block, last: bool):
-        def rows(batches):
-            hasher = _Hasher()
-            for batch in batches:
+    text_at = names.index("text")
+    said = unused(names, *RESULT)
+    kinds = ("int", "int", "int", "int", "string", "array<string>", "array<struct<first:int,last:int,item:string>>")
+    schema = with_fields(docs.schema, ", ".join(f"`{n}` {k}" for n, k in zip(said, kinds, strict=True)))
+    types = [*(pa.int32(),) * 4, pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))]
+    files = _stored(benchmark, window, block_items, block_chars)
+
+    def rows(batches):
+        hasher, now, block = WordHasher(ALNUM), None, None
+
+        def searched(held: list[pa.RecordBatch]):
+            nonlocal now, block
+            words, found, parts, row = [], {}, [], 0
+            for batch in held:
                 data, offsets = text_bytes(batch.column(text_at))
-                words, matches = [], batch.column(len(names) + 1).to_pylist()
-                for a, b in pieces(offsets):
-                    counts, found = _marked(block, hasher, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    words.append(counts)
-                    for d, p, i, n in found.tolist():
-                        matches[a + d].append({"first": p, "last": p + n - 1, "item": block.ids[i]})
-                kept = [batch.column(k) for k in range(len(names))]
-                total = np.concatenate(words) if words else np.zeros(0)
-                columns = [*kept, pa.array(total.astype(np.int32)), pa.array(matches, match_type)]
-                yield pa.RecordBatch.from_arrays(columns + summed(matches) if last else columns, (final if last else schema).fieldNames())
-
-        return rows
-
-    def summed(rows: list[list[dict]]) -> list[pa.Array]:
-        hit, longest, items = [], [], []
-        for matches in rows:
-            total = best = 0
-            begin = last = -2
-            for m in sorted(matches, key=lambda m: m["first"]):
-                if m["first"] > last + 1:
-                    begin = m["first"]
-                total += max(0, m["last"] - max(last, m["first"] - 1))
-                last = max(last, m["last"])
-                best = max(best, last - begin + 1)
-            hit.append(total)
-            longest.append(best)
-            items.append(sorted({m["item"] for m in matches}))
-        return [pa.array(hit, pa.int32()), pa.array(longest, pa.int32()), pa.array(items, pa.list_(pa.string()))]
-
-    before = None
-    for block in _blocks(benchmark, window, block_items, block_chars):
-        if before is not None:
-            carried = carried.mapInArrow(passed(before, False), schema)
-        before = block
-    return carried.mapInArrow(passed(before, True), final)
+                for a, b in pieces(offsets, SHARD_BYTES):
+                    mine = data[offsets[a] : offsets[b]]
+                    parts.append((row + a, mine, *hasher(mine, offsets[a : b + 1])))
+                    words.append(np.diff(parts[-1][-1]))
+                row += len(batch)
+            # from the block that the last shard ended with, so that the last one isn't read again
+            for name in sorted(files, key=lambda f: f != now):
+                if name != now:
+                    fs, path = store(name)
+                    with fs.open_input_stream(path, compression=None) as f:
+                        block = Block.unpacked(f.read())
+                    now = name
+                for first, mine, starts, ends, hashes, at in parts:
+                    for d, p, n, i in matches(block, mine, starts, ends, hashes, at):
+                        found.setdefault(first + d, []).append((p, n, block.ids[i]))
+            counts = np.concatenate(words) if words else np.zeros(0, np.int64)
+            row = 0
+            for batch in held:
+                own = [_summed(found.get(i, [])) for i in range(row, row + len(batch))]
+                columns = list(zip(*own, strict=True)) if own else [[]] * 6
+                said_columns = [counts[row : row + len(batch)].astype(np.int32), *columns]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(said_columns, types, strict=True))], schema.fieldNames())
+                row += len(batch)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(text_at).nbytes
+            if size >= SHARD_BYTES:
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
+
+    return docs.mapInArrow(rows, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that hold a window of the benchmark."""
-    return decontaminated(docs, benchmark, window).where("decon_hit = 0").select(*docs.columns)
+    found = decontaminated(docs, benchmark, window)
+    hit = found.columns[len(docs.columns) + RESULT.index("decon_hit")]
+    return found.where(F.col(hit) == 0).select(*docs.columns)
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and the words of the longest verbatim
+    match, its first word (null: none) and its item."""
     found = decontaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
     joined = F.concat_ws(",", "decon_items")
-    return found.select("doc_id", F.col("decon_words").cast("long").alias("n_words"), F.col("decon_hit").cast("long").alias("n_hit"), F.size("decon_items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("decon_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", F.col("decon_words").cast("long").alias("n_words"), F.col("decon_hit").cast("long").alias("n_hit"), F.size("decon_items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("decon_hit") > 0).alias("contaminated"), F.col("decon_longest").cast("long").alias("longest"), F.col("decon_longest_at").cast("long").alias("longest_at"), F.col("decon_longest_item").alias("longest_item"))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:
@@ -242,14 +304,19 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> dict
     out = {}
     for doc_id, text in docs:
         words = cut(text)
-        hit, ids = set(), set()
+        hit, ids, best = set(), set(), (0, 0, "")
         for item_id, item in items:
-            w = cut(item)
+            w, name = cut(item), "" if item_id is None else str(item_id)
             n = min(window, len(w))
             for q in range(len(w) - n + 1 if w else 0):
                 for p in range(len(words) - n + 1):
                     if words[p : p + n] == w[q : q + n]:
                         hit |= set(range(p, p + n))
-                        ids.add("" if item_id is None else str(item_id))
-        out[doc_id] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+                        ids.add(name)
+                        to = n
+                        while p + to < len(words) and q + to < len(w) and words[p + to] == w[q + to]:
+                            to += 1
+                        best = min(best, (-to, p, name))
+        longest = (-best[0], best[1], best[2]) if hit else (0, None, None)
+        out[doc_id] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit), *longest)
     return out
