@@ -4,10 +4,13 @@ Every byte has a small embedding; filters over 8 bytes slide by 4 bytes over the
 chunks of 512 bytes that overlap by half, each filter is max-pooled in each chunk, and the document is the mean and the
 maximum of its chunks, combined by a logistic unit into one probability.
 
-Fitting takes a bounded sample of labelled rows (``sample_docs``, ``sample_bytes``); scoring reads all of every text.
-Null and empty texts are one chunk of padding and get the probability of that chunk.  Rows are scored one by one:
-repeated rows and ties get equal scores, an empty table gives an empty result, and without labelled rows of both
-classes the score is the share of class 1 (0.5 if there are no labels at all).
+Fitting takes a bounded sample of labelled rows (``sample_docs``, ``sample_bytes``); documents with contradicting labels
+are not used.  Scoring reads all of every text, in tiles of a fixed shape: a text's score doesn't depend on its
+neighbours, and a long text takes a fixed tile and 0.4 bytes a byte.
+
+Null and empty texts are one chunk of padding and get the probability of that chunk.  Repeated rows and ties get equal
+scores, an empty table gives an empty result, and without labelled rows of both classes the score is the share of class
+1 (0.5 if there are no labels at all).  Further columns are kept as they are, also those named score or predicted.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import modest_batches, pieces, text_bytes, with_fields
+from .shared import modest_batches, text_bytes, unused, with_fields
 
 EMBED, STEP, FILTERS, CHUNK = 6, 4, 24, 512
 HALF = CHUNK // 2 // STEP  # filter positions in half a chunk
+TILE = 64  # half chunks in a tile
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +81,43 @@ class ByteCNN:
             return z
         return z, (raw, x, y, begin, best, last, pair, act, c_n, c_at, top, feats, at)
 
+    def _halves(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each filter's maximum over half chunks that begin at these places of texts which end there."""
+        p, width = self.p, (HALF + 1) * STEP
+        out = np.empty((len(begin), FILTERS), np.float32)
+        place, step = np.arange(width), np.arange(HALF)
+        for a in range(0, len(begin), TILE):
+            z = min(len(begin), a + TILE)
+            at, to = np.zeros(TILE, np.int64), np.zeros(TILE, np.int64)
+            at[: z - a], to[: z - a] = begin[a:z], end[a:z]
+            byte = at[:, None] + place
+            raw = np.where(byte < to[:, None], data[np.minimum(byte, len(data) - 1)], 0) if len(data) else np.zeros((TILE, width), np.uint8)
+            x = p["emb"][raw].reshape(TILE, HALF + 1, STEP * EMBED)
+            y = np.ascontiguousarray(x[:, :-1]).reshape(-1, STEP * EMBED) @ p["w1"]
+            y += np.ascontiguousarray(x[:, 1:]).reshape(-1, STEP * EMBED) @ p["w2"]
+            # the last block of a text has no right half; the first position always counts
+            blocks = np.maximum(1, -(-(to - at) // STEP) - 1)
+            y = np.where((step < blocks[:, None])[:, :, None], y.reshape(TILE, HALF, FILTERS), -np.inf)
+            out[a:z] = y.max(1)[: z - a]
+        return out
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The probability of each text; the same for equal texts, whatever stands beside them."""
         if self.prior is not None:
             return np.full(len(offsets) - 1, self.prior)
-        out = [np.zeros(0)]
-        for a, b in pieces(offsets, 1 << 18):
-            z = self._forward(data[offsets[a] : offsets[b]], offsets[a : b + 1]).astype(np.float64)
-            out.append(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6))  # beyond that, it depends on the batch
-        return np.concatenate(out)
+        lengths, at = np.diff(offsets), offsets[:-1] - offsets[0]
+        halves = np.maximum(1, -(-(np.maximum(2, -(-lengths // STEP)) - 1) // HALF))
+        h_at = np.concatenate([[0], np.cumsum(halves)])
+        begin = np.repeat(at, halves) + HALF * STEP * (np.arange(h_at[-1]) - np.repeat(h_at[:-1], halves))
+        best = self._halves(data, begin, np.repeat(at + lengths, halves))
+        out = np.empty(len(lengths))
+        v, c = self.p["v"].astype(np.float64), float(self.p["c"][0])
+        for i, (a, b) in enumerate(zip(h_at[:-1].tolist(), h_at[1:].tolist(), strict=True)):
+            mine = best[a:b]
+            chunk = np.maximum((np.maximum(mine[:-1], mine[1:]) if b - a > 1 else mine) + self.p["b"], 0)
+            z = float((np.concatenate([chunk.mean(0, dtype=np.float64), chunk.max(0)]) * v).sum()) + c
+            out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return out
 
     def _gradients(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray):
         p = self.p
@@ -157,7 +190,8 @@ class ByteCNN:
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = 3000, sample_bytes: int = 6 << 20) -> ByteCNN:
     """Fit on at most ``sample_docs`` labelled rows, taken in the order of a hash of doc_id, and ``sample_bytes``."""
     rows = labels.where("quality in (0, 1) and doc_id is not null").where(usable).select("doc_id", "quality")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     texts, marks, left = [], [], sample_bytes
     for r in found.toLocalIterator():
@@ -170,18 +204,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs:
 
 
 def score_quality(docs: DataFrame, model: ByteCNN, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs, score and predicted."""
+    """The columns ``keep`` of docs, then score and predicted (with underscores behind, where docs has such columns)."""
     modest_batches(docs.sparkSession)
-    schema = with_fields(docs.select(*keep).schema, "score double, predicted int")
+    score_name, predicted_name = unused(keep, "score", "predicted")
+    schema = with_fields(docs.select(*keep).schema, f"{score_name} double, {predicted_name} int")
+    carried = list(dict.fromkeys([*keep, "text"]))
+    text_at = carried.index("text")
 
     def score(batches):
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            s = model.scores(*text_bytes(column))
-            out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            s = model.scores(*text_bytes(batch.column(text_at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema.fieldNames())
+
+    return docs.select(*carried).mapInArrow(score, schema)
+
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, schema)
+def accepted(docs: DataFrame, model: ByteCNN) -> DataFrame:
+    """The rows of docs that the model predicts to be of class 1."""
+    scored = score_quality(docs, model, docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
