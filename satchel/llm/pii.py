@@ -9,8 +9,9 @@ features.  Base spans (email, ip, card, phone by their fixed patterns) always st
 The counts cover the candidates of all documents.  Only one row per distinct feature key reaches the driver, and the
 keys come from a fixed finite domain (kinds x votes x buckets), so its size doesn't grow with the data.
 
-Null and empty texts have no spans.  Documents are handled one by one: repeats and ties agree; an empty table gives an
-empty table, with the priors as the model.
+Null and empty texts have no spans; no span is cut, however long, and a long text takes time in proportion to its length
+and its spans.  Documents are handled one by one: repeats and ties agree (spans with one start are in the order of the
+kinds).  An empty table gives an empty table, with the priors as the model.  Further columns of docs don't matter.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NAME = re.compile(rf"\b(?:{TITLES})\.?\x20([A-ZÀ-Þ][\w'-]{{1,30}}(?:\x20[A-ZÀ-Þ][\w'-]{{1,30}})?)|\b([A-Z][a-z]{{2,11}})\x20[A-ZÀ-Þ][\w'-]{{1,30}}")
-_SECRET = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\x20{0,2}[=:]\x20{0,2}[\"']?([^\s\"']{6,200})", re.I)
+_NAME = re.compile(rf"\b(?:{TITLES})\.?\x20([A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+)?)|\b([A-Z][a-z]+)\x20[A-ZÀ-Þ][\w'-]+")
+_SECRET = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\x20{0,2}[=:]\x20{0,2}[\"']?([^\s\"']{6,})", re.I)
 _NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![\w-])")
-_WRITTEN = re.compile(r"\b([A-Za-z0-9._%+-]{1,64})\x20?[\[(]at[\])]\x20?([A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63})+)", re.I)
+_AT = re.compile(r"\x20?[\[(]at[\])]\x20?", re.I)
+_WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+", re.I)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -65,6 +67,20 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def written_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses with (at) or [at], found from there outwards."""
+    out, floor = [], 0
+    for at in _AT.finditer(text):
+        begin = at.start()
+        while begin > floor and text[begin - 1] in _LOCAL:
+            begin -= 1
+        m = _WRITTEN_DOMAIN.match(text, at.end()) if begin < at.start() and at.start() >= floor else None
+        if m:
+            out.append((begin, m.end()))
+            floor = m.end()
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -103,15 +119,27 @@ def more_spans(text: str, good: list, bad: list) -> list[tuple[int, int, str]]:
         found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     if bad or _DIGIT.search(text):
         found += [(*m.span(), "number") for m in _NUMBER.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
-    if re.search(r"[\[(]at[\])]", text, re.I):
-        found += [(*m.span(), "written_email") for m in _WRITTEN.finditer(text)]
-    out = []
+    found += [(*span, "written_email") for span in written_emails(text)]
+    out, taken, k = [], merged(good), 0
     for s in sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1])):
-        if not any(s[0] < b and a < s[1] for a, b, _ in good) and not (out and s[0] < out[-1][1]):
+        while k < len(taken) and taken[k][1] <= s[0]:
+            k += 1
+        if (k == len(taken) or s[1] <= taken[k][0]) and not (out and s[0] < out[-1][1]):
             out.append(s)
     return out
 
 
+def merged(spans: list) -> list[tuple[int, int]]:
+    """The places that spans (sorted by start) cover, as intervals that don't touch each other's inside."""
+    out: list[tuple[int, int]] = []
+    for a, b, *_ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def votes(text: str, start: int, end: int, kind: str, holds: bool) -> tuple[int, int, int, int]:
     """+1 for, -1 against, 0 no vote, by labeler."""
     span, before = text[start:end], text[max(0, start - 24) : start]
@@ -191,12 +219,12 @@ def _features(keys: list[str]) -> np.ndarray:
     return x
 
 
-def span_classifier(keys: list[str], counts: np.ndarray, post: np.ndarray, ridge: float = 1.0) -> dict[str, float]:
+def span_classifier(keys: list[str], counts: np.ndarray, post: np.ndarray, ridge: float = 0.01) -> dict[str, float]:
     """Logistic regression of the posteriors on span features, by Newton steps; the probability of each key."""
     if not keys:
         return {}
     x, w = _features(keys), np.zeros(_features(keys[:1]).shape[1])
-    weight = np.minimum(counts, 10_000.0)
+    weight = counts * (len(keys) / counts.sum())  # the fit doesn't depend on the size of the corpus
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - post)) + ridge * w
@@ -255,7 +283,8 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans as kind:start:end joined by commas."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans as kind:start:end joined by commas, and n_spans, their
+    number."""
     found = personal_spans(docs)
 
     def joined(spans):
@@ -265,7 +294,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["holds"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["holds"])
-    return found.select("doc_id", *(counted(k) for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(counted(k) for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def brute_force(text: str | None) -> tuple:
