@@ -9,7 +9,8 @@ sample of labelled rows (``sample_docs``, ``sample_bytes``); scoring reads all w
 log(1 + count) of at most ``vocabulary`` words and word stems, chosen by their association with the label.
 
 Null and empty texts have no features and get the severity of the thresholds alone.  Rows are scored one by one, so ties
-and repeats agree.  Without toxic and clean labels severity is 0.  An empty table gives an empty table.
+and repeats agree; a long text is read word by word.  Documents with contradicting labels are not used.  Without toxic
+and clean labels severity is 0.  An empty table gives an empty table; further columns of docs don't matter.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ def features(text: str | None) -> list[str]:
     return [*found, *(f"{w[:n]}*" for n in STEMS for w in found if len(w) > n)]
 
 
+def counted(text: str | None, known: dict[str, float]) -> Counter:
+    """How often each known feature occurs in a text; the same as counting ``features``, without a list of all words."""
+    found: Counter = Counter()
+    for m in WORD.finditer((text or "").lower()):
+        w = m[0]
+        if w in known:
+            found[w] += 1
+        for n in STEMS:
+            if len(w) > n and (stem := f"{w[:n]}*") in known:
+                found[stem] += 1
+    return found
+
+
 class OrdinalModel:
     def __init__(self, grades: int = 3, vocabulary: int = 4096) -> None:
         self.grades, self.most = grades, vocabulary
@@ -85,16 +99,16 @@ class OrdinalModel:
 
     def probabilities(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k = 1 to grades."""
-        known = self.weights
-        found = Counter([x for x in features(text) if x in known])
-        z = sum(known[x] * np.log1p(k) for x, k in found.items())
+        found = counted(text, self.weights)
+        z = sum(self.weights[x] * np.log1p(found[x]) for x in sorted(found))
         return 1 / (1 + np.exp(-np.clip(z - self.thresholds, -40, 40)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = 6000, sample_bytes: int = 16 << 20) -> OrdinalModel:
     """Fit on at most so many labelled rows, in the order of a hash of doc_id, and bytes."""
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where(usable).select("doc_id", "toxic")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     texts, marks, left = [], [], sample_bytes
     for r in found.toLocalIterator():
