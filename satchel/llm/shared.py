@@ -96,12 +96,18 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def forget(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Delete the written tables from number ``since`` on, but for the last ``keep``."""
-    gone = MADE[since : len(MADE) - keep]
-    for path in gone:
-        removed(spark, path)
-    MADE[since : len(MADE) - keep] = []
+def forget(spark: SparkSession, since: int, keep: int | tuple[DataFrame, ...] = 1) -> None:
+    """Delete the written tables from number ``since`` on, but for the last ``keep``, or those that are read by plans of
+    ``keep``."""
+    if isinstance(keep, int):
+        stay = set(MADE[len(MADE) - keep :]) if keep else set()
+    else:
+        files = {f for df in keep for f in df.inputFiles()}
+        stay = {path for path in MADE[since:] if any(path.rsplit("/", 1)[1] in f for f in files)}
+    for path in MADE[since:]:
+        if path not in stay:
+            removed(spark, path)
+    MADE[since:] = [path for path in MADE[since:] if path in stay]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

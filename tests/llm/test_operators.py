@@ -152,11 +152,91 @@ def test_mixing(docs, texts, none):
     assert mixing.materialised(docs).columns == docs.columns
 
 
-def test_mixing_with_features(spark):
-    rows = spark.createDataFrame([(i, "w " * (i % 40 + 1), f"s{i % 4}", float(i // 4 % 2)) for i in range(4000)], "doc_id long, text string, source string, odd double")
-    found = mixing.mixed_copies(rows, features={"odd": 0.6}, keep=("odd",)).groupBy("odd").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("n")).collect()
-    n = {r.odd: r.n for r in found}
-    assert n[1.0] / (n[0.0] + n[1.0]) == pytest.approx(0.6, abs=0.01)
+def test_mixing_with_classes(spark):
+    rows = spark.createDataFrame([(i, "w " * (i % 40 + 1), f"s{i % 4}", i // 4 % 2) for i in range(4000)], "doc_id long, text string, source string, odd int")
+    found = mixing.mixed_copies(rows, classes=F.col("odd"), n_classes=2, class_shares=[0.4, 0.6], keep=("odd",))
+    n = {r.odd: r.n for r in found.groupBy("row.odd").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+    assert n[1] / (n[0] + n[1]) == pytest.approx(0.6, abs=0.01)
+
+
+def test_mixing_balances_lengths_and_targets(spark):
+    # sources of different lengths: without the constraint on classes the mix would hold other lengths than the corpus
+    g = random.Random(6)
+    data = [(i, "w " * (g.randint(1, 12) if i % 3 else g.randint(100, 900)), f"s{i % 3 if g.random() < 0.7 else g.randrange(3)}") for i in range(3000)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, source string")
+    found = [r.asDict() for r in mixing.mixed_copies(rows, weights=(1, 5, 2), keep=("doc_id",)).collect()]
+    kind = lambda n: min(7, (n.bit_length() - 1) // 2)
+    size, taken = sum(r["size"] for r in found), sum(r["size"] * r["copies"] for r in found)
+    for c in range(8):
+        corpus = sum(r["size"] for r in found if kind(r["size"]) == c) / size
+        mix = sum(r["size"] * r["copies"] for r in found if kind(r["size"]) == c) / taken
+        assert mix == pytest.approx(corpus, abs=0.03)
+    for s in {r["target"] for r in found}:
+        assert abs(sum(r["size"] * r["copies"] for r in found if r["target"] == s) - s) <= 30
+    rates = {(r["target"], kind(r["size"])) for r in found}
+    assert len(rates) > 6
+
+
+def test_mixing_dual():
+    g = np.random.Generator(np.random.PCG64(4))
+    words, cap, base = g.integers(0, 900, (50, 5)).astype(float), 2.0, 1.5
+    target = words.sum(1) * g.uniform(0.05, 1.999, 50)
+    target[:4] = 2 * words[:4].sum(1)
+    mu = g.normal(0, 1, 5)
+    rates, lam = mixing.source_rates(words, target, mu, base, cap)
+    assert np.allclose((words * rates).sum(1), target) and rates.max() <= cap
+    assert np.isinf(lam[:4]).all() and np.isfinite(lam[4:]).all()
+    value, gradient, hessian = mixing.dual(words, target, mu, base, cap)
+    for c in range(5):
+        d = np.zeros(5)
+        d[c] = 1e-6
+        up, down = mixing.dual(words, target, mu + d, base, cap), mixing.dual(words, target, mu - d, base, cap)
+        assert (up[0] - down[0]) / 2e-6 == pytest.approx(gradient[c], rel=1e-4)
+        assert np.allclose((up[1] - down[1]) / 2e-6, hessian[:, c], rtol=1e-3, atol=1)
+
+
+def test_mixing_needs_newton(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(if(id % 5 < 2, 3, 1 + id % 90) as int)) as text", "concat('s', id % 5) as source")
+    want = sorted(map(tuple, mixing.mix_report(rows).collect()))
+    monkeypatch.setattr(mixing, "balanced", lambda *_: np.zeros(mixing.LENGTH_CLASSES))
+    assert sorted(map(tuple, mixing.mix_report(rows).collect())) != want
+
+
+def test_mixing_fails_loudly(spark):
+    sources = spark.createDataFrame([([1.0, 5.0], 4.0), ([7.0, 2.0], 3.0)], "words array<double>, target double")
+    with pytest.raises(RuntimeError):
+        mixing.balanced(sources, [0.9, 0.1], 1.5, 2.0, most_steps=1)
+
+
+def test_mixing_names_repeats_and_null_ids(spark):
+    columns = ["size", "u", "skey", "lam", "target", "source_size", "cut0", "mix_size", "mix_copies", "rate", "uid", "rid", "kind", "n", "row", "copies", "twin", "words"]
+    rows = [(None if i % 2 else 7, "same text of six words here", "a" if i % 3 else None, *([7.0] * len(columns))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} double" for c in columns))
+    found = mixing.materialised(docs)
+    assert found.columns == docs.columns
+    assert found.where(" or ".join(f"{c} != 7.0" for c in columns)).count() == 0
+    taken = {r.source: r["count"] for r in found.groupBy("source").count().collect()}
+    report = mixing.mix_report(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("n")).collect()
+    assert all(abs(r.n - r.target) <= 6 for r in report) and len(report) == 2
+    assert abs(6 * taken["a"] - max(r.target for r in report)) <= 6
+
+
+def test_mixing_cuts_crowded_bins_again(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "concat('s', id % 2) as source")
+    want = sorted(map(tuple, mixing.mix_report(rows).collect()))
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    for targets in (want, [tuple(r) for r in mixing.mix_report(rows).collect()]):
+        for t in {r[3] for r in targets}:
+            assert abs(sum(r[4] for r in targets if r[3] == t) - t) <= 50
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(60000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('s', id % 30000) as source")
+    found = mixing.mix_report(docs)
+    found = found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"))
+    assert found.where("abs(taken - target) > size").count() == 0
+    assert found.count() == 30000
 
 
 def test_pii(docs, texts, none):
