@@ -235,3 +235,10 @@ def looked_up(rows: DataFrame, known: DataFrame, key: str | list[str], weight: s
     hot = F.broadcast(known.where(F.col(weight) > most).drop(weight))
     rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col(weight) <= most).drop(weight), key, how)
     return rows.join(hot, key).unionByName(rest)
+
+
+def joined(rows: DataFrame, known: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
+    """looked_up, with the sum of the weights as the total; by one broadcast where the written table is small."""
+    if light(known) is not known:
+        return rows.join(light(known.drop(weight)), key, how)
+    return looked_up(rows, known, key, weight, known.agg(F.sum(weight)).first()[0] or 0, how)
