@@ -24,7 +24,47 @@ def queries():
 #: SHA-1 in base32: five hexadecimal digits are four letters.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT) >> (5 * (3 - i % 4))) & 31)::INT, 1)), '')"
 
-WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Sets of three-word shingles, links by their overlaps, and the smallest id within reach.
+_JOIN = rf"""
+    with recursive d as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+    s as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+    one as (select doc_id, len(s) as n, unnest(s) as x from s),
+    met as (select a.doc_id as i, b.doc_id as j, a.n + b.n as n, count(*) as m from one a join one b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by all),
+    link as (select i, j from met where 100 * m >= 90 * (n - m)), both_ as (select i, j from link union all select j, i from link),
+    reach as (select i, j from both_ union select r.i, b.j from reach r join both_ b on r.j = b.i)
+    select s.doc_id, len(s)::bigint as n_shingles, least(s.doc_id, coalesce(min(j), s.doc_id)) as component_id
+    from s left join reach on i = s.doc_id group by s.doc_id, s.s"""
+
+#: Windows of the items that occur in documents; windows that follow each other in both are one verbatim match.
+_DECON = rf"""
+    with d as (select doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select coalesce(item_id::varchar, '') as item, row_number() over () as it, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    bq as (select item, it, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as q from b where len(w) > 0),
+    bw as (select item, it, n, q, array_to_string(w[q:q + n - 1], ' ') as k from bq),
+    dp as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from bw) where len(w) >= n),
+    m as (select doc_id, item, it, n, p, q from (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as k from dp) join bw using (n, k)),
+    hit as (select doc_id, count(distinct h) as n_hit from (select doc_id, unnest(range(p, p + n)) as h from m) group by 1),
+    said as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct doc_id, item from m) group by 1),
+    run as (select doc_id, item, min(p) - 1 as p, count(*) + n - 1 as words from (select *, p - row_number() over (partition by doc_id, it, p - q order by p) as g from m) group by doc_id, item, it, n, p - q, g),
+    best as (select doc_id, words, p, item from (select *, row_number() over (partition by doc_id order by words desc, p, item) as r from run) where r = 1)
+    select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated,
+           coalesce(words, 0)::bigint as longest, best.p::bigint as longest_at, best.item as longest_item
+    from d left join hit using (doc_id) left join said using (doc_id) left join best using (doc_id)"""
+
+#: All windows of 200 bytes (400 hexadecimal digits), and the runs of bytes that repeated ones cover.
+_REPEATS = """
+    with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as k from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as i from t where len(h) >= 400)),
+    twice as (select k from w group by k having count(*) > 1),
+    r as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 200, -1) as new from w semi join twice using (k)),
+    span as (select doc_id, min(i) as a, max(i) + 200 as z from (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as g from r) group by doc_id, g),
+    cut as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as f from span),
+    kept as (select doc_id, sum(z - a) as gone, count(*) as n, max(z) as z, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' order by a) as h from cut join t using (doc_id) group by doc_id)
+    select doc_id, (len(t.h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+           sha256(unhex(coalesce(kept.h, '') || substr(t.h, 2 * coalesce(kept.z, 0) + 1))) as kept_sha256
+    from t left join kept using (doc_id)"""
 
 
 def oracle_sql():
@@ -35,5 +75,8 @@ def oracle_sql():
             select page_id, strlen(b)::BIGINT as payload_bytes, {_BASE32} as payload_digest,
                    case when page_id is distinct from last then 'revisit' else 'response' end as record_type,
                    case when page_id is distinct from last then last end as refers_to
-            from p join g using (h)"""
+            from p join g using (h)""",
+        "op2_ngram_join": _JOIN,
+        "op9_suffix_decontam": _DECON,
+        "op10_column_bwt": _REPEATS,
     }
