@@ -78,7 +78,7 @@ def connectives(kind: str, x: Column, y: Column, alpha: float = 0.5) -> dict[str
         ok = F.when(none, 1.0).otherwise(p), F.when(none, 1.0).otherwise(q)
         if kind == "einstein":
             return F.when(none, zero).otherwise(2 / (1 + F.pow((2 - ok[0]) / ok[0], 1 - a) * F.pow((2 - ok[1]) / ok[1], a)))
-        return F.when(none, zero).otherwise(1 / ((ok[1] - ok[1] * a - ok[0] * ok[1] + ok[0] * a) / (ok[0] * ok[1]) + 1))
+        return F.when(none, zero).otherwise(ok[0] * ok[1] / (ok[1] * (1 - a) + ok[0] * a))  # the weighted harmonic mean
 
     if kind == "algebraic":
         union, cut = x + y - x * y, x * y

@@ -87,11 +87,11 @@ class Space:
         return two.select("ind_id", F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j"), l2(F.col("a.c"), F.col("b.c")).alias("d"))
 
     def s_dbw(self, labels: DataFrame) -> DataFrame:
-        """(ind_id, s_dbw).  A union's distance to a bag is put together from those of its members, so that all pairs of
+        """(ind_id, scat, dens, s_dbw).  A union's distance to a bag is put together from those of its members, so that all pairs of
         clusters of all individuals come from the pair table."""
         c = labels.where("cluster >= 0")
         flat = c.join(long(self.source).select("bag_idx", "x"), "bag_idx").select("ind_id", "cluster", F.posexplode("x").alias("dim", "v"))
-        var = flat.groupBy("ind_id", "cluster", "dim").agg(F.var_samp("v").alias("v"))
+        var = flat.groupBy("ind_id", "cluster", "dim").agg(F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("v"))  # a single instance has no spread
         norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
         norms = var.groupBy("ind_id", "cluster").agg(norm.alias("v")).groupBy("ind_id").agg(F.sum("v").alias("s"), F.count("v").alias("k"))
         whole = long(self.source).select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.var_samp("v").alias("v")).agg(norm.alias("whole"))
@@ -112,7 +112,9 @@ class Space:
         rows = norms.join(dens, "ind_id", "left").join(F.broadcast(whole))  # one row
         scat = F.try_divide(F.col("s"), F.col("whole") * F.col("k"))
         density = F.coalesce(F.try_divide(F.col("dens"), F.col("k") * (F.col("k") - 1)), F.lit(0.0))
-        return rows.select("ind_id", F.when(F.col("k") == 0, F.lit(float("inf"))).otherwise(scat + density).alias("s_dbw"))
+        none = F.col("k") == 0
+        worst = F.lit(float("inf"))
+        return rows.select("ind_id", F.when(none, worst).otherwise(scat).alias("scat"), F.when(none, worst).otherwise(density).alias("dens"), F.when(none, worst).otherwise(scat + density).alias("s_dbw"))
 
     def rated(self, labels: DataFrame, metric: str) -> DataFrame:
         """(ind_id, fitness) by one of METRICS; the worst value where the metric isn't defined."""
@@ -131,7 +133,7 @@ class Space:
                 "twcv": lambda: indices.twcv(own, KEY),
             }[metric]()
         elif metric == "sdbw":
-            found = self.s_dbw(saved(labels))
+            found = self.s_dbw(saved(labels)).select("ind_id", "s_dbw")
         elif metric == "dbcv":
             found = indices.dbcv(self.bags, saved(labels), self.pairs, KEY)
         else:

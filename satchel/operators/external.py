@@ -5,8 +5,6 @@ A confusion table is (cluster, class, n), one row per cell; the driver holds cel
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +26,12 @@ def purity(cells: DataFrame) -> DataFrame:
 
 
 def mapping(cells: dict[tuple[int, int], int]) -> dict[int, int]:
-    """Cluster to class, injective, with the fewest errors; -1 for a cluster without a class.  Exact, over sets of classes."""
-    clusters = sorted({c for c, _ in cells if c >= 0})
-    classes = sorted({k for _, k in cells})
-    if len(classes) > 16:
-        return _assigned(clusters, classes, cells)
-
-    @lru_cache(None)
-    def best(at: int, used: int) -> tuple[int, tuple]:
-        if at == len(clusters):
-            return 0, ()
-        options = []
-        for b, k in enumerate(classes):
-            if not used >> b & 1:
-                n, rest = best(at + 1, used | 1 << b)
-                options.append((n + cells.get((clusters[at], k), 0), (k, *rest)))
-        n, rest = best(at + 1, used)
-        options.append((n, (-1, *rest)))
-        return max(options, key=lambda o: o[0])
-
-    return dict(zip(clusters, best(0, 0)[1], strict=True))
+    """Cluster to class, injective, with the fewest errors; -1 for a cluster without a class."""
+    return _assigned(sorted({c for c, _ in cells if c >= 0}), sorted({k for _, k in cells}), cells)
 
 
 def _assigned(clusters: list[int], classes: list[int], cells: dict[tuple[int, int], int]) -> dict[int, int]:
-    """The same for many classes: the assignment problem, by shortest augmenting paths with potentials."""
+    """The assignment problem, by shortest augmenting paths with potentials; clusters and classes are taken in their order."""
     n, m = len(clusters), max(len(classes), len(clusters))
     cost = [[-cells.get((c, classes[j]), 0) if j < len(classes) else 0 for j in range(m)] for c in clusters]
     u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
@@ -94,6 +74,22 @@ def mapped_accuracy(cells: DataFrame) -> float:
     return sum(n for (c, k), n in known.items() if to.get(c) == k) / max(1, sum(n for (c, _), n in known.items() if c >= 0))
 
 
+def accuracy(cells: DataFrame) -> DataFrame:
+    """mapped_accuracy and error_rate as one row."""
+    return cells.sparkSession.createDataFrame([(float(mapped_accuracy(cells)), float(error_rate(cells)))], "accuracy double, error_rate double")
+
+
+def real_clusters(rows: DataFrame) -> DataFrame:
+    """Of (cluster, label): how many clusters have members, how many classes occur, and how many bags are unassigned."""
+    inside = F.when(F.col("cluster") >= 0, F.col("cluster"))
+    return rows.agg(F.count_distinct(inside).alias("clusters"), F.count_distinct("label").alias("classes"), F.count_if(F.col("cluster") < 0).alias("unassigned"))
+
+
+def class_sizes(rows: DataFrame) -> DataFrame:
+    """Of (cluster, label): the bags of each class, and those of them that are in a cluster."""
+    return rows.where("label is not null").groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cluster") >= 0).alias("assigned"))
+
+
 def rand_index(cells: DataFrame) -> DataFrame:
     """The pair-counting Rand index."""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

@@ -71,27 +71,13 @@ def silhouette(pairs: DataFrame, clusters: DataFrame, by: tuple[str, ...] = ())
 
 
 def s_dbw(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
-    """scat, dens and their sum: spread of clusters against all data, and how many bags lie near the union of two."""
-    norms = spreads(long(bags), clusters).groupBy("cluster").agg(F.sqrt(F.sum(F.col("var") * F.col("var"))).alias("v")).agg(F.sum("v").alias("sum"), F.count("v").alias("k")).first()
-    whole = long(bags).select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.var_samp("v").alias("v")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v")).first().v
-    k = norms.k
-    if not k:
-        return bags.sparkSession.createDataFrame([(float("inf"), float("inf"), float("inf"))], "scat double, dens double, s_dbw double")
-    near = np.sqrt(norms.sum) / k
-    parts = {r.bag_idx: np.asarray(r.bag, float) for r in unions(bags, clusters).collect()} if k <= 64 else {}
-    if k > 1 and not parts:
-        raise ValueError("s_dbw compares the unions of at most 64 clusters")
-    dens = 0.0
-    n = {r[0]: r[1] for r in clusters.where("cluster >= 0").groupBy("cluster").count().collect()}
-    pairs = [(i, j) for i in sorted(parts) for j in sorted(parts) if i < j]
-    for i, j in pairs:
-        both = bags.join(clusters.where(F.col("cluster").isin(i, j)).select("bag_idx"), "bag_idx", "left_semi")
-        union = bags.sparkSession.createDataFrame([(0, np.concatenate([parts[i], parts[j]]).tolist())], "bag_idx long, bag array<array<double>>")
-        d = pair_table(union, both, distance).agg(F.sum((F.col("d") <= float(near)).cast("int"))).first()[0] or 0
-        dens += 2 * d / max(n[i], n[j])
-    dens = dens / (k * (k - 1)) if k > 1 else 0.0
-    scat = norms.sum / whole / k if whole else float("nan")
-    return bags.sparkSession.createDataFrame([(float(scat), float(dens), float(scat + dens))], "scat double, dens double, s_dbw double")
+    """scat, dens and their sum: spread of clusters against all data, and how many bags lie near the union of two; infinite
+    without clusters.  The distances come from the pair table, whatever the number of clusters."""
+    from .evoclusters import Space
+
+    one = clusters.select(F.lit(0).cast("long").alias("ind_id"), "bag_idx", "cluster")
+    found = Space(bags, distance=distance).s_dbw(one).select("scat", "dens", "s_dbw")
+    return found.agg(*(F.coalesce(F.max(c), F.lit(float("inf"))).alias(c) for c in ("scat", "dens", "s_dbw")))
 
 
 def ftwcv(bags: DataFrame, clusters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

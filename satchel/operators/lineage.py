@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
-    spark = df.sparkSession
+def saved_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir; only where that is unset and the master is local, below a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bags-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write df below spark.checkpoint.dir and read it back."""
+    path = saved_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

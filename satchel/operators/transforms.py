@@ -91,7 +91,7 @@ def union_of_datasets(sets: list[DataFrame], positive: int = 1) -> DataFrame:
     """The positive bags of all sets with new ids from 0, labelled by the number of their set; widths must agree."""
     widths = {r[0] for s in sets for r in s.select(F.size(F.col("bag")[0])).limit(1).collect()}
     if len(widths) > 1:
-        raise ValueError("Number of attributes is not equal")
+        raise ValueError("the bags of these sets have instances of different widths")
     out = None
     for i, s in enumerate(sets):
         part = s.where(F.col("label") == positive).select(F.lit(i).alias("label"), "bag_idx", "bag")

@@ -204,10 +204,19 @@ def medoid_pair(g: Column, us: Column, vs: Column, low: int, high: int, p: float
     return F.transform(m, lambda x, i: F.when((i == 1) & (x == m[0]), F.when(x + 1 < high, x + 1).otherwise(F.greatest(x - 1, F.lit(low)))).otherwise(x))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ordered_labels(g: Column) -> Column:
     """Labels from 0 in the order of falling size, ties by label."""
-    kinds = F.array_sort(F.transform(F.array_distinct(g), lambda k: F.struct((-F.size(F.filter(g, lambda x: x == k))).alias("n"), k.alias("k"))))
-    return F.transform(g, lambda x: (F.array_position(F.transform(kinds, lambda s: s["k"]), x) - 1).cast("int"))
+
+    def placed(y: Column) -> Column:
+        kinds = F.array_sort(F.transform(F.array_distinct(y), lambda k: F.struct((-F.size(F.filter(y, lambda x: x == k))).alias("n"), k.alias("k"))))
+        return _once(F.transform(kinds, lambda s: s["k"]), lambda order: F.transform(y, lambda x: (F.array_position(order, x) - 1).cast("int")))
+
+    return _once(g, placed)
 
 
 def merged(g: Column, us: Column, p: float, least: int = 2) -> Column:

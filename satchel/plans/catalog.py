@@ -59,7 +59,7 @@ def population_rated(metric, name):
 
 
 def evolved(run):
-    return lambda s, d: rounded(run(vec(s, d), n=4, generations=1))
+    return lambda s, d: rounded(run(vec(s, d), n=4, generations=2))
 
 
 # SQL pieces
@@ -153,11 +153,11 @@ PRED = "pr as (select toxic as label, case when doc_id % 10 = 0 then -1 else 1 -
 
 def _multi(spark, d):
     e = views.table(spark, d, "embeddings")
-    flag = lambda c, s: F.transform(F.slice(c, 1, 6), lambda v: (v.cast("double") + s > 0).cast("int"))
+    flag = lambda c, s: F.transform(c, lambda v: (v.cast("double") + s > 0).cast("int"))
     return e.select(flag("embedding", 0.0).alias("truth"), flag("embedding", 0.02).alias("guess"))
 
 
-MULTI = "ml as (select vec_id as id, k as label, (embedding[k]::double > 0)::int as t, (embedding[k]::double + 0.02 > 0)::int as g from embeddings, (select unnest(range(1, 7)) as k))"
+MULTI = "ml as (select vec_id as id, k as label, (embedding[k]::double > 0)::int as t, (embedding[k]::double + 0.02 > 0)::int as g from embeddings, (select unnest(range(1, 65)) as k))"
 
 
 def _weighted(kind):
@@ -185,7 +185,7 @@ def queries():
         "cauchy_schwarz": lambda s, d: rounded(joins.pair_table(views.user_bags(s, d), None, "cauchy_schwarz")),
         "mahalanobis_2d": lambda s, d: joins.pair_table(views.user_bags(s, d), None, "mahalanobis").select("i", "j", (F.round(F.col("d"), 5) + 0.0).alias("d")),
         "l2_matrix": lambda s, d: rounded(vec(s, d).select("bag_idx", F.posexplode("bag").alias("a", "x"), "bag").select("bag_idx", "a", "x", F.posexplode("bag").alias("b", "y")).select("bag_idx", "a", "b", C.l2(F.col("x"), F.col("y")).alias("d"))),
-        "hausdorff_expression": lambda s, d: rounded(vec(s, d).select("bag_idx", F.slice("bag", 1, 2).alias("p"), F.slice("bag", 3, 3).alias("q")).select("bag_idx", *(C.hausdorff(k, F.col("p"), F.col("q")).alias(k) for k in PAIR))),
+        "hausdorff_expression": lambda s, d: rounded(vec(s, d).select("bag_idx", F.col("bag").alias("p")).join(vec(s, d).select((F.col("bag_idx") - 1).alias("bag_idx"), F.col("bag").alias("q")), "bag_idx").select("bag_idx", *(C.hausdorff(k, F.col("p"), F.col("q")).alias(k) for k in PAIR))),
         "pair_table_mirrored": lambda s, d: rounded(joins.pair_table(vec(s, d), None, "maxmin", compat_mirror=True)),
         "bag_mean": lambda s, d: rounded(vec(s, d).select("bag_idx", C.bag_mean(F.col("bag")).alias("c"))),
         "assign_nearest": lambda s, d: rounded(medoid_assignment(s, d)[1]),
@@ -197,9 +197,10 @@ def queries():
         "optics": lambda s, d: rounded(clusterers.OPTICS(EPS, 4).fit(vec(s, d))),
         "like_class": lambda s, d: clusterers.LikeClass().fit(vec(s, d)),
         "one_step_kmeans": lambda s, d: rounded(clusterers.one_step(vec(s, d), by_rule(vec(s, d)), repair=False)),
-        "mikmeans": lambda s, d: rounded(clusterers.KMeans(2, start=MEDOIDS, most_iterations=1, repair=False).fit(vec(s, d))),
+        "mikmeans": lambda s, d: rounded(clusterers.KMeans(2, start=MEDOIDS).fit(vec(s, d))),
+        "mikmeans_one_iteration": lambda s, d: rounded(clusterers.KMeans(2, start=MEDOIDS, most_iterations=1).fit(vec(s, d))),
         "mikmeans_until_stable": lambda s, d: rounded(clusterers.KMeans(3).fit(vec(s, d))),
-        "bamic": lambda s, d: rounded(clusterers.KMedoids(2, start=MEDOIDS, most_iterations=1, repair=False).fit(vec(s, d))),
+        "bamic": lambda s, d: rounded(clusterers.KMedoids(2, start=MEDOIDS).fit(vec(s, d))),
         "cluster_centroid": lambda s, d: rounded(centres.mean_centroids(views.order_instances(s, d), by_rule(views.order_instances(s, d).select("bag_idx").distinct()))),
         "cluster_centroid_first_twice": lambda s, d: rounded(centres.mean_centroids(views.user_instances(s, d), by_rule(views.user_bags(s, d)), compat_first_twice=True)),
         "cluster_medoid": lambda s, d: rounded(centres.medoids(vec(s, d), by_rule(vec(s, d))).select("cluster", "bag_idx", "d")),
@@ -261,6 +262,37 @@ def queries():
         "fuzzy_connectives": lambda s, d: rounded(_connected(s, d)),
         "relabel_genotype": lambda s, d: genotypes(s, d).select("ind_id", variation.ordered_labels(F.col("g")).alias("son")),
     }
+    q |= {
+        "one_step_repaired": lambda s, d: rounded(clusterers.one_step(vec(s, d), by_rule(vec(s, d)))),
+        "imputed": lambda s, d: rounded(transforms.imputed(_with_gaps(s, d)).select("bag_idx", "ord", "x")),
+        "mapped_accuracy": lambda s, d: rounded(external.accuracy(_cells(s, d))),
+        "real_clusters": lambda s, d: external.real_clusters(_partly(s, d)),
+        "class_sizes": lambda s, d: external.class_sizes(_partly(s, d)),
+        "best_and_worst_together": lambda s, d: population.united(population.chosen(_coded(s, d), population.ordered(_coded(s, d), 50)).drop("slot"), population.chosen(_coded(s, d), population.ordered(_coded(s, d), 70, False)).drop("slot")).select("ind_id", "fitness"),
+        "population_difference": lambda s, d: population.without(genotypes(s, d), genotypes(s, d).where("ind_id % 3 = 0")).select("ind_id", "fitness"),
+        "worst_first": lambda s, d: population.ordered(genotypes(s, d), 100, False),
+        "random_selection": lambda s, d: population.uniform(genotypes(s, d), _slots(s, d)),
+        "euclidean_pairs": lambda s, d: rounded(population.genotype_distances(genotypes(s, d).select("ind_id", F.col("r").alias("genotype")), "euclidean")),
+        "shared_fitness": lambda s, d: rounded(multiobjective.shared_fitness(genotypes(s, d), population.genotype_distances(genotypes(s, d).select("ind_id", F.col("g").alias("genotype"))), 40.0)),
+        "spea2_fitness": lambda s, d: rounded(multiobjective.spea2(_objectives(s, d), 3)),
+        "half_uniform_xover": lambda s, d: parents(s, d).select("ind_id", variation.half_uniform(F.col("g"), F.col("h"), _draws(5))[1].alias("son")),
+        "discrete_xover": lambda s, d: rounded(parents(s, d).select("ind_id", variation.uniform(F.col("r"), F.col("s"), _draws(5), 0.3)[1].alias("son"))),
+        "linear_xover_all": lambda s, d: rounded(parents(s, d).select("ind_id", *(x.alias(f"son{i}") for i, x in enumerate(variation.linear(F.col("r"), F.col("s"), 0.0, 1.0))))),
+        "several_loci_mutation": lambda s, d: genotypes(s, d).select("ind_id", variation.several_loci(F.col("g"), _draws(1), _draws(77), 7, 0, 5).alias("son")),
+        "muhlenbein_mutation": lambda s, d: rounded(genotypes(s, d).select("ind_id", variation.muhlenbein(F.col("r"), _draws(1), _draws(77), 0.0, 1.0, 0.1, 0.4).alias("son"))),
+        "modal_discrete_mutation": lambda s, d: rounded(genotypes(s, d).select("ind_id", variation.geometric(F.col("r"), _draws(1), _draws(77), 0.0, 1.0, p=0.4).alias("son"))),
+        "modal_continuous_mutation": lambda s, d: rounded(genotypes(s, d).select("ind_id", variation.modal_continuous(F.col("r"), _draws(1), _draws(77), 0.0, 1.0).alias("son"))),
+        "non_uniform_mutation": lambda s, d: rounded(genotypes(s, d).select("ind_id", variation.non_uniform(F.col("r"), _draws(1), _draws(77), 0.0, 1.0, 3, 10, p=0.4).alias("son"))),
+        "mixed_non_uniform_mutation": lambda s, d: rounded(genotypes(s, d).select("ind_id", variation.mixed_non_uniform(F.col("r"), _draws(1), _draws(77), 3, 10, p=0.4).alias("son"))),
+        "medoid_pair_mutation": lambda s, d: genotypes(s, d).select("ind_id", variation.medoid_pair(F.col("g"), _draws(1), _draws(77), 0, 5, 0.3).alias("son")),
+        "merge_mutation": lambda s, d: genotypes(s, d).select("ind_id", variation.merged(F.col("g"), _draws(1), 0.5).alias("son")),
+        "split_mutation": lambda s, d: genotypes(s, d).select("ind_id", variation.split(F.col("g"), _draws(1), _draws(77), 0.5, 7).alias("son")),
+        "reclassify_mutation": lambda s, d: genotypes(s, d).select("ind_id", variation.reclassified(F.col("g"), _draws(1), _draws(77), 0.5).alias("son")),
+        "implant_xover": lambda s, d: parents(s, d).select("ind_id", variation.implanted(F.col("g"), F.col("h"), _draws(1), _draws(5), _draws(77), 0.5, 0.5).alias("son")),
+        "population_ftwcv": population_rated("ftwcv", "ftwcv"),
+        "population_dbcv": population_rated("dbcv", "dbcv"),
+        "interval_closures": lambda s, d: views.table(s, d, "lineitem").groupBy("l_orderkey").agg(*(F.sum(C.contains(F.col("l_quantity"), 10.0, 20.0, k).cast("long")).alias(k.replace("-", "_")) for k in CLOSURES)),
+    }
     for kind in ("boltzmann", "disruptive", "linear_rank", "nonlinear_rank", "sigma"):
         q[f"weights_{kind}"] = _weighted(kind)
     q |= {name: population_rated(metric, name.removeprefix("population_")) for name, metric in RATED.items()}
@@ -275,6 +307,24 @@ def _cells(spark, d):
     return external.confusion(vec(spark, d).select((F.col("bag_idx") % 3).cast("int").alias("cluster"), (F.col("label") % 3).alias("label")))
 
 
+CLOSURES = ("closed-closed", "closed-open", "open-closed", "open-open")
+
+
+def _with_gaps(spark, d):
+    """Instances of users without the attribute at place ord % 5."""
+    return views.user_instances(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when(F.col("ord") % 5 != i, v)))
+
+
+def _partly(spark, d):
+    """Bags by rule, every tenth without a cluster."""
+    b = vec(spark, d)
+    return b.select(F.when(F.col("bag_idx") % 10 == 0, -1).otherwise(F.col("bag_idx") % 3).cast("int").alias("cluster"), "label")
+
+
+def _coded(spark, d):
+    return genotypes(spark, d).select("ind_id", F.col("g").alias("genotype"), "fitness")
+
+
 def _slots(spark, d):
     e = views.table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("slot"), ((F.col("vec_id") * 7919 + 13) % 1000 / F.lit(1000.0)).alias("u"))
@@ -306,7 +356,7 @@ def oracle_sql():
     for kind, (m, s, f) in {
         "algebraic": ("sqrt({p}) * sqrt({q})", "x + y - x * y", "x * y"),
         "einstein": ("case when {p} = 0 or {q} = 0 then 0 else 2 / (1 + sqrt((2 - {p}) / {p}) * sqrt((2 - {q}) / {q})) end", "(x + y) / (1 + x * y)", "(x * y) / (1 + (1 - x) * (1 - y))"),
-        "hamacher": ("case when {p} = 0 or {q} = 0 then 0 else 1 / (({q} - {q} * 0.5 - {p} * {q} + {p} * 0.5) / ({p} * {q}) + 1) end", "case when x = 1 and y = 1 then 1 else (x + y - 2 * x * y) / (1 - x * y) end", "case when x = 0 and y = 0 then 0 else (x * y) / (x + y - x * y) end"),
+        "hamacher": ("case when {p} = 0 or {q} = 0 then 0 else {p} * {q} / (0.5 * {p} + 0.5 * {q}) end", "case when x = 1 and y = 1 then 1 else (x + y - 2 * x * y) / (1 - x * y) end", "case when x = 0 and y = 0 then 0 else (x * y) / (x + y - x * y) end"),
         "logical": ("0.5 * {p} + 0.5 * {q}", "greatest(x, y)", "least(x, y)"),
     }.items():
         both = f"sqrt({f}) * sqrt({s})" if kind == "logical" else m.format(p=f"({f})", q=f"({s})")
@@ -317,7 +367,7 @@ def oracle_sql():
         "pair_table_mirrored": with_(VEC, ENDS, PAIR["maxmin"]) + f"select i, j, {r('d')} as d from p where i < j union all select j, i, {r('d')} from p where i < j",
         "mahalanobis_2d": with_("inst as (select user_id as bag, value as a, hour(ts)::double as b from events), st as (select bag, avg(a) as ma, avg(b) as mb, var_samp(a) as saa, var_samp(b) as sbb, covar_samp(a, b) as sab from inst group by 1)", "pr as (select p.bag as i, q.bag as j, p.ma - q.ma as da, p.mb - q.mb as db, (p.saa + q.saa) / 2 as aa, (p.sbb + q.sbb) / 2 as bb, (p.sab + q.sab) / 2 as ab from st p, st q where p.bag != q.bag)") + "select i, j, round((da * da * bb - 2 * da * db * ab + db * db * aa) / (aa * bb - ab * ab), 5) + 0.0 as d from pr",
         "l2_matrix": with_(VEC) + f"select a.bag as bag_idx, (a.ord % 5)::int as a, (b.ord % 5)::int as b, {r('list_distance(a.x, b.x)')} as d from inst a join inst b using (bag)",
-        "hausdorff_expression": with_(VEC, "e as (select a.bag, a.ord as oa, list_distance(a.x, b.x) as d, min(list_distance(a.x, b.x)) over (partition by a.bag, a.ord) as m from inst a join inst b using (bag) where a.ord % 5 < 2 and b.ord % 5 >= 2)") + f"select bag as bag_idx, {r('max(m)')} as maxmin, {r('min(m)')} as minmin, {r('avg(m)')} as meanmin, {r('avg(d)')} as mean from e group by bag",
+        "hausdorff_expression": with_(VEC, "e as (select a.bag, a.ord as oa, list_distance(a.x, b.x) as d, min(list_distance(a.x, b.x)) over (partition by a.bag, a.ord) as m from inst a join inst b on b.bag = a.bag + 1)") + f"select bag as bag_idx, {r('max(m)')} as maxmin, {r('min(m)')} as minmin, {r('avg(m)')} as meanmin, {r('avg(d)')} as mean from e group by bag",
         "bag_mean": with_(VEC, FLAT) + f"select bag as bag_idx, list({r('v')} order by dim) as c from (select bag, dim, avg(v) as v from flat group by all) group by bag",
         "assign_nearest": with_(VEC, NEAR2) + f"select bag as bag_idx, cluster::int as cluster, {r('d')} as d from asg",
         "eps_neighbors": minmin + f"select i, j, {r('d')} as d from near",
@@ -390,6 +440,59 @@ def oracle_sql():
         "weights_nonlinear_rank": weighted("0.3 * pow(0.7::double, k)"),
         "weights_sigma": weighted("case when s = 0 then 1 else greatest(1 + (fitness - m) / (2 * s), 0) end"),
     }
+    digit = lambda k, v=u_sql(77): f"({v} * 1048576.0::double * {2 * k + 3} * 0.6180339887498949::double - floor({v} * 1048576.0::double * {2 * k + 3} * 0.6180339887498949::double))"
+    side = f"(case when {digit(99)} < 0.5 then 1.0 else -1.0 end)::double"
+    gamma = lambda n: " + ".join(f"case when {digit(k)} < 0.0625 then {2.0**-k!r}::double else 0 end" for k in range(n + 1))
+    stepped = lambda n, p: mapped_sql(r(f"case when {u_sql(1)} < {p} then least(greatest(r[k] + {side} * 0.1::double * ({gamma(n)}), 0), 1) else r[k] end"))
+    triangles = []
+    for n in range(17):
+        middle, below, above = 2.0**-n, (2.0**-n - 2.0 ** -(n + 1)) / 2, (2.0 ** (1 - n) - 2.0**-n) / 2
+        t = digit(200 + n)
+        low_step = f"{middle - below!r}::double + sqrt({t} * {below * (below + above)!r}::double)"
+        high_step = f"{middle + above!r}::double - sqrt((1 - {t}) * {above * (below + above)!r}::double)"
+        triangles.append(f"case when {digit(n)} < 0.0625 then case when {t} < {below / (below + above)!r}::double then {low_step} else {high_step} end else 0 end")
+    part = f"(1 - pow(greatest({digit(1)}, 1e-300), {0.7**5!r}::double))"
+    other = f"(floor({u_sql(77)} * 4) + (floor({u_sql(77)} * 4) >= g[k])::int)::int"
+    ordered = lambda label, source="pop", of="g": with_(GENES, PAIRS, f"lb as (select ind_id, k, {label} as x from {source}, (select unnest(range(1, 65)) as k))", "cn as (select ind_id, x, row_number() over (partition by ind_id order by count(*) desc, x) - 1 as y from lb group by ind_id, x)") + "select ind_id, list(y::int order by k) as son from lb join cn using (ind_id, x) group by ind_id"
+    top = "(list_max(g) + 1)"
+    by_label = lambda n, c: f"((ind_id * 7919 + ({c}) * 104729 + {n}) % 1000) / 1000.0::double"
+    perms = "pm as (select a, b, c from (select unnest([0, 1, 2]) as a), (select unnest([0, 1, 2]) as b), (select unnest([0, 1, 2]) as c) where a != b and b != c and a != c), sc as (select a, b, c, sum(n) as hits from pm, cell where class = case cluster when 0 then a when 1 then b else c end group by all), mp as (select * from sc order by hits desc, a, b, c limit 1), hit as (select cluster, class, n, case cluster when 0 then a when 1 then b else c end as said from cell, mp)"
+    partly = with_(VEC, "pt as (select case when bag % 10 = 0 then -1 else bag % 3 end as cluster, label from lab)")
+    out |= {
+        "mikmeans_one_iteration": with_(VEC, FLAT, f"first as (select case bag when {MEDOIDS[0]} then 0 else 1 end as cluster, list(v order by dim) as c from (select bag, dim, avg(v) as v from flat where bag in ({MEDOIDS[0]}, {MEDOIDS[1]}) group by all) group by 1)", "asg as (select bag, cluster from (select *, row_number() over (partition by bag order by d, cluster) as r from (select i.bag, f.cluster, max(list_distance(i.x, f.c)) as d from inst i, first f group by all)) where r = 1)", "cen as (select cluster, list(v order by dim) as c from (select a.cluster, dim, avg(v) as v from flat f join asg a using (bag) group by all) group by cluster)", moved) + f"select bag as bag_idx, cluster::int as cluster, {r('d')} as d from fin",
+        "one_step_repaired": out["one_step_kmeans"],
+        "imputed": with_(USER, flat2) + f"select bag as bag_idx, ord, list({r('case when ord % 5 = dim then m else v end')} order by dim) as x from (select *, avg(case when ord % 5 != dim then v end) over (partition by dim) as m from flat) group by bag, ord",
+        "mapped_accuracy": cells + f", {perms} select {r('sum((class = said)::int * n) / sum(n)')} as accuracy, {r('100 * (1 - sum((class = said)::int * n) / sum(n))')} as error_rate from hit",
+        "class_metrics": cells + f", {perms}, k as (select unnest([0, 1, 2]) as class), q as (select k.class, sum((said = k.class and hit.class = k.class)::int * n) as tp, sum((said = k.class and hit.class != k.class)::int * n) as fp, sum((said != k.class and hit.class = k.class)::int * n) as fn, sum((said != k.class and hit.class != k.class)::int * n) as tn from k, hit group by 1) select class::int as class, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} as precision, {r('coalesce(tp / nullif(tp + fn, 0), 0)')} as recall, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} as f1, {r('coalesce(tn / nullif(tn + fp, 0), 0)')} as specificity from q",
+        "real_clusters": partly + "select count(distinct cluster) filter (where cluster >= 0) as clusters, count(distinct label) as classes, count(*) filter (where cluster < 0) as unassigned from pt",
+        "class_sizes": partly + "select label as class, count(*) as n, count(*) filter (where cluster >= 0) as assigned from pt group by 1",
+        "best_and_worst_together": with_(GENES, "pk as (select g, ind_id, fitness from (select *, row_number() over (order by fitness desc, ind_id) as a, row_number() over (order by fitness, ind_id) as b from pop) where a <= 50 or b <= 70)") + "select min(ind_id) as ind_id, arg_min(fitness, ind_id) as fitness from pk group by g",
+        "population_difference": with_(GENES) + "select ind_id, fitness from pop where ind_id % 3 != 0",
+        "worst_first": with_(GENES) + "select r - 1 as slot, ind_id from (select ind_id, row_number() over (order by fitness, ind_id) as r from pop) where r <= 100",
+        "random_selection": with_(GENES, slot, "pl as (select ind_id, row_number() over (order by ind_id) - 1 as p, count(*) over () as n from pop)") + "select slot, ind_id from sl join pl on p = floor(u * n)::bigint",
+        "euclidean_pairs": with_(GENES) + f"select a.ind_id as i, b.ind_id as j, {r('list_distance(a.r, b.r)')} as d from pop a join pop b on a.ind_id < b.ind_id",
+        "shared_fitness": with_(GENES, "hd as (select a.ind_id as i, b.ind_id as j, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] != z[2])::int)) as d from pop a join pop b on a.ind_id != b.ind_id)", "sh as (select i, sum(1 - d / 40.0::double) as s from hd where d < 40 group by i)") + f"select ind_id, {r('fitness / (1 + coalesce(s, 0))')} as fitness from pop left join sh on i = ind_id",
+        "spea2_fitness": with_(POINTS) + ", s as (select p.ind_id, count(d.j) as strength from pt p left join dom d on d.i = p.ind_id group by 1), rw as (select d.j, sum(t.strength) as raw from dom d join s t on t.ind_id = d.i group by 1), nr as (select p.ind_id, list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]) as d, row_number() over (partition by p.ind_id order by list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]), q.ind_id) as r from pt p join pt q on p.ind_id != q.ind_id), f as (select s.ind_id, s.strength, coalesce(rw.raw, 0)::bigint as raw, coalesce(1 / (nr.d + 2), 0.5) as density from s left join rw on rw.j = s.ind_id left join nr on nr.ind_id = s.ind_id and nr.r = 3) " + f"select ind_id, strength, raw, {r('density')} as density, {r('raw + density')} as fitness from f",
+        "pareto_front": with_(POINTS, "lv as (select ind_id, 0 as level from pt union select d.j, lv.level + 1 from lv join dom d on d.i = lv.ind_id)") + "select ind_id, max(level)::int as front from lv group by 1",
+        "half_uniform_xover": mapped_sql(f"case when {u_sql(5)} < 0.5 then g[k] else h[k] end", "par"),
+        "discrete_xover": mapped_sql(r(f"case when {u_sql(5)} < 0.3 then r[k] else s[k] end"), "par"),
+        "linear_xover_all": with_(GENES, PAIRS) + "select ind_id, " + ", ".join(f"list_transform(range(1, len(g) + 1), lambda k: {r(f'least(greatest(r[k] * {a} + s[k] * {b}, 0), 1)')}) as son{i}" for i, (a, b) in enumerate(((0.5, 0.5), (1.5, -0.5), (-0.5, 1.5)))) + " from par",
+        "several_loci_mutation": with_(GENES, f"us as (select *, list_sort(list_transform(range(1, len(g) + 1), lambda k: {u_sql(1)}))[7] as bar from pop)") + f"select ind_id, list_transform(range(1, len(g) + 1), lambda k: case when {u_sql(1)} <= bar then {other} else g[k] end) as son from us",
+        "muhlenbein_mutation": stepped(15, 0.4),
+        "modal_discrete_mutation": stepped(16, 0.4),
+        "modal_continuous_mutation": mapped_sql(r(f"case when {u_sql(1)} < 0.6 then least(greatest(r[k] + {side} * 0.1::double * ({' + '.join(triangles)}), 0), 1) else r[k] end")),
+        "non_uniform_mutation": mapped_sql(r(f"case when {u_sql(1)} < 0.4 then least(greatest(case when {digit(99)} < 0.5 then r[k] - r[k] * {part} else r[k] + (1 - r[k]) * {part} end, 0), 1) else r[k] end")),
+        "mixed_non_uniform_mutation": with_(GENES, f"m as (select ind_id, k, case when {u_sql(1)} < 0.4 then case when {digit(99)} < 0.5 then r[k] - r[k] * {part} else r[k] + (case when k in (11, 12) then 4 else 1 end - r[k]) * {part} end end as y, r[k] as x from pop, (select unnest(range(1, 65)) as k))") + f"select ind_id, list({r('case when y is null then x when k <= 10 then y else round(y) end')} order by k) as son from m group by ind_id",
+        "medoid_pair_mutation": with_(GENES, f"m as (select ind_id, list_transform(range(1, len(g) + 1), lambda k: case when {u_sql(1)} < 0.3 then {other} else g[k] end) as m from pop)") + "select ind_id, list_transform(range(1, len(m) + 1), lambda k: (case when k = 2 and m[2] = m[1] then case when m[2] + 1 < 5 then m[2] + 1 else greatest(m[2] - 1, 0) end else m[k] end)::int) as son from m",
+        "relabel_genotype": ordered("g[k]"),
+        "merge_mutation": ordered(f"case when g[k] <= 0 then g[k] else len(list_filter(range(1, g[k] + 1), lambda c: not ({by_label(1, 'c')} < 0.5 and {top} - c >= 2))) end"),
+        "split_mutation": with_(GENES, f"m as (select ind_id, k, g[k] as x, {top} + len(list_filter(range(0, g[k]), lambda c: {by_label(1, 'c')} < 0.5)) as new, {by_label(1, 'g[k]')} < 0.5 and {u_sql(77)} < 0.5 as go from pop, (select unnest(range(1, 65)) as k))") + "select ind_id, list((case when go and new < 7 then new else x end)::int order by k) as son from m group by ind_id",
+        "reclassify_mutation": ordered(f"case when list_contains(st, g[k]) then g[k] else st[1 + floor({u_sql(77)} * len(st))::int] end", f"(select *, list_filter(range(0, {top}), lambda c: {by_label(1, 'c')} >= 0.5 or c < 2) as st from pop)"),
+        "implant_xover": ordered(f"case when h[k] < {top} and {by_label(1, 'h[k]')} < 0.5 then h[k] when {by_label(1, 'g[k]')} < 0.5 and {u_sql(5)} < 0.5 then floor({u_sql(77)} * {top}) else g[k] end::int", "par"),
+        "best_cut_points": with_(USER, flat2, stats, "tr as (select dim, k, low, high, n, (high - low) / k as w, least(greatest(ceil((v - low) / ((high - low) / k)), 1), k) as slot from flat join st using (dim), (select unnest(range(1, 11)) as k) where high > low)", "ct as (select dim, k, low, high, w, slot, count(*) as c from tr group by all)", "ls as (select dim, k, low, high, sum(case when c < 2 then 'inf'::double else -c * ln((c - 1) / w) end) as loss from ct group by all)", "bs as (select *, row_number() over (partition by dim order by loss, k) as r from ls)") + f"select dim::int as dim, {rl('list_transform(range(1, k), lambda j: low + (high - low) * j / k)')} as cuts from bs where r = 1",
+        "interval_closures": "select l_orderkey, sum((l_quantity >= 10 and l_quantity <= 20)::int)::bigint as closed_closed, sum((l_quantity >= 10 and l_quantity < 20)::int)::bigint as closed_open, sum((l_quantity > 10 and l_quantity <= 20)::int)::bigint as open_closed, sum((l_quantity > 10 and l_quantity < 20)::int)::bigint as open_open from lineitem group by 1",
+        "population_ftwcv": "with f as (" + " union all ".join(f"select {t}::bigint as ind_id, ftwcv as f from ({out['ftwcv'].replace('% 3', f'% {t}')})" for t in RULES) + ") select ind_id, round(case when ind_id >= 4 then 1.5 * max(f) over () - f else min(f) over () end, 6) + 0.0 as ftwcv from f",
+    }
     for name in RATED:
         value = name.removeprefix("population_")
         # the SQL of one assignment, with its number of clusters (3, and 6 ordered pairs) replaced
