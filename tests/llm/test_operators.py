@@ -511,3 +511,117 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, str(tmp_path)).columns == table.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 300
+
+
+def test_words_of_equal_powers_sums_differ(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.components_by_similarity(rows).collect()} == {1: 1, 2: 2}
+
+
+def test_word_hashes_in_slices(texts, monkeypatch):
+    import pyarrow as pa
+
+    data, offsets = shared.text_bytes(pa.array([t or "" for t in texts if len(t or "") < 2000] + ["k" * 300 + " q"]))
+    whole = shared.WordHasher(shared.SPACED)(data, offsets)
+    monkeypatch.setattr(shared.WordHasher, "SLICE", 7)
+    for x, y in zip(whole, shared.WordHasher(shared.SPACED)(data, offsets), strict=True):
+        assert (x == y).all()
+
+
+def test_quality_scores_dont_depend_on_neighbours(texts):
+    model = byte_cnn.ByteCNN()
+    raw = [(t or "").encode() for t in texts]
+    together = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert together.tolist() == [model.scores(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in raw]
+
+
+def test_quality_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "abc", 5.0, "x"), (None, None, 6.0, "y")], "doc_id long, text string, score double, Predicted string")
+    model = byte_cnn.ByteCNN().fit([b"a"], np.array([1]))
+    found = byte_cnn.accepted(rows, model)
+    assert found.columns == rows.columns and sorted(r.score for r in found.collect()) == [5.0, 6.0]
+
+
+def test_decontamination_keeps_clashing_columns_and_finds_the_longest(spark):
+    words_ = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words_[3:28]) + " z", 7), (2, "clean text", 8)], "doc_id long, text string, decon_hit int")
+    bench = spark.createDataFrame([("a\nb\\", " ".join(words_)), ("c", " ".join(words_[5:20]))], "item_id string, text string")
+    for items in (1, 20):
+        found = {r.doc_id: r for r in suffix_decontam.decontaminated(docs, bench, block_items=items).collect()}
+        assert (found[1].decon_hit, found[1].decon_hit_, found[1].decon_longest, found[1].decon_longest_at, found[1].decon_longest_item) == (7, 25, 25, 2, "a\nb\\")
+        assert found[1].decon_items == ["a\nb\\", "c"] and found[2].decon_hit_ == 0
+    kept = suffix_decontam.clean(docs, bench)
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean text", 8)] and kept.columns == docs.columns
+
+
+def test_suffix_array_and_slices(monkeypatch):
+    g = np.random.Generator(np.random.PCG64(1))
+    w = g.integers(1, 4, 300).astype(np.uint64)
+    end = np.repeat([100, 101, 300], [100, 1, 199])
+    array = suffix_decontam.suffix_array(w, end, 16)
+    keys = [tuple(w[i : min(i + 16, end[i])].tolist()) for i in array]
+    assert sorted(array.tolist()) == list(range(300)) and keys == sorted(keys)
+    monkeypatch.setattr(suffix_decontam, "SHARD_WORDS", 13)
+    text = " ".join(f"v{x}" for x in g.integers(0, 9, 200))
+    items = [(str(i), " ".join(text.split()[i * 17 : i * 17 + 15])) for i in range(9)]
+    block = suffix_decontam.Block([i for i, _ in items], [t for _, t in items], 10)
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = suffix_decontam.matches(block, data, *shared.WordHasher(shared.ALNUM)(data, np.array([0, len(data)])))
+    assert {(p, n) for _, p, n, _ in found} >= {(i * 17, 15) for i in range(9)}
+
+
+def test_pii_spans_are_whole_and_many():
+    token, name = "a1" * 400, "Dr. " + "Ann" + "a" * 90 + " Smith"
+    text = f"password={token} {name} " + "b" * 90 + " (at) host (dot) com"
+    good, bad = pii.base_spans(text)
+    kinds = {k: text[a:b] for a, b, k in pii.more_spans(text, good, bad)}
+    assert kinds["secret"] == token and kinds["name"] == name[4:] and kinds["written_email"].startswith("b" * 90)
+    long = "x@y.zz password=abcdef1 " * 3000
+    good, bad = pii.base_spans(long)
+    assert len(good) == 3000 and len(pii.more_spans(long, good, bad)) == 3000
+
+
+def test_matroska_of_other_muxers(spark):
+    def el(ident, body):
+        return bytes.fromhex(ident) + (0x10000000 | len(body)).to_bytes(4, "big") + body
+
+    track = el("ae", el("d7", b"\x01") + el("86", b"A_OPUS") + el("23e383", (20_000_000).to_bytes(4, "big"))) + el("ae", el("d7", b"\x02") + el("86", b"V_VP9"))
+    laced = el("a3", b"\x81\x00\x05\x84\x02" + b"abcdef")  # fixed-size lacing of three frames
+    key, other = el("a0", el("a1", b"\x82\x00\x07\x00K")), el("a0", el("a1", b"\x82\x00\x09\x00P") + el("fb", b"\xfe"))
+    spread = el("a0", el("a1", b"\x82\x00\x10\x04\x01xy") + el("9b", b"\x08"))
+    cluster = el("1f43b675", el("e7", b"\x64") + laced + key + other + spread)
+    data = el("1a45dfa3", el("4282", b"webm")) + el("18538067", el("114d9b74", b"") + el("1549a966", el("2ad7b1", b"\x0f\x42\x40")) + el("1654ae6b", track) + cluster + el("1254c367", b""))
+    found = matroska.parse(data)
+    assert not found.damaged and found.tracks == {1: "A_OPUS", 2: "V_VP9"}
+    ms = [(p.track, p.timestamp_ns // 1_000_000, p.keyframe, data[p.start : p.end]) for p in found.packets]
+    assert ms == [(1, 105, True, b"ab"), (1, 125, True, b"cd"), (1, 145, True, b"ef"), (2, 107, True, b"K"), (2, 109, False, b"P"), (2, 116, True, b"x"), (2, 120, True, b"y")]
+
+
+def test_matroska_digests(docs, texts):
+    import hashlib
+
+    rows = {r.doc_id: r for r in matroska.media_features(docs).collect()}
+    for i, t in enumerate(texts):
+        payload = matroska.padded(t)[1]
+        assert rows[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert rows[i].media_sha256 == hashlib.sha256(matroska.mux(payload)).hexdigest()
+
+
+def test_ngram_join_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y")], "doc_id long, text string, stay_key string").withColumn("copies", F.lit(3))
+    kept = ngram_join.one_of_each(rows)
+    assert kept.columns == rows.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", "x", 3)]
+
+
+def test_repeats_of_equal_rows_and_null_ids(spark):
+    g = random.Random(3)
+    text = words(g, 120)
+    texts = [text, text, text, text[:400] + words(g, 80), None, "", "short", "short"]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in zip((1, 1, None, 4, None, 5, 6, 6), texts, strict=True)], "doc_id long, text string, kept int")
+    want = sorted(column_bwt.brute_force(texts))
+    assert sorted(tuple(r)[1:] for r in column_bwt.repeats_report(rows).collect()) == want
+    found = column_bwt.without_repeats(rows, keep=("doc_id", "kept"))
+    assert found.columns == ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_"]
