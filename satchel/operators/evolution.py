@@ -29,6 +29,7 @@ class Problem:
     maximise: bool = True
     p_cross: float = 1.0
     p_mutate: float = 0.1
+    sons: int = 2  # of a crossover, at most
 
 
 def integer_problem(length: int, low: int, high: int, evaluate, maximise: bool = True, p_locus: float = 0.05, p_mutate: float = 0.5) -> Problem:
@@ -60,9 +61,9 @@ def evaluated(problem: Problem, pop: DataFrame) -> DataFrame:
 def offspring(problem: Problem, parents: DataFrame, seed: int, first_id: int) -> DataFrame:
     """Children (ind_id, genotype, fitness null) of parents (slot, genotype): crossover by pairs, then mutation."""
     pairs = P.pairs(parents)
-    sons = problem.cross(F.col("a"), F.col("b"), seed, F.col("pair"))[:2]
+    sons = problem.cross(F.col("a"), F.col("b"), seed, F.col("pair"))[: problem.sons]
     crossed = F.when(draw(seed + 2, F.col("pair")) < problem.p_cross, F.array(*sons)).otherwise(F.array("a", "b") if len(sons) > 1 else F.array("a"))
-    rows = pairs.select("pair", F.posexplode(crossed).alias("side", "g")).select((F.lit(first_id) + F.col("pair") * 2 + F.col("side")).cast("long").alias("ind_id"), "g")
+    rows = pairs.select("pair", F.posexplode(crossed).alias("side", "g")).select((F.lit(first_id) + F.col("pair") * max(2, problem.sons) + F.col("side")).cast("long").alias("ind_id"), "g")
     g = F.when(draw(seed + 3, F.col("ind_id")) < problem.p_mutate, problem.mutate(F.col("g"), seed + 4, F.col("ind_id"))).otherwise(F.col("g"))
     return rows.select("ind_id", g.alias("genotype"), F.lit(None).cast("double").alias("fitness"))
 
@@ -123,14 +124,37 @@ def gap_mgg(problem: Problem, pop: DataFrame, n: int, seed: int, first_id: int,
     return pop.join(parents.select("ind_id"), "ind_id", "left_anti").unionByName(stay)
 
 
+def niching(kind: str = "sharing", radius: float = 1.0, distance: str = "hamming", **options) -> Callable[..., DataFrame]:
+    """A step whose parents are chosen by their fitness within niches (sharing or clearing, of a maximised fitness), while
+    children are rated by themselves.  A best parent that beats all children takes the place of the worst child; if there
+    are fewer children than individuals, the best parents fill up."""
+    rated = {"sharing": mo.shared_fitness, "clearing": mo.cleared}[kind]
+
+    def step(problem: Problem, pop: DataFrame, n: int, seed: int, first_id: int) -> DataFrame:
+        niched = saved(rated(pop, saved(P.genotype_distances(pop, distance)), radius, **options).select("ind_id", "fitness"))
+        parents = _parents(problem, pop.drop("fitness").join(niched, "ind_id"), n, seed)
+        children = saved(evaluated(problem, offspring(problem, parents, seed, first_id)))
+        short = n - children.count()
+        if short > 0:
+            return children.unionByName(_sorted(pop, problem.maximise).limit(short))
+        best, ahead = _sorted(pop, problem.maximise).limit(1), _sorted(children, problem.maximise).first().fitness
+        top = best.first().fitness
+        if top > ahead if problem.maximise else top < ahead:
+            return _sorted(children, problem.maximise).limit(children.count() - 1).unionByName(best)
+        return children
+
+    return step
+
+
 STEPS = {"SG": generational, "SGE": elitist, "SS": steady, "G3": gap_g3, "MGG": gap_mgg}
 
 
-def run(spark: SparkSession, problem: Problem, algorithm: str = "SGE", n: int = 40, generations: int = 10, seed: int = 1, acceptable: float | None = None, report: Report | None = None) -> DataFrame:
-    """The last population (ind_id, genotype, fitness)."""
+def run(spark: SparkSession, problem: Problem, algorithm: str | Callable[..., DataFrame] = "SGE", n: int = 40, generations: int = 10, seed: int = 1, acceptable: float | None = None, report: Report | None = None) -> DataFrame:
+    """The last population (ind_id, genotype, fitness); algorithm: a name of STEPS, or a step such as ``niching`` gives."""
+    step = STEPS[algorithm] if isinstance(algorithm, str) else algorithm
     pop = saved(evaluated(problem, problem.create(spark, n, seed)))
     for g in range(1, generations + 1):
-        pop = saved(STEPS[algorithm](problem, pop, n, seed * 1_000_003 + 17 * g, g * 10 * n))
+        pop = saved(step(problem, pop, n, seed * 1_000_003 + 17 * g, g * 10 * n))
         if report is not None:
             report(g, pop, problem.maximise)
         if acceptable is not None:
@@ -187,7 +211,8 @@ def spea2(spark: SparkSession, problem: Problem, n: int = 40, archive: int = 20,
     for g in range(generations + 1):
         s = seed * 1_000_003 + 17 * g
         every = saved(pop if kept is None else pop.unionByName(kept.select("ind_id", "genotype", "objectives")))
-        scored = mo.archive(mo.spea2(every, max(1, int((n + archive) ** 0.5))), archive)
+        k = max(1, int((n + archive) ** 0.5))
+        scored = mo.archive(saved(mo.spea2(every, k)), archive, every, k)
         kept = saved(every.join(scored.select("ind_id", "fitness"), "ind_id").select("ind_id", "genotype", "objectives", "fitness"))
         if g < generations:
             drawn = P.slots(spark, n, s).unionByName(P.slots(spark, n, s + 1))

@@ -5,6 +5,8 @@ A population is (ind_id, objectives array<double>), all objectives to be maximis
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,34 @@ def spea2(pop: DataFrame, k: int) -> DataFrame:
     return out.withColumn("fitness", F.col("raw") + F.col("density"))
 
 
-def archive(scored: DataFrame, size: int) -> DataFrame:
-    """The non-dominated ones (raw 0), cut or filled by fitness to ``size``."""
+def truncated(points: DataFrame, size: int, k: int = 1) -> DataFrame:
+    """The ind_id that stay of (ind_id, objectives) when crowded points leave, one at a time, until ``size`` are left: of the
+    point whose k-th nearest other is closest, that other one leaves.  Ties go by ind_id; with k others or fewer left, the
+    farthest counts.  Each step depends on the one before, so all points are in one task, which holds their distances."""
+
+    def stay(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ind_id")
+        x = np.array(group["objectives"].tolist(), float)
+        d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in x])
+        np.fill_diagonal(d, -1)  # itself comes first
+        left = np.arange(len(x))
+        while len(left) > size:
+            among = d[np.ix_(left, left)]
+            place = min(k, len(left) - 1)
+            other = among.argsort(1, kind="stable")[:, place]
+            closest = among[np.arange(len(left)), other].argmin()
+            left = np.delete(left, other[closest])
+        return group.iloc[left][["ind_id"]]
+
+    return points.select("ind_id", "objectives").groupBy().applyInPandas(stay, "ind_id long")
+
+
+def archive(scored: DataFrame, size: int, points: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """The non-dominated ones (raw 0), filled by fitness to ``size``; if they are more, cut by neighbours among ``points``
+    (ind_id, objectives), or by fitness without these."""
+    ahead = scored.where("raw = 0")
+    if points is not None and ahead.count() > size:
+        return scored.join(truncated(points.join(ahead.select("ind_id"), "ind_id"), size, k), "ind_id")
     return scored.orderBy((F.col("raw") > 0).cast("int"), "fitness", "ind_id").limit(size)
 
 

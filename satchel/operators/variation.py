@@ -261,3 +261,21 @@ def implanted(a: Column, b: Column, us: Column, vs: Column, ws: Column, p_cluste
         return F.when((donor < k) & (F.get(us, donor) < p_cluster), donor).otherwise(scattered).cast("int")
 
     return ordered_labels(F.transform(a, label))
+
+
+# Wrappers of operators, in the form that ``evolution.Problem`` takes
+
+
+def repeated(cross, times: int):
+    """The sons of ``times`` crossovers of the same parents, each with draws of its own."""
+    return lambda a, b, seed, key: tuple(son for t in range(times) for son in cross(a, b, seed + 101 * t, key))
+
+
+def by_component(crosses):
+    """Of genotypes that are arrays of components: each component is crossed by its own operator."""
+    return lambda a, b, seed, key: tuple(F.array(*part) for part in zip(*(c(a[i], b[i], seed + 101 * i, key) for i, c in enumerate(crosses)), strict=True))
+
+
+def mutated_components(mutations):
+    """Of genotypes that are arrays of components: each component is mutated by its own operator."""
+    return lambda g, seed, key: F.array(*(m(g[i], seed + 101 * i, key) for i, m in enumerate(mutations)))

@@ -275,6 +275,8 @@ def queries():
         "euclidean_pairs": lambda s, d: rounded(population.genotype_distances(genotypes(s, d).select("ind_id", F.col("r").alias("genotype")), "euclidean")),
         "shared_fitness": lambda s, d: rounded(multiobjective.shared_fitness(genotypes(s, d), population.genotype_distances(genotypes(s, d).select("ind_id", F.col("g").alias("genotype"))), 40.0)),
         "spea2_fitness": lambda s, d: rounded(multiobjective.spea2(_objectives(s, d), 3)),
+        "spea2_archive": lambda s, d: _archived(s, d, 60),
+        "spea2_truncated": lambda s, d: _archived(s, d, 5),
         "half_uniform_xover": lambda s, d: parents(s, d).select("ind_id", variation.half_uniform(F.col("g"), F.col("h"), _draws(5))[1].alias("son")),
         "discrete_xover": lambda s, d: rounded(parents(s, d).select("ind_id", variation.uniform(F.col("r"), F.col("s"), _draws(5), 0.3)[1].alias("son"))),
         "linear_xover_all": lambda s, d: rounded(parents(s, d).select("ind_id", *(x.alias(f"son{i}") for i, x in enumerate(variation.linear(F.col("r"), F.col("s"), 0.0, 1.0))))),
@@ -325,6 +327,11 @@ def _coded(spark, d):
     return genotypes(spark, d).select("ind_id", F.col("g").alias("genotype"), "fitness")
 
 
+def _archived(spark, d, size):
+    points = saved(_objectives(spark, d))
+    return rounded(multiobjective.archive(saved(multiobjective.spea2(points, 3)), size, points, 3).select("ind_id", "fitness"))
+
+
 def _slots(spark, d):
     e = views.table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("slot"), ((F.col("vec_id") * 7919 + 13) % 1000 / F.lit(1000.0)).alias("u"))
@@ -473,6 +480,7 @@ def oracle_sql():
         "euclidean_pairs": with_(GENES) + f"select a.ind_id as i, b.ind_id as j, {r('list_distance(a.r, b.r)')} as d from pop a join pop b on a.ind_id < b.ind_id",
         "shared_fitness": with_(GENES, "hd as (select a.ind_id as i, b.ind_id as j, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] != z[2])::int)) as d from pop a join pop b on a.ind_id != b.ind_id)", "sh as (select i, sum(1 - d / 40.0::double) as s from hd where d < 40 group by i)") + f"select ind_id, {r('fitness / (1 + coalesce(s, 0))')} as fitness from pop left join sh on i = ind_id",
         "spea2_fitness": with_(POINTS) + ", s as (select p.ind_id, count(d.j) as strength from pt p left join dom d on d.i = p.ind_id group by 1), rw as (select d.j, sum(t.strength) as raw from dom d join s t on t.ind_id = d.i group by 1), nr as (select p.ind_id, list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]) as d, row_number() over (partition by p.ind_id order by list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]), q.ind_id) as r from pt p join pt q on p.ind_id != q.ind_id), f as (select s.ind_id, s.strength, coalesce(rw.raw, 0)::bigint as raw, coalesce(1 / (nr.d + 2), 0.5) as density from s left join rw on rw.j = s.ind_id left join nr on nr.ind_id = s.ind_id and nr.r = 3) " + f"select ind_id, strength, raw, {r('density')} as density, {r('raw + density')} as fitness from f",
+        "spea2_archive": with_(POINTS) + ", s as (select p.ind_id, count(d.j) as strength from pt p left join dom d on d.i = p.ind_id group by 1), rw as (select d.j, sum(t.strength) as raw from dom d join s t on t.ind_id = d.i group by 1), nr as (select p.ind_id, list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]) as d, row_number() over (partition by p.ind_id order by list_distance([p.a, p.b, p.c], [q.a, q.b, q.c]), q.ind_id) as r from pt p join pt q on p.ind_id != q.ind_id), f as (select s.ind_id, s.strength, coalesce(rw.raw, 0)::bigint as raw, coalesce(1 / (nr.d + 2), 0.5) as density from s left join rw on rw.j = s.ind_id left join nr on nr.ind_id = s.ind_id and nr.r = 3) " + f"select ind_id, {r('raw + density')} as fitness from f order by raw > 0, raw + density, ind_id limit 60",
         "pareto_front": with_(POINTS, "lv as (select ind_id, 0 as level from pt union select d.j, lv.level + 1 from lv join dom d on d.i = lv.ind_id)") + "select ind_id, max(level)::int as front from lv group by 1",
         "half_uniform_xover": mapped_sql(f"case when {u_sql(5)} < 0.5 then g[k] else h[k] end", "par"),
         "discrete_xover": mapped_sql(r(f"case when {u_sql(5)} < 0.3 then r[k] else s[k] end"), "par"),

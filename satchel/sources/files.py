@@ -108,6 +108,11 @@ def write_optics(order: DataFrame, path: str) -> None:
     order.orderBy("ord").select(F.concat_ws(" ", F.col("ord").cast("string"), F.col("bag_idx").cast("string"), said("core"), said("reach")).alias("value")).write.text(path)
 
 
+def write_reachability(order: DataFrame, path: str) -> None:
+    """The reachability table (ord, bag_idx, core, reach) as Parquet, in ranges of the cluster order; null where undefined."""
+    order.repartitionByRange("ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(path)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 

@@ -212,6 +212,53 @@ def test_multiobjective(spark):
     assert evolution.spea2(spark, problem, 8, 4, 1).count() == 4
 
 
+def test_truncation_by_neighbours(spark):
+    g = np.random.Generator(np.random.PCG64(7))
+    x = {i: v for i, v in enumerate(g.integers(0, 6, (25, 2)).astype(float).tolist())}  # with ties and repeated points
+    points = spark.createDataFrame(list(x.items()), "ind_id long, objectives array<double>").repartition(5)
+    for k in (1, 3, 40):
+        left = sorted(x)
+        while len(left) > 6:
+            near = []
+            for i in left:
+                others = sorted((((x[i][0] - x[j][0]) ** 2 + (x[i][1] - x[j][1]) ** 2) ** 0.5, j) for j in left if j != i)
+                near.append((others[min(k, len(others)) - 1][0], i, others[min(k, len(others)) - 1][1]))
+            left.remove(min(near)[2])
+        assert {r.ind_id for r in multiobjective.truncated(points, 6, k).collect()} == set(left)
+    assert multiobjective.truncated(points.limit(0), 6).count() == 0 and multiobjective.truncated(points, 30).count() == 25
+    line = spark.createDataFrame([(0, [0.0, 9.0]), (1, [1.0, 8.0]), (2, [1.5, 7.5]), (3, [9.0, 0.0]), (4, [0.0, 0.0])], "ind_id long, objectives array<double>")
+    scored = multiobjective.spea2(line, 1)
+    assert {r.ind_id for r in multiobjective.archive(scored, 3, line).collect()} == {0, 1, 3}
+    assert multiobjective.archive(scored, 5, line).count() == 5
+
+
+def test_niching_keeps_the_best(spark):
+    evaluate = lambda pop: pop.withColumn("fitness", F.aggregate("genotype", F.lit(0.0), lambda s, v: s + v))
+    problem = evolution.integer_problem(8, 0, 2, evaluate)
+    first = problem.evaluate(problem.create(spark, 8, 1)).agg(F.max("fitness")).first()[0]
+    for step in (evolution.niching("sharing", 3.0, alpha=1.0), evolution.niching("clearing", 3.0, kappa=1)):
+        last = evolution.run(spark, problem, step, 8, 2)
+        assert last.count() == 8 and last.agg(F.max("fitness")).first()[0] >= first
+        assert last.where(F.col("fitness") != F.aggregate("genotype", F.lit(0.0), lambda s, v: s + v)).isEmpty()
+
+
+def test_operator_wrappers(spark):
+    rows = spark.createDataFrame([(0, [[1, 1, 1], [5, 5]], [[2, 2, 2], [6, 6]])], "k long, a array<array<int>>, b array<array<int>>")
+    swap = lambda a, b, seed, key: (b, a)
+    keep = lambda a, b, seed, key: (a, b)
+    a, b = F.col("a"), F.col("b")
+    r = rows.select(F.array(*variation.by_component([swap, keep])(a, b, 1, F.col("k"))).alias("s"), F.array(*variation.repeated(swap, 3)(a, b, 1, F.col("k"))).alias("t"), variation.mutated_components([lambda g, *_: F.reverse(g), lambda g, *_: F.slice(g, 1, 1)])(b, 1, F.col("k")).alias("m")).first()
+    assert r.s == [[[2, 2, 2], [5, 5]], [[1, 1, 1], [6, 6]]]
+    assert len(r.t) == 6 and r.t[:2] == r.t[2:4] == [[[2, 2, 2], [6, 6]], [[1, 1, 1], [5, 5]]]
+    assert r.m == [[2, 2, 2], [6]]
+
+
+def test_reachability_table(spark, tmp_path):
+    order = spark.createDataFrame([(1, 7, None, 0.5), (0, 3, 0.2, None)], "ord int, bag_idx long, core double, reach double")
+    files.write_reachability(order, str(tmp_path / "order"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "order")).collect())) == [(0, 3, 0.2, None), (1, 7, None, 0.5)]
+
+
 def test_programs(spark):
     df = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
     assert df.select(programs.column(["+", "a", "*", "b", "4"])).first()[0] == 14
@@ -299,8 +346,7 @@ def test_registered_queries_match_sql(spark):
 
     import duckdb
 
-    from satchel.plans import catalog
-
+    
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
         pytest.skip("no tables")
