@@ -136,9 +136,11 @@ def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame, by: tuple[str,
 
 
 def full_evaluation(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> dict[str, float]:
-    """All internal indices; the pair table is computed once."""
+    """All internal indices; the pair table is computed once.  Where no bag is assigned none is defined, so none is given."""
     from .lineage import saved
 
+    if clusters.where("cluster >= 0").isEmpty():
+        return {}
     own, between = saved(to_own_centroid(bags, clusters, distance)), saved(centroid_distances(bags, clusters, distance))
     pairs = saved(pair_table(bags, None, distance))
     d = bags.select(F.size(F.col("bag")[0])).first()[0]

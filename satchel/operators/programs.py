@@ -126,33 +126,31 @@ class Grammar:
 
     def derive(self, size: int, seed: int, symbol: str | None = None) -> list:
         """A tree [symbol, child, ...] with exactly ``size`` productions."""
-        g = random.Random(seed)
-
-        def symbol_tree(s: str, n: int) -> list:
-            pick = g.randrange(self.count(s, n))
-            for r in self.rules[s]:
-                w = self._ways(tuple(r), n - 1)
-                if pick < w:
-                    return [s, *children(tuple(r), n - 1)]
-                pick -= w
-            raise AssertionError
-
-        def children(symbols: tuple[str, ...], n: int) -> list:
-            if not symbols:
-                return []
-            if symbols[0] not in self.rules:
-                return [symbols[0], *children(symbols[1:], n)]
-            ways = [self.count(symbols[0], k) * self._ways(symbols[1:], n - k) for k in range(1, n + 1)]
-            pick = g.randrange(sum(ways))
-            for k, w in enumerate(ways, 1):
-                if pick < w:
-                    return [symbol_tree(symbols[0], k), *children(symbols[1:], n - k)]
-                pick -= w
-            raise AssertionError
-
         s = symbol or self.start
         sizes = [k for k in range(1, size + 1) if self.count(s, k)]
-        return symbol_tree(s, size if self.count(s, size) else max(sizes))
+        return self._drawn(random.Random(seed), s, size if self.count(s, size) else max(sizes))
+
+    def _drawn(self, g: random.Random, symbol: str, n: int) -> list:
+        pick = g.randrange(self.count(symbol, n))
+        for r in self.rules[symbol]:
+            w = self._ways(tuple(r), n - 1)
+            if pick < w:
+                return [symbol, *self._children(g, tuple(r), n - 1)]
+            pick -= w
+        raise AssertionError
+
+    def _children(self, g: random.Random, symbols: tuple[str, ...], n: int) -> list:
+        if not symbols:
+            return []
+        if symbols[0] not in self.rules:
+            return [symbols[0], *self._children(g, symbols[1:], n)]
+        ways = [self.count(symbols[0], k) * self._ways(symbols[1:], n - k) for k in range(1, n + 1)]
+        pick = g.randrange(sum(ways))
+        for k, w in enumerate(ways, 1):
+            if pick < w:
+                return [self._drawn(g, symbols[0], k), *self._children(g, symbols[1:], n - k)]
+            pick -= w
+        raise AssertionError
 
     def terminals(self, tree) -> list[str]:
         return [tree] if isinstance(tree, str) else [t for c in tree[1:] for t in self.terminals(c)]
@@ -194,6 +192,35 @@ class Grammar:
         sizes = [k for k in range(max(1, low), high + 1) if self.count(s, k)]
         return self._put(tree, p, self.derive(g.choice(sizes), seed + 1, s)) if sizes else tree
 
+    def _recursive(self, tree) -> list[tuple[tuple[int, ...], str, list[int]]]:
+        """Branches with a child of their own symbol, and the places of such children."""
+        found = [(p, s, [i for i, c in enumerate(self._at(tree, p)) if i and not isinstance(c, str) and c[0] == s]) for p, s in self.nodes(tree)]
+        return [f for f in found if f[2]]
+
+    def recursed(self, tree, most: int, seed: int):
+        """One step more of a recursion: a branch below a branch of its own symbol moves into a further production of it,
+        whose other symbols are derived anew.  The tree itself, if it has no recursion or nothing fits in ``most``."""
+        g = random.Random(seed)
+        if not (places := self._recursive(tree)):
+            return tree
+        p, s, below = g.choice(places)
+        at = (*p, g.choice(below))
+        rules = [(r[:k], r[k + 1 :]) for r in self.rules[s] for k, x in enumerate(r) if x == s]
+        fits = [(a, b, n) for a, b in rules for n in range(most - self.size(tree)) if self._ways((*a, *b), n)]
+        if not fits:
+            return tree
+        a, b, n = g.choice(fits)
+        drawn = self._children(g, (*a, *b), n)
+        return self._put(tree, at, [s, *drawn[: len(a)], self._at(tree, at), *drawn[len(a) :]])
+
+    def unrecursed(self, tree, seed: int):
+        """One step less: a branch gives way to a child of its own symbol.  The tree itself, if it has no recursion."""
+        g = random.Random(seed)
+        if not (places := self._recursive(tree)):
+            return tree
+        p, _, below = g.choice(places)
+        return self._put(tree, p, self._at(tree, (*p, g.choice(below))))
+
 
 # Several trees per individual: an operator on one of them (drawn, or named by its index), or on all
 

@@ -122,3 +122,15 @@ def evaluation_text(name: str, metrics: dict[str, float], confusion: str) -> str
     return "\n".join([f"=== {name} ===", confusion, "", *(f"{k:<{width}}  {v:.12g}" for k, v in metrics.items())])
 
 
+def write_classification(rows: DataFrame, folder: str, name: str, seconds: float | None = None) -> None:
+    """Of predictions (id, label, predicted; predicted -1 for none) of one run: every row as CSV below ``folder``/name, and
+    one row of rates appended to ``folder``/global."""
+    from ..operators import external
+
+    rows.select("id", "label", "predicted").write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+    parts = [external.rates(rows), external.kappa(rows), external.geometric_mean(rows), external.auc(rows)]
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"))
+    for one in parts:
+        whole = whole.join(one)  # one row each
+    whole = whole.select(F.lit(name).alias("run"), "rows", "success", "fail", "unclassified", "kappa", "geometric_mean", "auc", F.lit(seconds).cast("double").alias("seconds"))
+    write_results(whole, f"{folder}/global")

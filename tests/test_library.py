@@ -285,6 +285,81 @@ def test_grammar():
     assert set(g.terminals(a)) <= {"x", "+", "(", ")"}
 
 
+def test_grammar_recursion():
+    rules = {"E": [["E", "+", "T"], ["T"]], "T": [["x"], ["(", "E", ")"]]}
+    g = programs.Grammar(rules, "E")
+
+    def valid(tree):
+        return isinstance(tree, str) or [c if isinstance(c, str) else c[0] for c in tree[1:]] in rules[tree[0]] and all(map(valid, tree[1:]))
+
+    tree = g.derive(9, 1)
+    changed = 0
+    for seed in range(20):
+        more, less = g.recursed(tree, 14, seed), g.unrecursed(tree, seed)
+        assert valid(more) and valid(less) and g.size(more) <= 14
+        if more != tree:
+            changed += 1
+            assert g.size(more) > g.size(tree)
+            assert all(tree_terms in g.terminals(more) for tree_terms in g.terminals(tree))
+        assert less == tree or g.size(less) < g.size(tree)
+        assert g.recursed(tree, g.size(tree), seed) == tree
+    plain = ["E", ["T", "x"]]
+    assert changed and g.recursed(plain, 20, 1) == plain and g.unrecursed(plain, 1) == plain
+    assert g.unrecursed(["E", ["E", ["T", "x"]], "+", ["T", "x"]], 1) == plain
+
+
+def test_experiments(spark, blobs, tmp_path):
+    from satchel.operators import experiments
+
+    kept = {}
+
+    def report(title, text):
+        kept[title] = text
+        return title
+
+    jobs = [("kmeans", {"k": 3, "start": [0, 1, 2]}, "blobs"), ("dbscan", {"epsilon": 0.0, "min_points": 99}, "blobs")]
+    found = experiments.run(spark, jobs, lambda name: blobs, report)
+    assert found.columns == experiments.RESULT and len(found.columns) == 23
+    first, noise = found.collect()
+    assert (first["Clusters"], first["Clusterd bags"], first["Unclustered bags"], first["Purity"], first["Rand index"], first["Precision"]) == (3, 30, 0, 1.0, 1.0, 1.0)
+    assert first["Silhouete"] > 0.9 and first["Conf Matrix"].count(";") == 2 and noise["Silhouete"] is None
+    assert (noise["Clusters"], noise["Unclustered bags"]) == (0, 30) and noise["Conf Matrix"] == "-1: 10 10 10"
+    assert "Purity" in kept["kmeans blobs"] and first["Report"] == "kmeans blobs"
+    files.write_results(found, str(tmp_path / "results"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "results")).columns == experiments.RESULT
+    with pytest.raises(ValueError, match="no clusterer named"):
+        experiments.run(spark, [("none", {}, "blobs")], lambda name: blobs)
+
+
+CONFIG = """<experiment><process algorithm-type="a.b.MIGKA"><population-size>3</population-size><max-of-generations>1</max-of-generations>
+<rand-gen-factory multi="true"><rand-gen-factory type="r" seed="62"/><rand-gen-factory type="r" seed="63"/></rand-gen-factory>
+<evaluator type="e"><dataset multi="true"><dataset>x</dataset><dataset>y</dataset></dataset><num-clusters>3</num-clusters>
+<distance type="HausdorffDistance"><config>-hausdorff-type 1</config></distance><metric>twcv</metric></evaluator>
+<mutator><mut-prob>0.9</mut-prob><decorated type="m" locus-mut-prob="0.7"/></mutator></process></experiment>"""
+
+
+def test_evolutionary_configs(spark, blobs):
+    from satchel.operators import experiments
+
+    jobs = experiments.evolutionary_jobs(CONFIG)
+    assert sorted((name, data, given["seed"]) for name, data, given in jobs) == [("MIGKA", d, s) for d in "xy" for s in (62, 63)]
+    assert jobs[0][2] == {"n": 3, "generations": 1, "seed": jobs[0][2]["seed"], "k": 3, "metric": "twcv", "distance": "minmin", "p": 0.7}
+    one = CONFIG.replace(' multi="true"', "").replace("<dataset><dataset>x</dataset><dataset>y</dataset></dataset>", "<dataset>x</dataset>").replace('<rand-gen-factory><rand-gen-factory type="r" seed="62"/><rand-gen-factory type="r" seed="63"/></rand-gen-factory>', '<rand-gen-factory seed="62"/>')
+    ((name, data, _, last),) = experiments.evolve(one, lambda _: blobs)
+    assert (name, data) == ("MIGKA", "x") and last.count() == 3 and last.where("fitness is null").isEmpty()
+    with pytest.raises(ValueError, match="no algorithm named"):
+        experiments.evolutionary_jobs(CONFIG.replace("MIGKA", "none"))
+
+
+def test_classification_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, -1)], "id long, label int, predicted int")
+    for name in ("one", "two"):
+        files.write_classification(rows, str(tmp_path), name, 1.5)
+    assert spark.read.option("header", True).csv(str(tmp_path / "one")).count() == 4
+    whole = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "global")).orderBy("run").collect()
+    assert [(r.run, r.rows, r.success, r.unclassified, r.seconds) for r in whole] == [("one", 4, 0.5, 0.25, 1.5), ("two", 4, 0.5, 0.25, 1.5)]
+
+
 ARFF = """% comment
 @relation toy
 @attribute bag_id {b0,b1,b2}
