@@ -5,8 +5,8 @@ chunks of 512 bytes that overlap by half, each filter is max-pooled in each chun
 maximum of its chunks, combined by a logistic unit into one probability.
 
 Fitting takes a bounded sample of labelled rows (``sample_docs``, ``sample_bytes``); documents with contradicting labels
-are not used.  Scoring reads all of every text, in tiles of a fixed shape: a text's score doesn't depend on its
-neighbours, and a long text takes a fixed tile and 0.4 bytes a byte.
+are not used.  Scoring reads all of every text, with the fitted embedding and filters rounded to whole numbers whose
+sums are exact: a text's score doesn't depend on its neighbours.  A long text takes a tile and 0.4 bytes a byte.
 
 Null and empty texts are one chunk of padding and get the probability of that chunk.  Repeated rows and ties get equal
 scores, an empty table gives an empty result, and without labelled rows of both classes the score is the share of class
@@ -15,6 +15,8 @@ scores, an empty table gives an empty result, and without labelled rows of both
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,28 +83,37 @@ class ByteCNN:
             return z
         return z, (raw, x, y, begin, best, last, pair, act, c_n, c_at, top, feats, at)
 
+    def _whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Embedding and filters as whole numbers, and what one unit of their products is worth.
+
+        At most 127 * 2,047 * 2 * STEP * EMBED is below 2^24, so float32 sums of them are exact in any order."""
+        p, most = self.p, (127, 2047)
+        size = [max(float(max(np.abs(p[k]).max() for k in keys)), 1e-30) for keys in (("emb",), ("w1", "w2"))]
+        emb, w1, w2 = (np.rint(p[k].astype(np.float64) * (most[i] / size[i])).astype(np.float32) for k, i in (("emb", 0), ("w1", 1), ("w2", 1)))
+        return emb, w1, w2, size[0] * size[1] / (most[0] * most[1])
+
     def _halves(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Each filter's maximum over half chunks that begin at these places of texts which end there."""
-        p, width = self.p, (HALF + 1) * STEP
+        """Each filter's maximum, in units of _whole, over half chunks that begin at these places of texts which end there."""
+        (emb, w1, w2, _), width = self._whole(), (HALF + 1) * STEP
         out = np.empty((len(begin), FILTERS), np.float32)
         place, step = np.arange(width), np.arange(HALF)
         for a in range(0, len(begin), TILE):
-            z = min(len(begin), a + TILE)
-            at, to = np.zeros(TILE, np.int64), np.zeros(TILE, np.int64)
-            at[: z - a], to[: z - a] = begin[a:z], end[a:z]
-            byte = at[:, None] + place
-            raw = np.where(byte < to[:, None], data[np.minimum(byte, len(data) - 1)], 0) if len(data) else np.zeros((TILE, width), np.uint8)
-            x = p["emb"][raw].reshape(TILE, HALF + 1, STEP * EMBED)
-            y = np.ascontiguousarray(x[:, :-1]).reshape(-1, STEP * EMBED) @ p["w1"]
-            y += np.ascontiguousarray(x[:, 1:]).reshape(-1, STEP * EMBED) @ p["w2"]
+            at, to = begin[a : a + TILE], end[a : a + TILE]
+            n, byte = len(at), at[:, None] + place
+            raw = np.where(byte < to[:, None], data[np.minimum(byte, len(data) - 1)], 0) if len(data) else np.zeros((n, width), np.uint8)
+            x = emb[raw].reshape(n, HALF + 1, STEP * EMBED)
+            y = np.ascontiguousarray(x[:, :-1]).reshape(-1, STEP * EMBED) @ w1
+            y += np.ascontiguousarray(x[:, 1:]).reshape(-1, STEP * EMBED) @ w2
             # the last block of a text has no right half; the first position always counts
             blocks = np.maximum(1, -(-(to - at) // STEP) - 1)
-            y = np.where((step < blocks[:, None])[:, :, None], y.reshape(TILE, HALF, FILTERS), -np.inf)
-            out[a:z] = y.max(1)[: z - a]
+            y = np.where((step < blocks[:, None])[:, :, None], y.reshape(n, HALF, FILTERS), -np.inf)
+            out[a : a + TILE] = y.max(1)
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The probability of each text; the same for equal texts, whatever stands beside them."""
+        """The probability of each text; exactly the same for equal texts, whatever stands beside them.
+
+        Filters are applied in whole numbers, and their sums over chunks and features are exact before they are rounded."""
         if self.prior is not None:
             return np.full(len(offsets) - 1, self.prior)
         lengths, at = np.diff(offsets), offsets[:-1] - offsets[0]
@@ -110,13 +121,14 @@ class ByteCNN:
         h_at = np.concatenate([[0], np.cumsum(halves)])
         begin = np.repeat(at, halves) + HALF * STEP * (np.arange(h_at[-1]) - np.repeat(h_at[:-1], halves))
         best = self._halves(data, begin, np.repeat(at + lengths, halves))
-        out = np.empty(len(lengths))
+        out, unit = np.empty(len(lengths)), self._whole()[3]
         v, c = self.p["v"].astype(np.float64), float(self.p["c"][0])
+        floor = np.rint(self.p["b"].astype(np.float64) / unit)  # the bias in the same units
         for i, (a, b) in enumerate(zip(h_at[:-1].tolist(), h_at[1:].tolist(), strict=True)):
             mine = best[a:b]
-            chunk = np.maximum((np.maximum(mine[:-1], mine[1:]) if b - a > 1 else mine) + self.p["b"], 0)
-            z = float((np.concatenate([chunk.mean(0, dtype=np.float64), chunk.max(0)]) * v).sum()) + c
-            out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            chunk = np.maximum((np.maximum(mine[:-1], mine[1:]) if b - a > 1 else mine) + floor, 0)
+            z = math.fsum((np.concatenate([chunk.sum(0) / len(chunk), chunk.max(0)]) * unit * v).tolist()) + c
+            out[i] = 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
         return out
 
     def _gradients(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray):
@@ -192,7 +204,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs:
     rows = labels.where("quality in (0, 1) and doc_id is not null").where(usable).select("doc_id", "quality")
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # one row for each labelled id, so that an id with very many rows sends no more than one text
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     texts, marks, left = [], [], sample_bytes
     for r in found.toLocalIterator():
         raw = r.text.encode()
