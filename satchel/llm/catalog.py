@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, column_bwt, feistel_shards, matroska, mixing, ngram_join, ordinal_toxicity, pii, suffix_decontam, warc
+from . import byte_cnn, column_bwt, crc_ring, feistel_shards, matroska, mixing, ngram_join, ordinal_toxicity, pii, ratio_rules, suffix_decontam, warc
 from .shared import table
 
 
@@ -18,6 +18,8 @@ def queries():
         "op8_matroska": lambda spark, d: matroska.media_features(table(spark, d, "documents")),
         "op9_suffix_decontam": lambda spark, d: suffix_decontam.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_column_bwt": lambda spark, d: column_bwt.repeats_report(table(spark, d, "documents")),
+        "op11_ratio_rules": lambda spark, d: ratio_rules.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op13_crc_resampling": lambda spark, d: crc_ring.resampled(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
@@ -67,6 +69,51 @@ _REPEATS = """
     from t left join kept using (doc_id)"""
 
 
+#: crc32 of the strings k of a table, by the usual table of 256 steps; c is unsigned.
+_CRC = """
+    tab as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(0, 256)) as i))),
+    crc as (select k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]))) as c from (select k, hex(encode(k)) as h from keys), tab)"""
+
+#: Counts of words, lines and windows; gains of one and two words at a time.  Labels of fewer than 20,000 good ids are all taken.
+_RULES = rf"""
+    with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    u as (select r, unnest(w) as k, generate_subscripts(w, 1) as i from d),
+    keys as (select distinct k from (select k from u union all select doc_id::varchar from labels where doc_id is not null)), {_CRC},
+    good as (select doc_id from labels join crc on k = doc_id::varchar where quality in (0, 1) and c % 3 <> 1 group by doc_id having min(quality) = 1),
+    one as (select r, i, c from u join crc using (k)),
+    next as (select r, c, lead(c) over (partition by r order by i) as c2 from one),
+    f as (select r, c % 16384 as b from one union all select r, (c * 31 + c2) % 16384 from next where c2 is not null),
+    t as (select r from d semi join good using (doc_id)),
+    n as (select b, count(*) as s, count(t.r) as t from f left join t using (r) group by b),
+    every as (select sum(s)::double as s, sum(t)::double as t from n),
+    gain as (select b, case when every.t > 0 then floor(1000 * ln((n.t + 1) * (every.s + 16384) / ((n.s + 1) * (every.t + 16384))))::bigint else 0 end as gain from n, every),
+    ratio as (select r, sum(gain)::bigint as ratio, count(*) as n_features from f join gain using (b) group by r),
+    five as (select r, i, k || ' ' || lead(k, 1) over o || ' ' || lead(k, 2) over o || ' ' || lead(k, 3) over o || ' ' || lead(k, 4) over o as x from u window o as (partition by r order by i)),
+    win as (select r, i, count(*) over (partition by r, x) as n from five where x is not null),
+    twice as (select r, count(distinct p) as n_repeat_words from (select r, unnest(range(i, i + 5)) as p from win where n > 1) group by r),
+    line as (select r, count(*) - count(distinct x) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by r),
+    found as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(ratio, 0)::bigint as ratio, coalesce(n_features, 0)::bigint as n_features
+        from d left join ratio using (r) left join twice using (r) left join line using (r))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and ratio >= -100 * n_features as kept, ratio, n_features from found"""
+
+#: Words of documents and target by bucket, gains, keyed Gumbel noise, and the places of the tenth that is drawn.
+_RESAMPLED = rf"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    f as (select r, unnest(w) as k from d),
+    g as (select unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as k from benchmark),
+    keys as (select distinct k from (select k from f union all select k from g)), {_CRC},
+    s as (select c % 10000 as b, count(*) as s from f join crc using (k) group by 1),
+    t as (select c % 10000 as b, count(*) as t from g join crc using (k) group by 1),
+    n as (select (select count(*) from f)::double as s, (select count(*) from g)::double as t),
+    gain as (select s.b, floor(1000 * ln((coalesce(t.t, 0) + 1)::double * (n.s + 10000) / ((s.s + 1)::double * (n.t + 10000))))::bigint as gain from s left join t using (b), n),
+    weight as (select r, sum(gain)::bigint as weight from f join crc using (k) join gain on b = c % 10000 group by r),
+    scored as (select d.doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint as h from d left join weight using (r)),
+    full_ as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from scored),
+    placed as (select *, row_number() over (order by score desc, doc_id nulls first, n_features, weight) as place, count(*) over () as n from full_ where n_features >= 20)
+    select doc_id, n_features, weight, score, case when place <= n // 10 then place end as rank from placed
+    union all select doc_id, n_features, weight, score, null from full_ where n_features < 20"""
+
+
 def oracle_sql():
     return {
         "op1_warc_index": f"""
@@ -79,4 +126,6 @@ def oracle_sql():
         "op2_ngram_join": _JOIN,
         "op9_suffix_decontam": _DECON,
         "op10_column_bwt": _REPEATS,
+        "op11_ratio_rules": _RULES,
+        "op13_crc_resampling": _RESAMPLED,
     }

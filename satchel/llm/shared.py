@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ranks
+
 U64 = np.uint64
 #: Paths of the tables that written() has made and nothing has removed.
 MADE: list[str] = []
@@ -110,6 +112,12 @@ def forget(spark: SparkSession, since: int, keep: int | tuple[DataFrame, ...] =
     MADE[since:] = [path for path in MADE[since:] if path in stay]
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with ``name``: 0, 1, 2, ... in this order, from range partitions and their counts; rows that tie are numbered in any
+    order."""
+    return ranks.numbered(df, order, name, lambda x: written(x, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
