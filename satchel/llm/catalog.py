@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, column_bwt, crc_ring, feistel_shards, matroska, mixing, ngram_join, ordinal_toxicity, pii, ratio_rules, suffix_decontam, warc
+from . import byte_cnn, column_bwt, crc_ring, feistel_shards, matroska, mixing, ngram_join, ordinal_toxicity, pii, prefix_trie, ratio_rules, suffix_decontam, warc
 from .shared import table
 
 
@@ -19,6 +19,7 @@ def queries():
         "op9_suffix_decontam": lambda spark, d: suffix_decontam.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_column_bwt": lambda spark, d: column_bwt.repeats_report(table(spark, d, "documents")),
         "op11_ratio_rules": lambda spark, d: ratio_rules.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op12_prefix_trie": lambda spark, d: prefix_trie.prefix_trie(table(spark, d, "conversations")),
         "op13_crc_resampling": lambda spark, d: crc_ring.resampled(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
@@ -86,7 +87,7 @@ _RULES = rf"""
     t as (select r from d semi join good using (doc_id)),
     n as (select b, count(*) as s, count(t.r) as t from f left join t using (r) group by b),
     every as (select sum(s)::double as s, sum(t)::double as t from n),
-    gain as (select b, case when every.t > 0 then floor(1000 * ln((n.t + 1) * (every.s + 16384) / ((n.s + 1) * (every.t + 16384))))::bigint else 0 end as gain from n, every),
+    gain as (select b, floor(1000 * ln((n.t + 1)::double * every.s / (n.s::double * every.t + every.s)))::bigint as gain from n, every),
     ratio as (select r, sum(gain)::bigint as ratio, count(*) as n_features from f join gain using (b) group by r),
     five as (select r, i, k || ' ' || lead(k, 1) over o || ' ' || lead(k, 2) over o || ' ' || lead(k, 3) over o || ' ' || lead(k, 4) over o as x from u window o as (partition by r order by i)),
     win as (select r, i, count(*) over (partition by r, x) as n from five where x is not null),
@@ -96,6 +97,23 @@ _RULES = rf"""
         from d left join ratio using (r) left join twice using (r) left join line using (r))
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and ratio >= -100 * n_features as kept, ratio, n_features from found"""
 
+#: Rebuilt conversations as strings of 64 digits a turn; nodes are their beginnings, subtrees those that begin alike.
+_TRIE = rf"""
+    with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as p, role, text from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+    keys as (select distinct conv_id::varchar as k from t), {_CRC},
+    c as (select k::bigint as conv_id, c % 6 as h from crc),
+    r as (select conv_id, p, role, text from t join c using (conv_id) where p >= h union all select c.conv_id, p, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 100 where p < h),
+    path as (select conv_id, length(text) as chars, row_number() over o as depth, string_agg(md5(role) || md5(text), '') over o as k from r window o as (partition by conv_id order by p)),
+    every as (select conv_id, chars, depth, k from path union all select conv_id, 0, 0, '' from c),
+    node as (select k, min(conv_id) as conv_id, any_value(depth) as depth, any_value(chars) as chars, count(*) as n from every group by k),
+    last as (select conv_id, max_by(k, depth) as k from every group by conv_id),
+    sha as (select k, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as s from last group by k),
+    kids as (select substr(k, 1, length(k) - 64) as k, count(*) as n_children from node where depth > 0 group by 1),
+    low as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (k)),
+    up as (select a.k, sum((z.n_children = 0)::int) as n_leaves, sum((z.n - 1) * z.chars) as saved from (select k, unnest(range(0, depth + 1)) as d from low) as x join low z on z.k = x.k join low a on a.k = substr(x.k, 1, 64 * x.d) group by a.k)
+    select low.conv_id, low.depth, p.conv_id as parent_conv_id, low.n::bigint as n_convs, low.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, coalesce(s, sha256('')) as ends_sha256
+    from low left join node p on low.depth > 0 and p.k = substr(low.k, 1, 64 * (low.depth - 1)) left join up on up.k = low.k left join sha on sha.k = low.k"""
+
 #: Words of documents and target by bucket, gains, keyed Gumbel noise, and the places of the tenth that is drawn.
 _RESAMPLED = rf"""
     with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -127,5 +145,6 @@ def oracle_sql():
         "op9_suffix_decontam": _DECON,
         "op10_column_bwt": _REPEATS,
         "op11_ratio_rules": _RULES,
+        "op12_prefix_trie": _TRIE,
         "op13_crc_resampling": _RESAMPLED,
     }

@@ -94,17 +94,20 @@ def trusted(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int
 
 
 def gains(docs: DataFrame, labels: DataFrame, usable: Column, buckets_: int, most: int, sample_docs: int) -> list[int]:
-    """Of each bucket floor(1000 ln(share among trusted documents / share in all documents)), shares smoothed by 1."""
+    """Of each bucket floor(1000 ln(t / s)): its count among trusted documents against that in all documents at the same total,
+    one added to both, so that what is too rare to be expected among the trusted says nothing."""
     marked = trusted(docs.select("doc_id", "text"), labels, usable, sample_docs)
     every = let(hashed(words("text")), lambda h: F.concat(*(F.transform(run(h), lambda x: x % buckets_) for run in runs(most))))
     flat = marked.select("_trusted", F.explode(every).alias("b"))
     found = flat.groupBy("b").agg(F.count(F.lit(1)).alias("s"), F.count_if("_trusted").alias("t")).collect()
     counts = {r.b: (r.s, r.t) for r in found}  # a row per bucket
     all_s, all_t = sum(s for s, _ in counts.values()), sum(t for _, t in counts.values())
-    if not all_t:
-        return [0] * buckets_
     rows = (counts.get(b, (0, 0)) for b in range(buckets_))
-    return [math.floor(1000 * math.log((t + 1) * (all_s + buckets_) / ((s + 1) * (all_t + buckets_)))) for s, t in rows]
+    return [_gain(s, t, all_s, all_t) for s, t in rows]
+
+
+def _gain(s: int, t: int, all_s: int, all_t: int) -> int:
+    return math.floor(1000 * math.log((t + 1.0) * all_s / (float(s) * all_t + all_s))) if all_s else 0
 
 
 def judged(docs: DataFrame, gain: list[int], least: int = -100, most: int = 2) -> DataFrame:
@@ -163,7 +166,7 @@ def brute_force(docs: list[tuple], good: set, buckets_: int = 1 << 14, most: int
         if i in good:
             target.update(of(cut(t)))
     s, t_ = sum(raw.values()), sum(target.values())
-    gain = {b: math.floor(1000 * math.log((target[b] + 1) * (s + buckets_) / ((raw[b] + 1) * (t_ + buckets_)))) if t_ else 0 for b in range(buckets_)}
+    gain = {b: _gain(raw[b], target[b], s, t_) for b in range(buckets_)}
     out = {}
     for i, t in docs:
         w, seen, lines = cut(t), Counter(), Counter()

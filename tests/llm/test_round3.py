@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.llm import crc_ring, ratio_rules
+from satchel.llm import crc_ring, prefix_trie, ratio_rules
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,51 @@ def test_running_crcs_in_slices():
     for each in (1, 7, 64, 1 << 20):
         parts = list(crc_ring.crcs(raw, 3, each))
         assert sum(n for n, _ in parts) == len(words) and set(np.concatenate([x for _, x in parts]).tolist()) == want
+
+
+@pytest.fixture(scope="module")
+def turns():
+    g = random.Random(4)
+    said = [("user", "hi"), ("assistant", "hello é"), (None, "x"), ("user", None), ("", ""), ("system", "be kind")]
+    out = []
+    for c in [*range(0, 40), *range(100, 130), *range(250, 290), 300, 5]:
+        out += [(c, k if g.random() < 0.9 else None, *g.choice(said[: 2 + c % 5])) for k in range(g.randrange(1, 9))]
+    out += [(400, k, "user", str(k % 3)) for k in range(700)] + [(401, k, "user", str(k % 3)) for k in range(650)]  # long ones
+    out += [(c, k, "user", f"same {k}") for c in range(500, 560) for k in range(6)]  # copies
+    return out + [(None, 0, "user", "nobody's"), (7, 1, "user", "hi"), (7, 1, "user", "hi")]
+
+
+@pytest.mark.parametrize(("partitions", "nodes"), [(8, 50_000), (61, 10)])
+def test_prefix_trie(spark, turns, partitions, nodes):
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit(1)).repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", partitions == 8)
+    try:
+        found = prefix_trie.prefix_trie(table, nodes, 40 if nodes == 10 else 1 << 16).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert sorted(map(tuple, found), key=str) == sorted(prefix_trie.brute_force(turns), key=str)
+
+
+def test_prefix_trie_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], schema)).count() == 0
+    rows = [(c, None, None, "z" * 100_000) for c in (1, 2, 3, 3, 101)]
+    assert sorted(map(tuple, prefix_trie.prefix_trie(spark.createDataFrame(rows, schema)).collect()), key=str) == sorted(prefix_trie.brute_force(rows), key=str)
+
+
+def test_states_of_paths_are_put_together():
+    g = random.Random(9)
+    steps = [(1, g.randrange(prefix_trie.PRIME), g.randrange(prefix_trie.PRIME)) for _ in range(9)]
+    whole = (0, 0, 0)
+    for s in steps:
+        whole = prefix_trie.appended(whole, s)
+    for cut in range(10):
+        a, b = (0, 0, 0), (0, 0, 0)
+        for s in steps[:cut]:
+            a = prefix_trie.appended(a, s)
+        for s in steps[cut:]:
+            b = prefix_trie.appended(b, s)
+        assert prefix_trie.appended(a, b) == whole
