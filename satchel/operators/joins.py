@@ -1,8 +1,9 @@
 """Distance joins between bags: all pairs, range, k nearest, nearest centre.
 
 The pair table is quadratic by definition.  Both sides are cut into blocks of bounded size, and each pair of blocks is a
-group of its own, compared as matrices; nothing is broadcast, and a task holds two blocks.  Filters that belong to the
-join (range, k nearest) are applied inside the group, so that only what they keep leaves it.
+group of its own, compared as matrices; nothing is broadcast, and a task holds two blocks.  The range join and the k
+nearest visit only the cells of bags that can be near enough (spatial.py), for all distances that have a lower bound; for
+the others their filters are applied inside the group, so that only what they keep leaves it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import spatial
 
 BLOCK = 256
 
@@ -59,20 +61,19 @@ def pair_table(left: DataFrame, right: DataFrame | None = None, distance: str =
 
 
 def range_join(left: DataFrame, right: DataFrame, epsilon: float, distance: str = "minmin", block: int = BLOCK) -> DataFrame:
-    """(i, j, d) with d <= epsilon; a bag is its own neighbour."""
+    """(i, j, d) with d <= epsilon; a bag that stands on both sides is its own neighbour."""
+    if distance in spatial.BOUNDED:
+        return spatial.within(left, right, epsilon, distance)
     return _joined(left, right, distance, lambda i, ids, d: (d <= epsilon) | (ids == i), block)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int, distance: str = "minmin", block: int = BLOCK) -> DataFrame:
-    """(i, j, d, rank): the k nearest of right, other than itself, ties by index; k per block leave a group."""
-
-    def keep(i, ids, d):
-        order = np.lexsort((ids, d))
-        mask = np.zeros(len(ids), bool)
-        mask[[x for x in order[: k + 1] if ids[x] != i][:k]] = True
-        return mask
-
-    found = _joined(left, right, distance, keep, block)
+    """(i, j, d, rank): the k nearest of right, other than itself, ties by index; k per group leave it."""
+    keep = spatial.nearest_of(k)
+    if distance in spatial.BOUNDED:
+        found = spatial.nearest(left, right, k, distance).joined(keep)
+    else:
+        found = _joined(left, right, distance, lambda i, ids, d: keep(i, ids, d, None, None), block)
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
