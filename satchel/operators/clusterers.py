@@ -9,10 +9,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import long
+from . import ranks
 from .centres import held, mean_centroids, medoids
 from .joins import assign_nearest, range_join
 from .lineage import saved
@@ -143,46 +145,77 @@ class DBSCAN:
 UNDEFINED = 2147483647.0
 
 
-class OPTICS:
-    """Cluster ordering.  The neighbours within epsilon come from Spark; the ordering is a priority queue over them."""
-
-    def __init__(self, epsilon: float = 0.9, min_points: int = 6, distance: str = "minmin", compat_expand_all: bool = False) -> None:
-        self.epsilon, self.min_points, self.distance, self.expand_all = epsilon, min_points, distance, compat_expand_all
-
-    def core_distances(self, bags: DataFrame) -> DataFrame:
-        """bag_idx and core: the distance of the min_points-th neighbour (itself included), null if there are fewer."""
-        near = range_join(bags, bags, self.epsilon, self.distance)
-        ranked = near.groupBy("i").agg(F.sort_array(F.collect_list("d")).alias("d"))
-        return ranked.select(F.col("i").alias("bag_idx"), F.when(F.size("d") >= self.min_points, F.get("d", F.lit(self.min_points - 1))).alias("core"))
+def _runs(expand_all: bool, undefined: float):
+    """Orders the bags of one component: (start, step, bag_idx, core, reach), a run for each start in the order of keys."""
 
-    def fit(self, bags: DataFrame) -> DataFrame:
-        """(ord, bag_idx, core, reach); the edges within epsilon are held by the driver, as the ordering is sequential."""
-        near: dict[int, list[tuple[float, int]]] = {}
-        for r in range_join(bags, bags, self.epsilon, self.distance).toLocalIterator():
-            near.setdefault(r.i, []).append((r.d, r.j))
-        core = {i: sorted(v)[self.min_points - 1][0] if len(v) >= self.min_points else None for i, v in near.items()}
+    def order(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        core = dict(zip(nodes.bag_idx.tolist(), nodes.core.tolist(), strict=True))
+        edges = edges.sort_values("i")
+        source, target, far = edges.i.to_numpy(), edges.j.to_numpy(), edges.d.to_numpy()
         done, out = set(), []
-
-        def reach_of(i, d):
-            return d if core[i] is None else max(core[i], d)
-
-        for start in sorted(near, key=str):
+        for start in sorted(core, key=str):
             if start in done:
                 continue
-            best = {start: UNDEFINED}
-            heap = [(UNDEFINED, str(start), start)]
+            best, heap, step = {start: undefined}, [(undefined, str(start), start)], 0
             while heap:
                 reach, _, i = heapq.heappop(heap)
                 if i in done or reach > best[i]:
                     continue
                 done.add(i)
-                out.append((len(out), i, core[i], None if reach == UNDEFINED else float(reach)))
-                if core[i] is not None or self.expand_all:
-                    for d, j in near[i]:
-                        if j not in done and reach_of(i, d) < best.get(j, UNDEFINED):
-                            best[j] = reach_of(i, d)
-                            heapq.heappush(heap, (best[j], str(j), j))
-        return bags.sparkSession.createDataFrame(out, "ord int, bag_idx long, core double, reach double")
+                out.append((start, step, i, core[i], None if reach == undefined else reach))
+                step += 1
+                if pd.isna(core[i]) and not expand_all:
+                    continue
+                mine = slice(*np.searchsorted(source, [i, i + 1]))
+                for j, d in zip(target[mine].tolist(), far[mine].tolist(), strict=True):
+                    d = d if pd.isna(core[i]) else max(core[i], d)
+                    if j not in done and d < best.get(j, undefined):
+                        best[j] = d
+                        heapq.heappush(heap, (d, str(j), j))
+        return pd.DataFrame(out, columns=["start", "step", "bag_idx", "core", "reach"]).astype({"core": float, "reach": float})
+
+    return order
+
+
+class OPTICS:
+    """Cluster ordering.
+
+    A run of the ordering stays inside one component of the graph of expanding bags and their neighbours, so components are
+    ordered in tasks of their own; runs are put in the order of the keys (as strings) that they start from, and numbered by
+    their sizes.  Bags that no expanding bag reaches are runs of their own, made without a task.  The ordering inside a
+    component is sequential, so a task holds the edges of one component; nothing is held by the driver.
+    """
+
+    def __init__(self, epsilon: float = 0.9, min_points: int = 6, distance: str = "minmin", compat_expand_all: bool = False) -> None:
+        self.epsilon, self.min_points, self.distance, self.expand_all = epsilon, min_points, distance, compat_expand_all
+
+    def _cores(self, near: DataFrame) -> DataFrame:
+        by = Window.partitionBy("i").orderBy("d", "j")
+        kth = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= self.min_points)
+        return kth.groupBy(F.col("i").alias("bag_idx")).agg(F.max(F.when(F.col("place") == self.min_points, F.col("d"))).alias("core"))
+
+    def core_distances(self, bags: DataFrame) -> DataFrame:
+        """bag_idx and core: the distance of the min_points-th neighbour (itself included), null if there are fewer."""
+        return self._cores(range_join(bags, bags, self.epsilon, self.distance))
+
+    def fit(self, bags: DataFrame) -> DataFrame:
+        """(ord, bag_idx, core, reach)."""
+        near = saved(range_join(bags, bags, self.epsilon, self.distance))
+        core = saved(self._cores(near))
+        used = near.where("i != j")
+        if not self.expand_all:
+            used = used.join(core.where("core is not null").select(F.col("bag_idx").alias("i")), "i", "left_semi")
+        parts = saved(least_reachable(used.select(F.col("i").alias("a"), F.col("j").alias("b"))))
+        nodes = core.join(parts.withColumnRenamed("node", "bag_idx"), "bag_idx").select("least", "bag_idx", "core")
+        edges = used.join(parts.withColumnRenamed("node", "i"), "i").select(F.col("least").alias("part"), "i", "j", "d")
+        order = _runs(self.expand_all, UNDEFINED)
+        runs = nodes.groupBy("least").cogroup(edges.groupBy("part")).applyInPandas(order, "start long, step long, bag_idx long, core double, reach double")
+        alone = core.join(parts.withColumnRenamed("node", "bag_idx"), "bag_idx", "left_anti").select(F.col("bag_idx").alias("start"), F.lit(0).cast("long").alias("step"), "bag_idx", "core", F.lit(None).cast("double").alias("reach"))
+        runs = saved(runs.unionByName(alone))
+        sizes = runs.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+        placed, _ = ranks.running(sizes, [F.col("start").cast("string"), "start"], "n")
+        found = runs.join(placed.select("start", "before"), "start")
+        return found.select((F.col("before") + F.col("step")).cast("int").alias("ord"), "bag_idx", F.when(~F.isnan("core"), F.col("core")).alias("core"), F.when(~F.isnan("reach"), F.col("reach")).alias("reach"))
 
 
 CLUSTERERS = {"kmeans": KMeans, "bamic": KMedoids, "dbscan": DBSCAN, "optics": OPTICS, "like_class": LikeClass}

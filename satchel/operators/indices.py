@@ -10,21 +10,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.columns import bag_mean, total
 from ..sources.views import long
 from .centres import held, mean_centroids, spreads, unions
-from .joins import assign_nearest, pair_table
+from .joins import pair_table
 
 
 def to_own_centroid(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
-    """bag_idx, cluster, d: distance to the mean centroid of the bag's own cluster."""
+    """bag_idx, cluster, d: distance to the mean centroid of the bag's own cluster (k centroids go with the task)."""
     centres = held(mean_centroids(long(bags), clusters))
-    out = None
-    for c, m in sorted(centres.items()):  # k plans over disjoint bags
-        mine = bags.join(clusters.where(F.col("cluster") == c).select("bag_idx"), "bag_idx", "left_semi")
-        part = assign_nearest(mine, {c: m}, distance)
-        out = part if out is None else out.unionByName(part)
-    return out
+    mine = bags.select("bag_idx", "bag").join(clusters.where("cluster >= 0").select("bag_idx", "cluster"), "bag_idx")
+
+    def measure(batches):
+        for pdf in batches:
+            d = [kernels.distance(distance, np.stack(b), centres[c][None]) for b, c in zip(pdf.bag, pdf.cluster, strict=True)]
+            yield pd.DataFrame({"bag_idx": pdf.bag_idx, "cluster": pdf.cluster, "d": np.array(d, float)})
+
+    return mine.mapInPandas(measure, "bag_idx long, cluster int, d double")
 
 
 def centroid_distances(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
@@ -93,13 +96,43 @@ def ftwcv_fitness(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(e)).select("ind_id", F.when(F.col("complete"), 1.5 * F.col("_max") - F.col("f")).otherwise(F.col("_min")).alias("fitness"))
 
 
+def longest_links(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and longest: the longest edge of the least spanning tree of each graph of edges (keys, i, j, r) with i < j.
+
+    All graphs at once: in each round every part of a tree takes its least edge to another part (ties by i and j), parts
+    that meet become one by pointer jumping, and of the edges between two parts the least stays.  So parts at least halve, and
+    neither a graph nor a part is ever in one task.  A graph that isn't connected has the trees of its components."""
+    from .lineage import saved
+
+    ends = [F.struct(*keys, F.col(c).alias("v")) for c in ("i", "j")]
+    left, longest = saved(edges.select(ends[0].alias("a"), ends[1].alias("b"), F.struct("r", "i", "j").alias("e"))), None
+    while not left.isEmpty():
+        picked = left.union(left.select("b", "a", "e")).groupBy("a").agg(F.min(F.struct("e", "b")).alias("m"))
+        picked = saved(picked.select("a", F.col("m.b").alias("up"), F.col("m.e.r").alias("r")))
+        most = picked.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.max("r").alias("longest"))
+        longest = most if longest is None else longest.unionByName(most)
+        # of two parts that pick each other the first is the root
+        other = picked.select(F.col("a").alias("up"), F.col("up").alias("back"))
+        to = saved(picked.join(other, "up").select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("up")), F.col("a")).otherwise(F.col("up")).alias("up")))
+        while True:
+            further = to.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            jumped = saved(to.join(further, "up").select("a", "up", "top"))
+            to = jumped.select("a", F.col("top").alias("up"))
+            if jumped.where("up != top").isEmpty():
+                break
+        both = left.join(to, "a").drop("a").withColumnRenamed("up", "p").join(to.withColumnRenamed("a", "b"), "b").select("p", F.col("up").alias("q"), "e").where("p != q")
+        left = saved(both.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("e").alias("e")))
+    if longest is None:
+        return edges.select(*keys, F.col("r").alias("longest")).limit(0)
+    return longest.groupBy(*keys).agg(F.max("longest").alias("longest"))
+
+
 def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Density-based validity: each cluster's spanning tree of mutual reachability against the gap to other clusters.
 
-    Noise (negative clusters) counts in the weights only.  The tree is built per cluster from its edges.
+    Noise (negative clusters) counts in the weights only.  The trees of all clusters, and of all keys, grow together.
     """
     d = bags.select(F.size(F.col("bag")[0])).first()[0]
-    types = dict(clusters.dtypes)
     every = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_every"))
     c = clusters.where("cluster >= 0").select(*by, "bag_idx", "cluster")
     inside = pairs.join(c.toDF(*by, "i", "ci"), "i").join(c.toDF(*by, "j", "cj"), [*by, "j"])
@@ -107,26 +140,7 @@ def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame, by: tuple[str,
     core = own.groupBy(*by, "i").agg(F.pow(F.sum(F.pow(1 / F.greatest("d", F.lit(1e-12)), F.lit(float(d)))) / F.count("d"), F.lit(-1.0 / d)).alias("core"))
     reach = inside.join(core.toDF(*by, "i", "ki"), [*by, "i"]).join(core.toDF(*by, "j", "kj"), [*by, "j"]).withColumn("r", F.greatest("d", "ki", "kj"))
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "i", "j"])
-        to: dict[int, int] = {}
-
-        def top(x):
-            while to.get(x, x) != x:
-                to[x] = to.get(to[x], to[x])
-                x = to[x]
-            return x
-
-        longest = 0.0
-        for i, j, r in zip(pdf.i, pdf.j, pdf.r, strict=True):
-            a, b = top(i), top(j)
-            if a != b:
-                to[a] = b
-                longest = max(longest, float(r))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "cluster": [int(pdf.ci.iloc[0])], "sparse": [longest]})
-
-    shape = ", ".join([*(f"{k} {types[k]}" for k in by), "cluster int, sparse double"])
-    sparse = reach.where("ci = cj and i < j").groupBy(*by, "ci").applyInPandas(lambda pdf: tree(pdf), shape)
+    sparse = longest_links(reach.where("ci = cj and i < j").select(*by, F.col("ci").alias("cluster"), "i", "j", "r"), [*by, "cluster"]).withColumnRenamed("longest", "sparse")
     gap = reach.where("ci != cj").groupBy(*by, F.col("ci").alias("cluster")).agg(F.min("r").alias("gap"))
     n = c.groupBy(*by, "cluster").agg(F.count("bag_idx").alias("n"))
     v = n.join(sparse, [*by, "cluster"], "left").join(gap, [*by, "cluster"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import l2
+from . import ranks
 from .lineage import saved
 
 
@@ -34,15 +35,60 @@ def dominance(pop: DataFrame) -> DataFrame:
     return a.join(b, dominates(F.col("x"), F.col("y"))).select("i", "j")
 
 
-def fronts(pop: DataFrame) -> DataFrame:
-    """ind_id and front (0 first), peeled one front at a time."""
-    pairs, left, out, level = saved(dominance(pop)), saved(pop.select("ind_id")), None, 0
-    while not left.isEmpty():
-        now = saved(left.join(pairs.join(left.withColumnRenamed("ind_id", "i"), "i").select(F.col("j").alias("ind_id")).distinct(), "ind_id", "left_anti"))
-        part = now.withColumn("front", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        left, level = saved(left.join(now, "ind_id", "left_anti")), level + 1
-    return out if out is not None else pop.select("ind_id", F.lit(0).alias("front")).limit(0)
+def _dominators(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether row x[i] dominates row y[j]."""
+    out = np.zeros((len(x), len(y)), bool)
+    for a in range(0, len(y), 256):
+        part = y[None, a : a + 256]
+        out[:, a : a + 256] = (x[:, None] >= part).all(2) & (x[:, None] > part).any(2)
+    return out
+
+
+def _local(group: pd.DataFrame) -> pd.DataFrame:
+    """Fronts inside a block, none below the one that is known already."""
+    group = group.sort_values("place")
+    x, front = np.array(group["objectives"].tolist(), float), group["front"].to_numpy().copy()
+    for k in range(1, len(x)):
+        above = (x[:k] >= x[k]).all(1) & (x[:k] > x[k]).any(1)
+        if above.any():
+            front[k] = max(front[k], front[:k][above].max() + 1)
+    return group.assign(was=group["front"], front=front)
+
+
+def _raised(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """The front that each row of y has at least because of a block x before it."""
+    if not len(x) or not len(y):
+        return pd.DataFrame({"ind_id": [], "least": []})
+    above = _dominators(np.array(x["objectives"].tolist(), float), np.array(y["objectives"].tolist(), float))
+    least = np.where(above, x["front"].to_numpy()[:, None] + 1, 0).max(0)
+    return pd.DataFrame({"ind_id": y["ind_id"], "least": least})[least > 0]
+
+
+def fronts(pop: DataFrame, block: int = 4096) -> DataFrame:
+    """ind_id and front (0 first): the longest chain of individuals that dominate each other down to this one.
+
+    Individuals are put in descending order of their objectives, where dominators come first, and cut into blocks.  Each
+    block is solved in its task; then blocks raise those behind them until nothing changes, and only blocks that have
+    changed are compared again.  Every round settles one more block at least, so there are at most as many rounds as blocks,
+    however many fronts there are; no table of pairs is kept.  Individuals of equal objectives share a front."""
+    rows = ranks.numbered(pop.select("ind_id", "objectives"), [F.col("objectives").desc(), "ind_id"])
+    rows = rows.withColumn("block", F.floor(F.col("place") / block).cast("int")).withColumn("front", F.lit(0))
+    schema = "ind_id long, objectives array<double>, place long, block int, front int, was int"
+    columns = ["ind_id", "objectives", "place", "block", "front"]
+    solved = saved(rows.select(*columns).groupBy("block").applyInPandas(_local, schema))
+    last = solved.agg(F.max("block")).first()[0]
+    changed = list(range(last or 0))
+    while changed:
+        a = solved.where(F.col("block").isin(changed) & (F.col("block") < last)).select("objectives", "front", F.col("block").alias("p"), F.explode(F.sequence(F.col("block") + 1, F.lit(last))).alias("q"))
+        before = F.filter(F.lit(changed), lambda p: p < F.col("block"))
+        b = solved.select("ind_id", "objectives", F.explode(before).alias("s"), F.col("block").alias("t"))
+        raised = a.groupBy("p", "q").cogroup(b.groupBy("s", "t")).applyInPandas(_raised, "ind_id long, least int").groupBy("ind_id").agg(F.max("least").alias("least"))
+        more = solved.join(raised, "ind_id", "left").withColumn("front", F.greatest("front", F.coalesce("least", F.lit(0))))
+        known = solved.select("ind_id", F.col("front").alias("before"))
+        solved = saved(more.select(*columns).groupBy("block").applyInPandas(_local, schema).drop("was").join(known, "ind_id"))
+        changed = sorted(r[0] for r in solved.where("front != before").select("block").distinct().collect())  # numbers of blocks
+        solved = solved.drop("before")
+    return solved.select("ind_id", "front")
 
 
 def crowding(ranked: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ pure functions of their input, whatever its partitions.  Positions are the order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, hamming, l2
+from . import ranks
 
 # Creators: n individuals of a given length
 
@@ -51,8 +52,8 @@ def worst(pop: DataFrame, maximise: bool = True) -> DataFrame:
 
 def median(pop: DataFrame) -> DataFrame:
     """The individual at place n / 2 in the order of fitness."""
-    placed = pop.select("ind_id", "fitness", F.row_number().over(Window.orderBy("fitness", "ind_id")).alias("p"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return placed.where(F.col("p") == F.floor(F.col("n") / 2) + 1).select("ind_id", "fitness")
+    placed = ranks.numbered(pop.select("ind_id", "fitness"), ["fitness", "ind_id"])
+    return placed.where(F.col("place") == placed.count() // 2).select("ind_id", "fitness")
 
 
 def moments(pop: DataFrame) -> DataFrame:
@@ -82,27 +83,30 @@ def genotype_distances(pop: DataFrame, kind: str = "hamming") -> DataFrame:
 # Selection: weights by individual, then slots
 
 
-def _rank(pop: DataFrame) -> DataFrame:
-    """rank 0 for the smallest fitness; equal fitness in the order of ids."""
-    return pop.withColumn("_rank", F.row_number().over(Window.orderBy("fitness", "ind_id")) - 1)
+def _whole(pop: DataFrame, **values: Column) -> DataFrame:
+    """pop with aggregates of all of it, which are one row."""
+    return pop.crossJoin(F.broadcast(pop.agg(*(v.alias(k) for k, v in values.items()))))
 
 
 def weights(pop: DataFrame, kind: str = "roulette", temperature: float = 1.0) -> DataFrame:
-    """ind_id and w by selector: roulette, boltzmann, disruptive, linear_rank, nonlinear_rank, sigma."""
-    f, every = F.col("fitness"), Window.partitionBy()
+    """ind_id and w by selector: roulette, boltzmann, disruptive, linear_rank, nonlinear_rank, sigma.
+
+    Ranks count from the smallest fitness, equal fitness in the order of ids."""
+    f = F.col("fitness")
     if kind == "roulette":
-        w = F.when(F.sum(f).over(every) == 0, 1.0).otherwise(f)
+        pop, w = _whole(pop, _sum=F.sum("fitness")), F.when(F.col("_sum") == 0, 1.0).otherwise(f)
     elif kind == "boltzmann":
         w = F.exp(f / temperature)
     elif kind == "disruptive":
-        w = F.abs(f - F.avg(f).over(every))
+        pop, w = _whole(pop, _mean=F.avg("fitness")), F.abs(f - F.col("_mean"))
     elif kind == "linear_rank":
-        pop, w = _rank(pop), 0.9 + 0.2 * F.col("_rank") / F.greatest(F.count(F.lit(1)).over(every) - 1, F.lit(1))
+        pop = ranks.numbered(pop.select("ind_id", "fitness"), ["fitness", "ind_id"], "_rank")
+        pop, w = _whole(pop, _n=F.count(F.lit(1))), 0.9 + 0.2 * F.col("_rank") / F.greatest(F.col("_n") - 1, F.lit(1))
     elif kind == "nonlinear_rank":
-        pop, w = _rank(pop), 0.3 * F.pow(F.lit(0.7), F.col("_rank"))
+        pop, w = ranks.numbered(pop.select("ind_id", "fitness"), ["fitness", "ind_id"], "_rank"), 0.3 * F.pow(F.lit(0.7), F.col("_rank"))
     elif kind == "sigma":
-        s = F.stddev_pop(f).over(every)
-        w = F.when(s == 0, 1.0).otherwise(F.greatest(1 + (f - F.avg(f).over(every)) / (2 * F.when(s == 0, 1.0).otherwise(s)), F.lit(0.0)))
+        pop, s = _whole(pop, _s=F.stddev_pop("fitness"), _mean=F.avg("fitness")), F.col("_s")
+        w = F.when(s == 0, 1.0).otherwise(F.greatest(1 + (f - F.col("_mean")) / (2 * F.when(s == 0, 1.0).otherwise(s)), F.lit(0.0)))
     else:
         raise ValueError(f"no selector named {kind}")
     return pop.select("ind_id", w.alias("w"))
@@ -110,17 +114,16 @@ def weights(pop: DataFrame, kind: str = "roulette", temperature: float = 1.0) ->
 
 def wheel(w: DataFrame) -> DataFrame:
     """ind_id, low and high: each individual's part of [0, 1) in the order of ids."""
-    upto = Window.orderBy("ind_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("w").over(Window.partitionBy())
-    cum = w.select("ind_id", "w", (F.sum("w").over(upto) / total).alias("high"), (F.col("w") / total).alias("p"))
-    return cum.select("ind_id", (F.col("high") - F.col("p")).alias("low"), "high")
+    placed, total = ranks.running(w.select("ind_id", F.col("w").cast("double").alias("w")), ["ind_id"], "w")
+    return placed.select("ind_id", (F.col("before") / total).alias("low"), ((F.col("before") + F.col("w")) / total).alias("high"))
 
 
 def spun(w: DataFrame, slots: DataFrame) -> DataFrame:
-    """slot and ind_id: the individual whose part holds the slot's draw u (range join)."""
-    top = F.max("ind_id").over(Window.partitionBy())
-    parts = wheel(w).withColumn("_top", top)
-    return slots.join(parts, (slots.u >= parts.low) & ((slots.u < parts.high) | (parts.ind_id == F.col("_top")))).groupBy("slot").agg(F.min("ind_id").alias("ind_id"))
+    """slot and ind_id: the individual whose part holds the slot's draw u; individuals of weight 0 have no part.
+
+    Parts and draws are sorted together, and each draw takes the last part that begins at or before it."""
+    parts = wheel(w).where("high > low").select(F.col("low").alias("at"), "ind_id")
+    return ranks.last_before(parts, "at", "ind_id", slots.select("slot", "u"), "u").select("slot", "ind_id")
 
 
 def slots(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
@@ -135,34 +138,38 @@ def universal(w: DataFrame, n: int, start: float) -> DataFrame:
 
 def remainder(w: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Stochastic remainder: the whole part of the expected copies is certain, the fraction is drawn."""
-    expected = w.select("ind_id", (F.col("w") / F.sum("w").over(Window.partitionBy()) * n).alias("e"))
+    expected = _whole(w, _sum=F.sum("w")).select("ind_id", (F.col("w") / F.col("_sum") * n).alias("e"))
     copies = F.floor("e") + (draw(seed, F.col("ind_id")) < F.col("e") - F.floor("e")).cast("int")
     return expected.select("ind_id", copies.cast("int").alias("copies"))
 
 
+def _picked(pop: DataFrame, drawn: DataFrame) -> DataFrame:
+    """slot and the individual at the place that u picks in the order of ids."""
+    placed = ranks.numbered(pop.select("ind_id", "fitness"), ["ind_id"], "p")
+    picks = _one(drawn, placed).select("slot", F.floor(F.col("u") * F.col("m")).cast("long").alias("p"))
+    return picks.join(placed, "p").select("slot", "ind_id", "fitness")
+
+
+def _one(drawn: DataFrame, placed: DataFrame) -> DataFrame:
+    return drawn.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("m"))))  # one row
+
+
 def tournament(pop: DataFrame, drawn: DataFrame, maximise: bool = True) -> DataFrame:
     """slot and ind_id: of drawn (slot, u), t rows per slot, the best; u picks a position, ties go to the lower id."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    placed = pop.select("ind_id", "fitness", (F.row_number().over(Window.orderBy("ind_id")) - 1).alias("p"), n.alias("n"))
-    count = placed.agg(F.max("n").alias("m"))
-    picks = drawn.join(F.broadcast(count)).select("slot", F.floor(F.col("u") * F.col("m")).cast("int").alias("p"))  # one row
     sign = F.col("fitness") if maximise else -F.col("fitness")
-    return picks.join(placed, "p").groupBy("slot").agg(F.max_by("ind_id", F.struct(sign, -F.col("ind_id"))).alias("ind_id"))
+    return _picked(pop, drawn).groupBy("slot").agg(F.max_by("ind_id", F.struct(sign, -F.col("ind_id"))).alias("ind_id"))
 
 
 def uniform(pop: DataFrame, drawn: DataFrame) -> DataFrame:
     """Random selection with replacement."""
-    placed = pop.select("ind_id", (F.row_number().over(Window.orderBy("ind_id")) - 1).alias("p"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    count = placed.agg(F.max("n").alias("m"))
-    return drawn.join(F.broadcast(count)).select("slot", F.floor(F.col("u") * F.col("m")).cast("int").alias("p")).join(placed, "p").select("slot", "ind_id")
+    return _picked(pop, drawn).select("slot", "ind_id")
 
 
 def ordered(pop: DataFrame, n: int, maximise: bool = True) -> DataFrame:
     """The n best (or, with maximise turned round, worst) individuals; from the first again when they are used up."""
-    rank = F.row_number().over(Window.orderBy(F.desc("fitness") if maximise else F.asc("fitness"), "ind_id")) - 1
-    ranked = pop.withColumn("_r", rank).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    slot = pop.sparkSession.range(n).withColumnRenamed("id", "slot")
-    return slot.join(ranked, (F.col("slot") % F.col("_n")) == F.col("_r")).select("slot", "ind_id")
+    placed = ranks.numbered(pop.select("ind_id", "fitness"), [F.desc("fitness") if maximise else F.asc("fitness"), "ind_id"], "p")
+    slot = _one(pop.sparkSession.range(n).withColumnRenamed("id", "slot"), placed).where("m > 0").select("slot", (F.col("slot") % F.col("m")).alias("p"))
+    return slot.join(placed, "p").select("slot", "ind_id")
 
 
 def chosen(pop: DataFrame, picks: DataFrame) -> DataFrame:

@@ -65,3 +65,21 @@ def running(df: DataFrame, order: list, value: str, name: str = "before") -> tup
     mine = Window.partitionBy(_part(at)).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     upto = F.get(_before({p: float(t) for p, t in totals.items()}).cast("array<double>"), _part(at)) + F.coalesce(F.sum(value).over(mine), F.lit(0.0))
     return kept.withColumn(name, upto).drop(at), sum(totals[p] for p in sorted(totals))
+
+
+def last_before(known: DataFrame, at: str, value: str, asked: DataFrame, place: str) -> DataFrame:
+    """asked with ``value``: that of the last row of known (at, value) whose ``at`` isn't beyond ``place``; the first one of
+    all where there is none.  Rows of known with equal ``at`` are ordered by value."""
+    both = known.select(F.col(at).alias("_x"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), F.lit(None).cast(asked.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    both = both.unionByName(asked.select(F.col(place).alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast(known.schema[value].dataType).alias("_value"), F.struct("*").alias("_row")))
+    kept = _sorted(both, ["_x", "_kind", "_value"], "_at", saved)
+    ends = {r[0]: r[1] for r in kept.where("_kind = 0").groupBy(_part("_at")).agg(F.max_by("_value", "_at")).collect()}  # a row per partition
+    first = known.agg(F.min_by(value, F.struct(at, value))).first()[0]
+    carry, upto = [], first
+    for p in range(max([*ends, 0]) + 2):
+        carry.append(upto)
+        upto = ends.get(p, upto)
+    mine = Window.partitionBy(_part("_at")).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.get(F.lit(carry), F.least(_part("_at"), F.lit(len(carry) - 1))).cast(known.schema[value].dataType)
+    found = kept.withColumn("_value", F.coalesce(F.last("_value", ignorenulls=True).over(mine), before))
+    return found.where("_kind = 1").select("_row.*", F.col("_value").alias(value))

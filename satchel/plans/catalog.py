@@ -423,6 +423,10 @@ def oracle_sql():
         "best_individual": with_(GENES) + "select ind_id, fitness from pop order by fitness desc, ind_id limit 1",
         "worst_individual": with_(GENES) + "select ind_id, fitness from pop order by fitness, ind_id limit 1",
         "median_individual": with_(GENES) + "select ind_id, fitness from (select *, row_number() over (order by fitness, ind_id) as p, count(*) over () as n from pop) where p = n // 2 + 1",
+        # a part of the wheel for each, and pointers at equal distances
+        "universal_sampling": with_(GENES, "rk as (select ind_id, 0.9 + 0.2 * (row_number() over (order by fitness, ind_id) - 1) / greatest(count(*) over () - 1, 1) as w from pop)", "wh as (select ind_id, coalesce(sum(w) over (order by ind_id rows between unbounded preceding and 1 preceding), 0) / sum(w) over () as low from rk)", "pt as (select unnest(range(0, 300)) as slot)") + "select slot, ind_id from (select slot, (slot + 0.37) / 300 as u from pt) asof join wh on u >= low",
+        # the longest edge of a cluster's spanning tree is the least threshold that connects it
+        "dbcv": with_(VEC, ENDS, PAIR["mean"], "s as (select i, j, i % 3 as ci, j % 3 as cj, d from p where i != j)", "k as (select i, pow(sum(pow(1 / greatest(d, 1e-12), 64)) / count(*), -1.0 / 64) as k from s where ci = cj group by i)", "m as (select s.i, s.j, ci, cj, greatest(d, a.k, b.k) as r from s join k a on a.i = s.i join k b on b.i = s.j)", "t as (select distinct ci, r as t from m where ci = cj)", "reach as (select t.ci, t, min(i) as i from t join k on i % 3 = ci group by all union select w.ci, w.t, m.j from reach w join m on m.ci = w.ci and m.cj = w.ci and m.i = w.i and m.r <= w.t)", "n as (select i % 3 as ci, count(*) as n from k group by 1)", "sp as (select ci, min(t) as sparse from (select ci, t, count(*) as c from reach group by all) join n using (ci) where c = n group by ci)", "gp as (select ci, min(r) as gap from m where ci != cj group by ci)") + f"select {r('sum(n * (gap - sparse) / greatest(gap, sparse)) / sum(n)')} as dbcv from n join sp using (ci) join gp using (ci)",
         "roulette": with_(GENES, slot, "wh as (select ind_id, sum(fitness) over (order by ind_id) / sum(fitness) over () as high, fitness / sum(fitness) over () as p, max(ind_id) over () as top from pop)") + "select slot, min(ind_id) as ind_id from sl join wh on u >= high - p and (u < high or ind_id = top) group by slot",
         "tournament": with_(GENES, slot, "pl as (select *, row_number() over (order by ind_id) - 1 as p from pop), n as (select count(*) as n from pop)") + "select slot // 3 as slot, arg_max(ind_id, struct_pack(f := fitness, i := -ind_id)) as ind_id from sl, n join pl on p = floor(u * n)::bigint group by 1",
         "truncation": with_(GENES) + "select r - 1 as slot, ind_id from (select ind_id, row_number() over (order by fitness desc, ind_id) as r from pop) where r <= 100",
