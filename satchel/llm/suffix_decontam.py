@@ -3,17 +3,21 @@
 Each shard (some megabytes of documents) gets a suffix array over its words, by prefix doubling until the order of the
 suffixes is settled to the window's length at least.  Every suffix of every benchmark item is binary-searched in the
 array of every shard, one word at a time: the interval of suffixes that agree so far narrows with each word, and suffixes
-whose interval is empty are dropped, so that most are done after a word or two.  Windows that follow each other in both texts
-are one verbatim match; matches are compared byte by byte, so unequal words that look alike in the array can't count.
+whose interval is empty are dropped, so that most are done after a word or two.  Suffixes with the same window have the same
+interval, so places are read once for a window, however many items share it: what is kept is the words that are hit, the
+set of items of each document, and its longest verbatim match.  That one is found in the order of the items' own suffixes,
+where the longest match of a place is next to it; lengths are searched by halves with sums of hashes, not word by word.  So
+the work grows with texts and hits, and not with occurrences times items.
 
 The benchmark is written in blocks of bounded size to the shared folder.  A task reads one block at a time, for as many
 documents as a shard holds: there is one pass over the documents and one Python worker a task, and neither a task nor the
 driver holds more than one block.
 
-Null and empty texts have no words and are clean; items without words match nothing; repeated items and documents are
-all reported (of matches of equal length the first in the document, then the first item, is the longest); an empty
-benchmark leaves every document clean.  A long text is cut into slices that overlap by a window, and matches are joined
-across them.  Columns of docs that have names of the result's get underscores behind those of the result.
+Words are told apart by 64 bits (windows are found by half of them and then compared by sums of all).  Null and empty texts
+have no words and are clean; items without words match nothing; repeated items and documents are all reported (of matches
+of equal length the first in the document, then the first item, is the longest); an empty benchmark leaves every document
+clean.  A long text is cut into slices that overlap by a window.  Columns of docs that have names of the result's get
+underscores behind those of the result.
 """
 
 from __future__ import annotations
@@ -30,19 +34,32 @@ from .shared import ALNUM, U64, WordHasher, fresh_path, modest_batches, pieces,
 
 SHARD_BYTES = 16 << 20  # documents of a shard
 SHARD_WORDS = 2 << 20  # suffixes of a suffix array
-RESULT = ("decon_words", "decon_hit", "decon_longest", "decon_longest_at", "decon_longest_item", "decon_items", "decon_matches")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+RESULT = ("decon_words", "decon_hit", "decon_longest", "decon_longest_at", "decon_longest_item", "decon_items", "decon_spans")
+BASE = U64(0x9E3779B97F4A7C15)  # odd; sums of hashes are taken modulo 2^64
+
+
+class Sums:
+    """Sums of hashes times powers, from which equal runs of words are told in one step."""
+
+    def __init__(self, hashes: np.ndarray, powers: np.ndarray) -> None:
+        self.upto, self.powers = np.concatenate([[U64(0)], np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)]), powers
+
+    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the n words from ``at``; comparable after a product with the power of the other side's place."""
+        return self.upto[at + n] - self.upto[at]
+
+
+def powers(n: int) -> np.ndarray:
+    return np.concatenate([[U64(1)], np.cumprod(np.full(max(0, n - 1), BASE), dtype=np.uint64)])
 
 
 class Block:
-    """The suffixes of a block of items, ready to be searched."""
+    """The suffixes of a block of items, ready to be searched, and in their own order."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int) -> None:
         self.window, self.ids = window, np.array(ids, object)
         data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-        self.starts, self.ends, self.hashes, at = WordHasher(ALNUM)(data, offsets)
-        self.data = _LOWER[data]
+        _, _, self.hashes, at = WordHasher(ALNUM)(data, offsets)
         counts = np.diff(at)
         need = np.minimum(window, counts)
         n = np.where(counts > 0, counts - need + 1, 0)
@@ -50,8 +67,15 @@ class Block:
         self.items = np.repeat(np.arange(len(ids)), n)
         self.position = np.repeat(at[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.lengths = need[self.items]
+        #: of each word: its item and that one's end; all suffixes in their order, and the different words
+        self.owner, self.stop = np.repeat(np.arange(len(ids)), counts), np.repeat(at[1:], counts)
+        self.known, numbers = np.unique(self.hashes, return_inverse=True)
+        self.numbers = 2 * numbers.astype(np.int64) + 2  # words of documents lie between, where they aren't known
+        self.order = suffix_array(self.numbers.astype(np.uint64), self.stop, int(counts.max(initial=1)))
+        self.rank = np.empty(len(ids), np.int64)  # of the item ids as strings
+        self.rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
 
-    FIELDS = ("starts", "ends", "hashes", "data", "items", "position", "lengths")
+    FIELDS = ("hashes", "items", "position", "lengths", "owner", "stop", "known", "numbers", "order", "rank")
 
     def packed(self) -> bytes:
         out = io.BytesIO()
@@ -141,48 +165,176 @@ def intervals(words: np.ndarray, end: np.ndarray, array: np.ndarray, block: Bloc
     return tuple(np.concatenate([x[i] for x in done]) if done else np.zeros(0, np.int64) for i in range(3))
 
 
-def _windows(block: Block, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix of the block, word of the shard) wherever a suffix occurs."""
-    total, found, words = len(hashes), [(np.zeros(0, np.int64),) * 2], word_numbers(hashes)
-    ends = np.repeat(at[1:], np.diff(at))
-    for first in range(0, max(0, total), SHARD_WORDS):
-        last = min(total, first + SHARD_WORDS + block.window - 1)
-        end = np.minimum(ends[first:last], last) - first
-        array = suffix_array(words[first:last], end, block.window)
-        suffix, low, high = intervals(words[first:last], end, array, block)
-        n = high - low
-        place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] + first
-        found.append((np.repeat(suffix, n), place))
-    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+class Hits:
+    """Where windows of a block occur in the words of a shard.
+
+    ``starts``, ``lengths`` and ``group``: each place once for each different window, in order; ``members``: the items of
+    each window."""
+
+    def __init__(self, block: Block, hashes: np.ndarray, at: np.ndarray) -> None:
+        self.block, self.at, total, words = block, at, len(hashes), word_numbers(hashes)
+        self.hashes, self.ends = hashes, np.repeat(at[1:], np.diff(at))
+        self.powers = powers(max(total, len(block.hashes)) + 1)
+        self.sums, self.own = Sums(hashes, self.powers), Sums(block.hashes, self.powers)
+        keys, found = self._windows(), [(np.zeros(0, np.int64),) * 2]
+        for first in range(0, max(0, total), SHARD_WORDS):
+            last = min(total, first + SHARD_WORDS + block.window - 1)
+            end = np.minimum(self.ends[first:last], last) - first
+            array = suffix_array(words[first:last], end, block.window)
+            suffix, low, high = intervals(words[first:last], end, array, block)
+            # suffixes with one window have one interval
+            window, one = np.unique(keys[suffix], return_index=True)
+            low, n = low[one], (high - low)[one]
+            place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] + first
+            found.append((np.repeat(window, n), place))
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)][::-1], 1), axis=0)
+        self.starts, self.group = pairs[:, 0], pairs[:, 1]
+        one = self.example[self.group]
+        self.lengths, q = block.lengths[one], block.position[one]
+        same = self.sums.of(self.starts, self.lengths) * self.powers[q] == self.own.of(q, self.lengths) * self.powers[self.starts]
+        self.starts, self.group, self.lengths = self.starts[same], self.group[same], self.lengths[same]
+        self.doc = np.searchsorted(at, self.starts, "right") - 1
+
+    def _windows(self) -> np.ndarray:
+        """A number of each suffix's window; keeps the suffixes of each, in the order of windows."""
+        b = self.block
+        value = (self.own.of(b.position, b.lengths) * self.powers[len(b.hashes) - b.position]) if len(b.position) else np.zeros(0, np.uint64)
+        order = np.lexsort((value, b.lengths))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(b.lengths[order]) != 0) | (value[order][1:] != value[order][:-1])
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.cumsum(new) - 1
+        self.members, self.member_at = order, np.append(np.flatnonzero(new), len(order))
+        self.example = order[np.flatnonzero(new)]
+        return numbers
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of words that are hit: document, first word in it, and the word behind the last."""
+        if not len(self.starts):
+            return (np.zeros(0, np.int64),) * 3
+        stops = self.starts + self.lengths
+        upto = np.maximum.accumulate(stops)
+        # a run doesn't cross documents, as no window does; runs that touch are one
+        new = np.append(True, (self.starts[1:] > upto[:-1]) | (self.doc[1:] != self.doc[:-1]))
+        first = np.flatnonzero(new)
+        stop = np.maximum.reduceat(stops, first)
+        return self.doc[first], self.starts[first] - self.at[self.doc[first]], stop - self.at[self.doc[first]]
+
+    def items(self) -> dict[int, np.ndarray]:
+        """The items of each document that is hit."""
+        pairs = np.unique(np.stack([self.doc, self.group], 1), axis=0)
+        out: dict[int, np.ndarray] = {}
+        for d, groups in _grouped(pairs):
+            out[d] = np.unique(self.block.items[np.concatenate([self.members[self.member_at[g] : self.member_at[g + 1]] for g in groups])])
+        return out
+
+    def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many words of the shard from p and of the items from q agree."""
+        low, high = np.zeros(len(p), np.int64), np.minimum(self.ends[p] - p, self.block.stop[q] - q)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.sums.of(p, mid) * self.powers[q] == self.own.of(q, mid) * self.powers[p]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def _found(self, p: np.ndarray, goes_left) -> np.ndarray:
+        """For each place the first suffix in the items' order that goes_left(place number, suffix, common) doesn't put before."""
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), len(self.block.order))
+        while len(some := np.flatnonzero(low < high)):
+            mid = (low[some] + high[some]) // 2
+            q = self.block.order[mid]
+            before = goes_left(some, q, self._common(p[some], q))
+            low[some[before]], high[some[~before]] = mid[before] + 1, mid[~before]
+        return low
+
+    def longest(self) -> list[tuple[int, int, int, int]]:
+        """(document, first word in it, words, item): of each document the longest verbatim match of a window or more, the
+        first one of equal length, and the item that comes first of those with it."""
+        return [m for m in self._matches(True)]
+
+    def _matches(self, one: bool) -> list[tuple[int, int, int, int]]:
+        """Longest matches by place, without those that are the end of the match of the place before; or one for each
+        document."""
+        b = self.block
+        if not len(self.starts):
+            return []
+        # of windows that begin at one place the longest
+        last = np.append(self.starts[1:] != self.starts[:-1], True)
+        first = np.append(0, np.flatnonzero(last)[:-1] + 1)
+        p, words = self.starts[last], np.maximum.reduceat(self.lengths, first)
+        full = np.flatnonzero(words >= b.window)
+        place = p[full]
+        spot = np.minimum(np.searchsorted(b.known, self.hashes), max(0, len(b.known) - 1))
+        numbers = 2 * spot + 2 + np.where(b.known[spot] == self.hashes, 0, np.where(b.known[spot] < self.hashes, 1, -1))
+
+        def before(some, q, n):  # whether the items' suffix comes before the place's
+            ended = q + n >= b.stop[q]
+            over = ~ended & (place[some] + n >= self.ends[place[some]])
+            mine = numbers[np.minimum(place[some] + n, len(numbers) - 1)]
+            return ended | (~over & (b.numbers[np.minimum(q + n, len(b.numbers) - 1)] < mine))
+
+        at = self._found(place, before)
+        for k in (at - 1, at):
+            able = (k >= 0) & (k < len(b.order))
+            n = np.zeros(len(k), np.int64)
+            n[able] = self._common(place[able], b.order[k[able]])
+            words[full] = np.maximum(words[full], n)
+        doc = np.searchsorted(self.at, p, "right") - 1
+        if one:
+            order = np.lexsort((p, -words, doc))
+            pick = order[np.append(True, doc[order][1:] != doc[order][:-1])]
+        else:
+            pick = np.flatnonzero(~np.append(False, (doc[1:] == doc[:-1]) & (p[1:] == p[:-1] + 1) & (words[1:] == words[:-1] - 1)))
+        items = self._first_items(p[pick], words[pick])
+        return list(zip(doc[pick].tolist(), (p[pick] - self.at[doc[pick]]).tolist(), words[pick].tolist(), items, strict=True))
+
+    def _first_items(self, p: np.ndarray, words: np.ndarray) -> list[int]:
+        """Of the items that hold so many words from each place the first by its id; below a window, of whole short items."""
+        b, out, seen = self.block, [], {}
+        far = words >= b.window
+        place, least = p[far], words[far]
+        spot = np.minimum(np.searchsorted(b.known, self.hashes), max(0, len(b.known) - 1))
+        numbers = 2 * spot + 2
+
+        def bound(after: bool) -> np.ndarray:
+            def goes(some, q, n):
+                n = np.minimum(n, least[some])
+                whole = n >= least[some]
+                ended = ~whole & (q + n >= b.stop[q])
+                smaller = b.numbers[np.minimum(q + n, len(b.numbers) - 1)] < numbers[np.minimum(place[some] + n, len(numbers) - 1)]
+                return np.where(whole, after, ended | smaller)
+
+            return self._found(place, goes)
+
+        low, high = bound(False), bound(True)
+        ranks = b.rank[b.owner[b.order]]
+        back = np.argsort(b.rank)
+        for x, z in zip(low.tolist(), high.tolist(), strict=True):
+            if (x, z) not in seen:
+                seen[x, z] = int(back[ranks[x:z].min()])
+            out.append(seen[x, z])
+        found = iter(out)
+        short = {}
+        if not far.all():
+            for start, n, g in zip(self.starts.tolist(), self.lengths.tolist(), self.group.tolist(), strict=True):
+                if n < b.window:
+                    mine = b.items[self.members[self.member_at[g] : self.member_at[g + 1]]]
+                    short[start, n] = int(back[b.rank[mine].min()])
+        return [next(found) if f else short[s, n] for f, s, n in zip(far.tolist(), p.tolist(), words.tolist(), strict=True)]
+
+
+def _grouped(pairs: np.ndarray):
+    """(key, values) of sorted pairs."""
+    if len(pairs):
+        cut = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
+        for a, z in zip(cut, np.append(cut[1:], len(pairs)), strict=True):
+            yield int(pairs[a, 0]), pairs[a:z, 1]
 
 
 def matches(block: Block, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Verbatim matches (document, first word in it, words, item) that can't be longer, each of a window at least."""
-    suffix, place = _windows(block, hashes, at)
-    if not len(suffix):
-        return []
-    item, q, need = block.items[suffix], block.position[suffix], block.lengths[suffix]
-    order = np.lexsort((place, place - q))
-    item, q, need, place = item[order], q[order], need[order], place[order]
-    doc = np.searchsorted(at, place, "right") - 1
-    new = np.ones(len(place), bool)
-    new[1:] = (np.diff(place) != 1) | (np.diff(q) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)
-    first = np.flatnonzero(new)
-    out = []
-    for a, b in zip(first.tolist(), np.append(first[1:], len(place)).tolist(), strict=True):
-        p, r, n = int(place[a]), int(q[a]), int(need[a])
-        words = b - a + n - 1
-        same = [_LOWER[data[starts[p + k] : ends[p + k]]].tobytes() == block.data[block.starts[r + k] : block.ends[r + k]].tobytes() for k in range(words)]
-        k = 0
-        while k < words:  # one run, unless hashes of different words are equal
-            to = k
-            while to < words and same[to]:
-                to += 1
-            if to - k >= n:
-                out.append((int(doc[a]), p + k - int(at[doc[a]]), to - k, int(item[a])))
-            k = to + 1
-    return out
+    """(document, first word in it, words, item): the longest verbatim match of each place, of a window at least, without those
+    that are the end of the one before."""
+    return Hits(block, hashes, at)._matches(False)
 
 
 def _blocks(benchmark: DataFrame, window: int, block_items: int, block_chars: int):
@@ -211,31 +363,40 @@ def _stored(benchmark: DataFrame, window: int, block_items: int, block_chars: in
     return out
 
 
-def _summed(found: list[tuple[int, int, str]]) -> tuple:
-    """hit, longest, its first word, its item, items, matches of one document from (first word, words, item)."""
-    total, last = 0, -1
-    for first, n, _ in sorted(found):
-        total += max(0, first + n - 1 - max(last, first - 1))
-        last = max(last, first + n - 1)
-    best = min(found, key=lambda m: (-m[1], m[0], m[2]), default=None)
-    said = [{"first": a, "last": a + n - 1, "item": i} for a, n, i in sorted(set(found))]
-    return total, best[1] if best else 0, best[0] if best else None, best[2] if best else None, sorted({i for _, _, i in found}), said
+class Found:
+    """What the blocks have shown of one document: runs of hit words, items, and the longest match."""
+
+    def __init__(self) -> None:
+        self.runs, self.items, self.best = [], set(), None
+
+    def row(self) -> tuple:
+        """hit, longest, its first word, its item, items, spans."""
+        total, spans = 0, []
+        for first, stop in sorted(self.runs):
+            if spans and first <= spans[-1][1]:
+                total += max(0, stop - spans[-1][1])
+                spans[-1][1] = max(spans[-1][1], stop)
+            else:
+                total += stop - first
+                spans.append([first, stop])
+        words, first, item = (-self.best[0], *self.best[1:]) if self.best else (0, None, None)
+        return total, words, first, item, sorted(self.items), [{"first": a, "last": z - 1} for a, z in spans]
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 20_000, block_chars: int = 4_000_000) -> DataFrame:
     """All columns of docs, then the number of words, of words inside occurring windows, the length of the longest verbatim
-    match, its first word and item, the item ids sorted as strings, and all matches (first word, last word, item)."""
+    match, its first word and item, the item ids sorted as strings, and the spans of hit words (first word, last word)."""
     modest_batches(docs.sparkSession)
     names = docs.columns
     text_at = names.index("text")
     said = unused(names, *RESULT)
-    kinds = ("int", "int", "int", "int", "string", "array<string>", "array<struct<first:int,last:int,item:string>>")
+    kinds = ("int", "int", "int", "int", "string", "array<string>", "array<struct<first:int,last:int>>")
     schema = with_fields(docs.schema, ", ".join(f"`{n}` {k}" for n, k in zip(said, kinds, strict=True)))
-    types = [*(pa.int32(),) * 4, pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))]
+    types = [*(pa.int32(),) * 4, pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
     files = _stored(benchmark, window, block_items, block_chars)
 
     def rows(batches):
-        hasher, now, block = WordHasher(ALNUM), None, None
+        hasher, now, block, none = WordHasher(ALNUM), None, None, Found()
 
         def searched(held: list[pa.RecordBatch]):
             nonlocal now, block
@@ -244,8 +405,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 data, offsets = text_bytes(batch.column(text_at))
                 for a, b in pieces(offsets, SHARD_BYTES):
                     mine = data[offsets[a] : offsets[b]]
-                    parts.append((row + a, mine, *hasher(mine, offsets[a : b + 1])))
-                    words.append(np.diff(parts[-1][-1]))
+                    _, _, hashes, at = hasher(mine, offsets[a : b + 1])
+                    parts.append((row + a, hashes, at))
+                    words.append(np.diff(at))
                 row += len(batch)
             # from the block that the last shard ended with, so that the last one isn't read again
             for name in sorted(files, key=lambda f: f != now):
@@ -254,13 +416,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                     with fs.open_input_stream(path, compression=None) as f:
                         block = Block.unpacked(f.read())
                     now = name
-                for first, mine, starts, ends, hashes, at in parts:
-                    for d, p, n, i in matches(block, mine, starts, ends, hashes, at):
-                        found.setdefault(first + d, []).append((p, n, block.ids[i]))
+                for first, hashes, at in parts:
+                    hits = Hits(block, hashes, at)
+                    for d, a, z in zip(*(x.tolist() for x in hits.runs()), strict=True):
+                        found.setdefault(first + d, Found()).runs.append((a, z))
+                    for d, items in hits.items().items():
+                        found[first + d].items.update(block.ids[items].tolist())
+                    for d, p, n, i in hits.longest():
+                        mine = (-n, p, block.ids[i])
+                        found[first + d].best = min(found[first + d].best or mine, mine)
             counts = np.concatenate(words) if words else np.zeros(0, np.int64)
             row = 0
             for batch in held:
-                own = [_summed(found.get(i, [])) for i in range(row, row + len(batch))]
+                own = [found.get(i, none).row() for i in range(row, row + len(batch))]
                 columns = list(zip(*own, strict=True)) if own else [[]] * 6
                 said_columns = [counts[row : row + len(batch)].astype(np.int32), *columns]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(said_columns, types, strict=True))], schema.fieldNames())
