@@ -8,8 +8,8 @@ Document rates are those nearest to one common rate (in relative entropy, counte
 on words: r = min(cap, base * exp(lambda_source + mu_class)).  The multipliers are the minimum of the convex dual.  For
 given mu each lambda has a closed form, so Newton's method runs over mu alone, whose gradient and Hessian are sums over
 sources, taken in one distributed pass over a table of a row per source; only these sums reach the driver.  Where caps
-make the shares impossible, a small ridge on mu settles for the nearest; targets of sources are always kept.  If Newton's
-method doesn't converge, that is an error.
+make the shares impossible, a small ridge on mu settles for the nearest; targets of sources are always kept.  Newton's steps
+are damped where caps bend the dual, and end in any case.
 
 Rates are then rounded to whole copies with a keyed hash per document and a common shift of that hash per source, the
 weighted quantile at the target.  It is read from a histogram of each source: documents above the sizes ``fine`` are cut
@@ -151,7 +151,36 @@ def dual(words: np.ndarray, target: np.ndarray, mu: np.ndarray, base: float, cap
     return float(value), taken.sum(0), hessian
 
 
-def balanced(sources: DataFrame, shares: list[float] | None, base: float, cap: float, ridge: float = 1e-3, tolerance: float = 1e-9, most_steps: int = 60) -> np.ndarray:
+def descended(evaluated, n: int, wanted: float, tolerance: float, most_steps: int) -> np.ndarray:
+    """The multipliers where the convex dual (value, gradient, hessian) is least: Newton's method with a damping that grows
+    when a step has to be shortened, as caps make the dual smooth in pieces only.
+
+    Ends in any case: after ``most_steps``, with the multipliers of the smallest gradient.  Whatever they are, the sources'
+    targets hold; only the shares of the classes are then as near as the steps have come."""
+    mu, damping = np.zeros(n), 0.0
+    value, g, h = evaluated(mu)
+    best = (np.abs(g).max(), mu)
+    for _ in range(most_steps):
+        if best[0] <= tolerance * wanted or damping > 1e8:
+            break
+        move = -np.linalg.solve(h + damping * np.diag(np.maximum(np.diag(h), 1e-9 * wanted)), g)
+        move *= min(1.0, 4.0 / max(1e-300, np.abs(move).max()))
+        step = 1.0
+        while step >= 1e-3:
+            tried = evaluated(mu + step * move)
+            if tried[0] <= value + 1e-4 * step * (g @ move) + 1e-13 * abs(value) or np.abs(tried[1]).max() < 0.5 * np.abs(g).max():
+                break
+            step /= 2
+        if step < 1e-3:
+            damping = max(10 * damping, 1e-2)
+            continue
+        damping = max(3 * damping, 1e-3) if step < 1 else damping / 10 if damping > 1e-6 else 0.0
+        mu, (value, g, h) = mu + step * move, tried
+        best = min(best, (np.abs(g).max(), mu), key=lambda x: x[0])
+    return best[1]
+
+
+def balanced(sources: DataFrame, shares: list[float] | None, base: float, cap: float, ridge: float = 1e-3, tolerance: float = 1e-9, most_steps: int = 150) -> np.ndarray:
     """mu by class: Newton's method on the dual over a written table (words by class, target), a pass a step.
 
     ``shares``: the share of each class in the words taken; None keeps the corpus's.
@@ -180,23 +209,7 @@ def balanced(sources: DataFrame, shares: list[float] | None, base: float, cap: f
         value = sum(p.v for p in parts) - goal @ mu + weight / 2 * (mu @ mu)
         return value, sum(np.array(p.g) for p in parts) - goal + weight * mu, sum(np.array(p.h) for p in parts).reshape(n, n) + weight * np.eye(n)
 
-    mu = np.zeros(n)
-    value, g, h = evaluated(mu)
-    for _ in range(most_steps):
-        if np.abs(g).max() <= tolerance * wanted:
-            return mu
-        move = -np.linalg.solve(h, g)
-        move *= min(1.0, 4.0 / max(1e-300, np.abs(move).max()))
-        step = 1.0
-        while True:
-            tried = evaluated(mu + step * move)
-            if tried[0] <= value + 1e-4 * step * (g @ move) + 1e-13 * abs(value) or np.abs(tried[1]).max() < 0.5 * np.abs(g).max():
-                break
-            step /= 2
-            if step < 1e-6:
-                raise RuntimeError("the dual of the mix doesn't descend")
-        mu, (value, g, h) = mu + step * move, tried
-    raise RuntimeError(f"the mix didn't converge: words of classes miss by {np.abs(g).max():g} of {wanted:g}")
+    return descended(evaluated, n, wanted, tolerance, most_steps)
 
 
 def _rated(sources: DataFrame, mu: np.ndarray, base: float, cap: float) -> DataFrame:
