@@ -398,5 +398,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     if stay.where("repeated").isEmpty():
         return chosen(False)
-    one = chosen(True).groupBy(F.xxhash64(*ROW_KEY)).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    # by their text, as columns of any type (maps have no order) are kept
+    whole = F.struct(*docs.columns)
+    one = chosen(True).groupBy(F.xxhash64(*ROW_KEY)).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
     return chosen(False).union(one.select("row.*"))

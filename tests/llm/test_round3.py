@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.llm import crc_ring, prefix_trie, ratio_rules
+from satchel.llm import crc_ring, mixing, ngram_join, prefix_trie, ratio_rules, shared, suffix_decontam
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +121,93 @@ def test_states_of_paths_are_put_together():
         for s in steps[cut:]:
             b = prefix_trie.appended(b, s)
         assert prefix_trie.appended(a, b) == whole
+
+
+def test_decontamination_of_few_words_equals_brute_force(spark):
+    g = random.Random(11)
+    some = lambda n, of: " ".join(g.choice(of) for _ in range(n))
+    docs = [(i, some(g.randrange(0, 60), "ab" if i % 3 else "aAbcd")) for i in range(60)] + [(100, "a " * 300), (101, None), (102, "x. Y-z"), (103, "b " * 40 + some(30, "abcd"))]
+    items = [(f"i{k}", some(g.randrange(0, 25), "ab" if k % 2 else "abcd")) for k in range(30)] + [("i9", "x y z"), ("i10", "X Y"), (None, "a " * 14), ("i5", "a " * 14), ("n", None)]
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame(items, "item_id string, text string")
+    for window in (10, 3):
+        for block in (4, 20_000):
+            found = suffix_decontam.decontaminated(left, right, window, block_items=block)
+            want = suffix_decontam.brute_force(docs, items, window)
+            for r in found.collect():
+                n_words, n_hit, n_items, _, _, longest, at, item = want[r.doc_id]
+                assert (r.decon_words, r.decon_hit, len(r.decon_items), r.decon_longest, r.decon_longest_at, r.decon_longest_item) == (n_words, n_hit, n_items, longest, at, item), (window, block, r)
+                assert sum(s["last"] - s["first"] + 1 for s in r.decon_spans) == n_hit
+
+
+def test_decontamination_of_repetition_is_linear():
+    import time
+
+    def seconds(items, text):
+        block = suffix_decontam.Block([str(i) for i in range(len(items))], items, 10)
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, _, hashes, at = shared.WordHasher(shared.ALNUM)(data, np.array([0, len(data)]))
+        began = time.perf_counter()
+        hits = suffix_decontam.Hits(block, hashes, at)
+        out = hits.runs(), {d: len(x) for d, x in hits.items().items()}, hits.longest()
+        return time.perf_counter() - began, out
+
+    took, (runs, items, longest) = seconds(["w " * 400], "w " * 40_000)
+    assert [x.tolist() for x in runs] == [[0], [0], [40_000]] and items == {0: 1} and longest == [(0, 0, 400, 0)]
+    assert took < 20
+    prompt = " ".join(f"p{k}" for k in range(13))
+    took, (runs, items, longest) = seconds([f"{prompt} q{k} r{k}" for k in range(20_000)], f"{prompt} and then some other words " * 400)
+    assert items == {0: 20_000} and len(runs[0]) == 400 and longest == [(0, 0, 13, 0)]
+    assert took < 20
+
+
+def test_mix_solver_ends_on_any_table_of_classes():
+    g = np.random.default_rng(5)
+    for k in range(400):
+        w = np.floor(np.exp(g.normal(5, 3, (int(g.integers(1, 9)), int(g.integers(1, 9))))) * (g.random() < 0.95)).astype(float)
+        target = w.sum(1) * g.uniform(0.05, 2.0, len(w))
+        if not target.sum():
+            continue
+        wanted, share = target.sum(), w.sum(0) / w.sum()
+
+        def evaluated(mu, w=w, target=target, wanted=wanted, share=share, base=1.5 if k % 2 else 1.0):
+            v, gradient, h = mixing.dual(w, target, mu, base, 2.0)
+            weight = 1e-3 * wanted
+            return v - wanted * share @ mu + weight / 2 * (mu @ mu), gradient - wanted * share + weight * mu, h + weight * np.eye(len(mu))
+
+        mu = mixing.descended(evaluated, w.shape[1], wanted, 1e-9, 150)
+        assert np.abs(evaluated(mu)[1]).max() <= 1e-6 * wanted
+        rates, _ = mixing.source_rates(w, target, mu, 1.5 if k % 2 else 1.0, 2.0)
+        assert (w * rates).sum(1) == pytest.approx(target, rel=1e-6)
+
+
+def test_near_duplicates_keep_columns_of_any_type(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, None)], "doc_id long, text string")
+    rows = rows.withColumn("m", F.expr("map('k', doc_id)")).withColumn("s", F.struct(F.array("doc_id").alias("x"))).withColumn("b", F.lit(b"\x00"))
+    kept = ngram_join.one_of_each(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r.m["k"]) for r in kept.collect()) == [(1, 1), (3, 3)]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    g = random.Random(4)
+    word = lambda: "".join(g.choices("abcdefgh", k=4))
+    good = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(None, good[0]), (None, None), (7, good[7]), (7, good[7]), (70, ""), (71, good[1] + " " + "x " * 20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "if(doc_id % 5 = 0, null, 's') as source", "cast(length(text) as long) as n_chars", "map('k', doc_id) as tags", "array(struct(doc_id as score)) as stay_key", "1 as decon_hit", "2 as copies")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, " ".join(good[3].split()[5:20])), (None, None)], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == table.columns
+        if name == "decontaminate":
+            ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect())
+            # 3 holds the benchmark; the null id's copy of 0 goes, and one row of 7 stays
+            assert ids == sorted([*((False, i) for i in range(60) if i != 3), (False, 70), (False, 71), (True, 0)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 60
