@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from .joins import pair_table
 
 
@@ -43,17 +45,48 @@ def unions(bags: DataFrame, clusters: DataFrame) -> DataFrame:
     return grouped.select(F.col("cluster").cast("long").alias("bag_idx"), F.flatten(F.col("b.bag")).alias("bag"))
 
 
-def medoids(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
+def medoids(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin", block: int = 256) -> DataFrame:
     """cluster, bag_idx, bag, d: the bag of least distance to all instances of its cluster, the lowest index on ties.
 
-    """
-    rows = bags.join(clusters.where("cluster >= 0").select("bag_idx", "cluster"), "bag_idx")
-    whole = unions(bags, clusters)
-    d = pair_table(bags, whole, distance).select(F.col("i").alias("bag_idx"), F.col("j").cast("int").alias("cluster"), "d")
+    Members of a cluster are cut into blocks, and each is compared with each block of its own cluster as a task: what
+    leaves it is the least distance of every instance of the candidate to the block (for ``mean`` the sum and the
+    number), which are combined by candidate.  Only distances that need all of a cluster at once (not of the Hausdorff
+    family) still take its union as one row."""
+    rows = bags.join(clusters.where("cluster >= 0").select("bag_idx", "cluster"), "bag_idx").select("cluster", "bag_idx", "bag")
+    if distance in kernels.HAUSDORFF:
+        d = _to_own_cluster(rows, distance, block)
+    else:
+        d = pair_table(bags, unions(bags, clusters), distance).select(F.col("i").alias("bag_idx"), F.col("j").cast("int").alias("cluster"), "d")
     best = rows.join(d, ["bag_idx", "cluster"]).groupBy("cluster").agg(F.min_by(F.struct("bag_idx", "bag", "d"), F.struct("d", "bag_idx")).alias("m"))
     return best.select("cluster", "m.bag_idx", "m.bag", "m.d")
 
 
+def _to_own_cluster(rows: DataFrame, distance: str, block: int) -> DataFrame:
+    """cluster, bag_idx, d to all instances of the cluster, from partial extremes (or sums) by block."""
+    n = F.ceil(F.col("n") / block).cast("int")
+    sized = rows.join(F.broadcast(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))), "cluster")  # a row per cluster
+    sized = sized.select("cluster", "bag_idx", "bag", F.pmod(F.xxhash64("bag_idx"), n).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    members = sized.select(F.col("cluster").alias("c"), F.col("bag_idx").alias("j"), F.col("bag").alias("y"), F.col("other").alias("r"), F.col("own").alias("s"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"cluster": np.zeros(0, int), "bag_idx": np.zeros(0, int), "inst": np.zeros(0, int), "v": np.zeros(0), "m": np.zeros(0, int)})]
+        if len(x) and len(y):
+            y = y.sort_values("j")
+            stack = np.concatenate([np.stack(b).astype(float) for b in y.y])
+            for c, i, bag in zip(x.cluster, x.bag_idx, x.bag, strict=True):
+                far = kernels.euclidean(np.stack(bag).astype(float), stack)
+                v = far.sum(1) if distance == "mean" else far.min(1)
+                out.append(pd.DataFrame({"cluster": c, "bag_idx": i, "inst": np.arange(len(v)), "v": v, "m": len(stack)}))
+        return pd.concat(out)
+
+    parts = sized.groupBy("cluster", "own", "other").cogroup(members.groupBy("c", "r", "s")).applyInPandas(compare, "cluster int, bag_idx long, inst int, v double, m long")
+    keys = ["cluster", "bag_idx"]
+    if distance == "mean":
+        return parts.groupBy(*keys).agg((F.sum("v") / F.sum("m")).alias("d"))
+    least = parts.groupBy(*keys, "inst").agg(F.min("v").alias("v"))
+    return least.groupBy(*keys).agg({"maxmin": F.max, "minmin": F.min, "meanmin": F.avg}[distance]("v").alias("d"))
+
+
 def counts(clusters: DataFrame, k: int) -> DataFrame:
     """cluster and n for 0 to k - 1, empty ones too; unassigned bags as cluster -1."""
     spark = clusters.sparkSession

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import draw, draw_array, hamming
 from . import multiobjective as mo
+from . import niches, ranks
 from . import population as P
 from . import variation as V
 from .lineage import saved
@@ -117,8 +118,8 @@ def gap_mgg(problem: Problem, pop: DataFrame, n: int, seed: int, first_id: int,
     family = saved(parents.unionByName(evaluated(problem, offspring(problem, repeated, seed, first_id))))
     best = saved(_sorted(family, problem.maximise).limit(1))
     rest = family.join(best.select("ind_id"), "ind_id", "left_anti")
-    low = F.min("fitness").over(Window.partitionBy())
-    weights = rest.select("ind_id", (F.col("fitness") - low + 1e-9 if problem.maximise else F.max("fitness").over(Window.partitionBy()) - F.col("fitness") + 1e-9).alias("w"))
+    ends = P.with_whole(rest, _low=F.min("fitness"), _high=F.max("fitness"))
+    weights = ends.select("ind_id", (F.col("fitness") - F.col("_low") + 1e-9 if problem.maximise else F.col("_high") - F.col("fitness") + 1e-9).alias("w"))
     drawn = P.chosen(rest, P.spun(weights, P.slots(pop.sparkSession, 1, seed + 5))).select("ind_id", "genotype", "fitness")
     stay = best.unionByName(drawn).limit(parents.count())
     return pop.join(parents.select("ind_id"), "ind_id", "left_anti").unionByName(stay)
@@ -128,10 +129,10 @@ def niching(kind: str = "sharing", radius: float = 1.0, distance: str = "hamming
     """A step whose parents are chosen by their fitness within niches (sharing or clearing, of a maximised fitness), while
     children are rated by themselves.  A best parent that beats all children takes the place of the worst child; if there
     are fewer children than individuals, the best parents fill up."""
-    rated = {"sharing": mo.shared_fitness, "clearing": mo.cleared}[kind]
+    rated = {"sharing": niches.shared, "clearing": niches.cleared}[kind]
 
     def step(problem: Problem, pop: DataFrame, n: int, seed: int, first_id: int) -> DataFrame:
-        niched = saved(rated(pop, saved(P.genotype_distances(pop, distance)), radius, **options).select("ind_id", "fitness"))
+        niched = saved(rated(pop.select("ind_id", "genotype", "fitness"), radius, kind=distance, **options).select("ind_id", "fitness"))
         parents = _parents(problem, pop.drop("fitness").join(niched, "ind_id"), n, seed)
         children = saved(evaluated(problem, offspring(problem, parents, seed, first_id)))
         short = n - children.count()
@@ -197,7 +198,7 @@ def nsga2(spark: SparkSession, problem: Problem, n: int = 40, generations: int =
     pop = saved(rated(problem.evaluate(problem.create(spark, n, seed).drop("fitness"))).select("ind_id", "genotype", "objectives", "front", "crowding"))
     for g in range(1, generations + 1):
         s = seed * 1_000_003 + 17 * g
-        ranked = pop.withColumn("fitness", F.row_number().over(Window.orderBy(F.desc("front"), F.asc("crowding"), F.desc("ind_id"))).cast("double"))
+        ranked = ranks.numbered(pop, [F.desc("front"), F.asc("crowding"), F.desc("ind_id")], "fitness").withColumn("fitness", F.col("fitness").cast("double"))
         drawn = P.slots(spark, n, s).unionByName(P.slots(spark, n, s + 1))
         children = offspring(problem, P.chosen(ranked, P.tournament(ranked, drawn)), s, g * 10 * n).drop("fitness")
         both = rated(pop.select("ind_id", "genotype", "objectives").unionByName(problem.evaluate(children).select("ind_id", "genotype", "objectives")))

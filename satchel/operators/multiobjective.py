@@ -1,4 +1,4 @@
-"""Pareto fronts, crowding, SPEA2 strength and density, niching, and comparators.
+"""Pareto fronts, crowding, SPEA2 strength and density, sharing by given distances, and comparators (niches.py has the rest).
 
 A population is (ind_id, objectives array<double>), all objectives to be maximised unless ``signs`` has -1.
 """
@@ -156,25 +156,3 @@ def shared_fitness(pop: DataFrame, pairs: DataFrame, radius: float, alpha: float
     near = both.where(F.col("d") < radius).groupBy(F.col("i").alias("ind_id")).agg(F.sum(part if compat else 1 - part).alias("s"))
     own = 0.0 if compat else 1.0
     return pop.join(near, "ind_id", "left").select("ind_id", F.coalesce(F.try_divide("fitness", own + F.coalesce("s", F.lit(0.0))), F.col("fitness")).alias("fitness"))
-
-
-def cleared(pop: DataFrame, pairs: DataFrame, radius: float, kappa: int = 1) -> DataFrame:
-    """Clearing: in the order of fitness, each niche keeps kappa winners; the rest get 0.  Populations are small: the
-    ordered pass is on the driver."""
-    rows = sorted(((r.fitness, r.ind_id) for r in pop.select("ind_id", "fitness").collect()), key=lambda x: (-x[0], x[1]))
-    near: dict[int, set[int]] = {}
-    for r in pairs.where(F.col("d") < radius).collect():
-        near.setdefault(r.i, set()).add(r.j)
-        near.setdefault(r.j, set()).add(r.i)
-    gone: set[int] = set()
-    for n, (_, i) in enumerate(rows):
-        if i in gone:
-            continue
-        winners = 1
-        for _, j in rows[n + 1 :]:
-            if j in near.get(i, ()) and j not in gone:
-                if winners < kappa:
-                    winners += 1
-                else:
-                    gone.add(j)
-    return pop.select("ind_id", F.when(F.col("ind_id").isin(list(gone)), 0.0).otherwise(F.col("fitness")).alias("fitness"))

@@ -83,7 +83,7 @@ def genotype_distances(pop: DataFrame, kind: str = "hamming") -> DataFrame:
 # Selection: weights by individual, then slots
 
 
-def _whole(pop: DataFrame, **values: Column) -> DataFrame:
+def with_whole(pop: DataFrame, **values: Column) -> DataFrame:
     """pop with aggregates of all of it, which are one row."""
     return pop.crossJoin(F.broadcast(pop.agg(*(v.alias(k) for k, v in values.items()))))
 
@@ -94,18 +94,18 @@ def weights(pop: DataFrame, kind: str = "roulette", temperature: float = 1.0) ->
     Ranks count from the smallest fitness, equal fitness in the order of ids."""
     f = F.col("fitness")
     if kind == "roulette":
-        pop, w = _whole(pop, _sum=F.sum("fitness")), F.when(F.col("_sum") == 0, 1.0).otherwise(f)
+        pop, w = with_whole(pop, _sum=F.sum("fitness")), F.when(F.col("_sum") == 0, 1.0).otherwise(f)
     elif kind == "boltzmann":
         w = F.exp(f / temperature)
     elif kind == "disruptive":
-        pop, w = _whole(pop, _mean=F.avg("fitness")), F.abs(f - F.col("_mean"))
+        pop, w = with_whole(pop, _mean=F.avg("fitness")), F.abs(f - F.col("_mean"))
     elif kind == "linear_rank":
         pop = ranks.numbered(pop.select("ind_id", "fitness"), ["fitness", "ind_id"], "_rank")
-        pop, w = _whole(pop, _n=F.count(F.lit(1))), 0.9 + 0.2 * F.col("_rank") / F.greatest(F.col("_n") - 1, F.lit(1))
+        pop, w = with_whole(pop, _n=F.count(F.lit(1))), 0.9 + 0.2 * F.col("_rank") / F.greatest(F.col("_n") - 1, F.lit(1))
     elif kind == "nonlinear_rank":
         pop, w = ranks.numbered(pop.select("ind_id", "fitness"), ["fitness", "ind_id"], "_rank"), 0.3 * F.pow(F.lit(0.7), F.col("_rank"))
     elif kind == "sigma":
-        pop, s = _whole(pop, _s=F.stddev_pop("fitness"), _mean=F.avg("fitness")), F.col("_s")
+        pop, s = with_whole(pop, _s=F.stddev_pop("fitness"), _mean=F.avg("fitness")), F.col("_s")
         w = F.when(s == 0, 1.0).otherwise(F.greatest(1 + (f - F.col("_mean")) / (2 * F.when(s == 0, 1.0).otherwise(s)), F.lit(0.0)))
     else:
         raise ValueError(f"no selector named {kind}")
@@ -138,7 +138,7 @@ def universal(w: DataFrame, n: int, start: float) -> DataFrame:
 
 def remainder(w: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Stochastic remainder: the whole part of the expected copies is certain, the fraction is drawn."""
-    expected = _whole(w, _sum=F.sum("w")).select("ind_id", (F.col("w") / F.col("_sum") * n).alias("e"))
+    expected = with_whole(w, _sum=F.sum("w")).select("ind_id", (F.col("w") / F.col("_sum") * n).alias("e"))
     copies = F.floor("e") + (draw(seed, F.col("ind_id")) < F.col("e") - F.floor("e")).cast("int")
     return expected.select("ind_id", copies.cast("int").alias("copies"))
 

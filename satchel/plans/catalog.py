@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import centres, clusterers, evoclusters, external, indices, joins, multiobjective, population, transforms, variation
+from ..functions import generators
+from ..operators import centres, clusterers, evoclusters, external, indices, joins, multiobjective, niches, population, rules, transforms, trees, variation
 from ..operators.lineage import saved
 from ..sources import views
 
@@ -32,6 +33,53 @@ def vec(spark, d):
     return views.vector_bags(spark, d)
 
 
+def _real(spark, d):
+    return genotypes(spark, d).select("ind_id", F.col("r").alias("genotype"), "fitness")
+
+
+def _rules(spark, d):
+    """A rule for every fifth vector: its first three values bound the same dimensions, from below, above and below."""
+    e = views.table(spark, d, "embeddings").where("vec_id % 5 = 0")
+    conditions = F.array(*(F.struct(F.lit(k).alias("dim"), F.lit(sign).alias("sign"), F.col("embedding")[k].cast("double").alias("bound")) for k, sign in enumerate((1, -1, 1))))
+    return e.select(F.col("vec_id").alias("rule_id"), conditions.alias("conditions"), F.col("label").cast("int").alias("cls"))
+
+
+def _instances(spark, d):
+    return views.vector_instances(spark, d).select(F.col("ord").alias("id"), F.col("label").cast("int").alias("label"), "x")
+
+
+def _label_sets(spark, d):
+    """Bags with all labels of their instances."""
+    labels = views.vector_instances(spark, d).groupBy("bag_idx").agg(F.collect_set(F.col("label").cast("int")).alias("label"))
+    return vec(spark, d).select("bag_idx", "bag").join(labels, "bag_idx").select(F.col("bag_idx").alias("id"), "label", F.col("bag").alias("instances"))
+
+
+def _trees():
+    return trees.arithmetic(3, (0.5,), 11)
+
+
+def _programs(spark, d):
+    """One of four programs for each vector, with the vector as its inputs (whose first two values differ in each)."""
+    t = _trees()
+    texts = ("+ x0 * x1 x2", "if < x0 x1 - x0 x2 neg + x1 0.5", "* + x0 x1 - x1 neg x2", "x2")
+    codes = F.array(*(F.lit([t.code(n) for n in text.split()]) for text in texts))
+    e = views.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("ind_id"), F.get(codes, (F.col("vec_id") % 4).cast("int")).alias("p"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("x"))
+
+
+def _mated(spark, d):
+    """Each program with the next one's, and two draws."""
+    p = _programs(spark, d).select("ind_id", "p")
+    q = p.select((F.col("ind_id") - 1).alias("ind_id"), F.col("p").alias("q"))
+    return p.join(q, "ind_id").withColumn("u", (F.col("ind_id") * 7 % 101) / 101).withColumn("v", (F.col("ind_id") * 11 % 103) / 103)
+
+
+def _rule_list(spark, d):
+    rows, model = rules.bags_of(vec(spark, d)), rules.RuleList(7)
+    model.fit(rows, _rules(spark, d))
+    return model.predict(rows)
+
+
 def by_rule(bags, k=3):
     return bags.select("bag_idx", (F.col("bag_idx") % k).cast("int").alias("cluster"))
 
@@ -82,6 +130,11 @@ BETWEEN = "bet as (select a.cluster as i, b.cluster as j, list_distance(a.c, b.c
 NEAR2 = f"med as (select bag, ord, x, case bag when {MEDOIDS[0]} then 0 else 1 end as cluster from inst where bag in ({MEDOIDS[0]}, {MEDOIDS[1]})), ad as (select bag, cluster, max(m) as d from (select i.bag, i.ord, m.cluster, min(list_distance(i.x, m.x)) as m from inst i, med m group by all) group by all), asg as (select bag, cluster, d from (select *, row_number() over (partition by bag order by d, cluster) as r from ad) where r = 1)"
 
 
+RULES_ = "rule as (select vec_id as rule_id, embedding[1]::double as b0, embedding[2]::double as b1, embedding[3]::double as b2, label as cls from embeddings where vec_id % 5 = 0)"
+FIRE = "fire as (select rule_id, cls, bag, bool_or(x[1] >= b0 and x[2] <= b1 and x[3] >= b2) as fired from inst, rule group by all)"
+CONFUSED = "cf as (select rule_id, cls, count(*) filter (label = cls and fired) as tp, count(*) filter (label != cls and fired) as fp, count(*) filter (label = cls and not fired) as fn, count(*) filter (label != cls and not fired) as tn from fire join lab using (bag) group by all), rt as (select *, case when tp + fn > 0 then tp / (tp + fn) else 0 end as sens, case when tn + fp > 0 then tn / (tn + fp) else 0 end as spec from cf) "
+
+
 def with_(*parts):
     return "with recursive " + ", ".join(parts) + " "
 
@@ -273,7 +326,20 @@ def queries():
         "worst_first": lambda s, d: population.ordered(genotypes(s, d), 100, False),
         "random_selection": lambda s, d: population.uniform(genotypes(s, d), _slots(s, d)),
         "euclidean_pairs": lambda s, d: rounded(population.genotype_distances(genotypes(s, d).select("ind_id", F.col("r").alias("genotype")), "euclidean")),
-        "shared_fitness": lambda s, d: rounded(multiobjective.shared_fitness(genotypes(s, d), population.genotype_distances(genotypes(s, d).select("ind_id", F.col("g").alias("genotype"))), 40.0)),
+        "shared_fitness": lambda s, d: rounded(niches.shared(_coded(s, d), 40.0)),
+        "shared_fitness_of_reals": lambda s, d: rounded(niches.shared(_real(s, d), 2.0, 2.0, "euclidean")),
+        "near_genotypes": lambda s, d: niches.hamming_near(_coded(s, d), 42),
+        "cleared_fitness": lambda s, d: rounded(niches.cleared(_coded(s, d), 44.0)),
+        "ranecu_draws": lambda s, d: rounded(views.table(s, d, "embeddings").select("vec_id", generators.ranecu(F.col("vec_id") + 1, 12345, 67890).alias("u"))),
+        "ranecu_far_draws": lambda s, d: rounded(views.table(s, d, "embeddings").select("vec_id", generators.ranecu(F.col("vec_id") * 1_000_003_000_007, F.col("vec_id") + 1, 2 * F.col("vec_id") + 1).alias("u"))),
+        "rule_confusions": lambda s, d: rules.confusions(rules.bags_of(vec(s, d)), _rules(s, d)),
+        "rule_confusions_of_instances": lambda s, d: rules.confusions(rules.single(_instances(s, d)), _rules(s, d)),
+        "rule_confusions_of_label_sets": lambda s, d: rules.multilabel_confusions(_label_sets(s, d), _rules(s, d)),
+        "rule_fitness": lambda s, d: rounded(rules.rated(rules.confusions(rules.bags_of(vec(s, d)), _rules(s, d)))),
+        "rule_list_predictions": _rule_list,
+        "tree_ends": lambda s, d: _programs(s, d).select("ind_id", F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: trees.end_of(_trees(), F.col("p"), i)).alias("ends")),
+        "tree_values": lambda s, d: rounded(_programs(s, d).select("ind_id", trees.value(_trees(), F.col("p"), F.col("x")).alias("v"))),
+        "tree_crossover": lambda s, d: _mated(s, d).select("ind_id", trees.crossed(_trees(), F.col("p"), F.col("q"), F.col("u"), F.col("v")).alias("c")).select("ind_id", F.col("c")[0].alias("a"), F.col("c")[1].alias("b")),
         "spea2_fitness": lambda s, d: rounded(multiobjective.spea2(_objectives(s, d), 3)),
         "spea2_archive": lambda s, d: _archived(s, d, 60),
         "spea2_truncated": lambda s, d: _archived(s, d, 5),
@@ -349,6 +415,9 @@ def oracle_sql():
     out = {}
     for kind, p in PAIR.items():
         out[f"hausdorff_{kind}"] = with_(VEC, ENDS, p) + f"select i, j, {r('d')} as d from p where i != j"
+    judged = with_(VEC, RULES_, FIRE)
+    # codes: x0 x1 x2 0.5 true + - * neg < and not if; and how many nodes are asked for less those that are there
+    programs = with_("prog as (select vec_id as ind_id, case vec_id % 4 when 0 then [5, 0, 7, 1, 2] when 1 then [12, 9, 0, 1, 6, 0, 2, 8, 5, 1, 3] when 2 then [7, 5, 0, 1, 6, 1, 8, 2] else [2] end as p from embeddings)", "code as (select ind_id, unnest(p) as g, generate_subscripts(p, 1) - 1 as i from prog)", "size as (select ind_id, len(p) as n from prog)", "ar as (select ind_id, i, [0, 0, 0, 0, 0, 2, 2, 2, 1, 2, 2, 1, 3][g + 1] - 1 as d from code)", "open_ as (select ind_id, i, i as j, coalesce(sum(d) over (partition by ind_id order by i rows between unbounded preceding and 1 preceding), 0) as s from ar union all select ind_id, null, count(*), sum(d) from ar group by ind_id)")
     minmin = with_(VEC, ENDS, PAIR["minmin"], f"near as (select i, j, d from p where d <= {EPS} or i = j)")
     rule = with_(VEC, FLAT, CENTRES, OWN, BETWEEN)
     cells = with_(VEC, "cell as (select (bag % 3)::int as cluster, label % 3 as class, count(*) as n from lab group by all)")
@@ -427,6 +496,20 @@ def oracle_sql():
         "universal_sampling": with_(GENES, "rk as (select ind_id, 0.9 + 0.2 * (row_number() over (order by fitness, ind_id) - 1) / greatest(count(*) over () - 1, 1) as w from pop)", "wh as (select ind_id, coalesce(sum(w) over (order by ind_id rows between unbounded preceding and 1 preceding), 0) / sum(w) over () as low from rk)", "pt as (select unnest(range(0, 300)) as slot)") + "select slot, ind_id from (select slot, (slot + 0.37) / 300 as u from pt) asof join wh on u >= low",
         # the longest edge of a cluster's spanning tree is the least threshold that connects it
         "dbcv": with_(VEC, ENDS, PAIR["mean"], "s as (select i, j, i % 3 as ci, j % 3 as cj, d from p where i != j)", "k as (select i, pow(sum(pow(1 / greatest(d, 1e-12), 64)) / count(*), -1.0 / 64) as k from s where ci = cj group by i)", "m as (select s.i, s.j, ci, cj, greatest(d, a.k, b.k) as r from s join k a on a.i = s.i join k b on b.i = s.j)", "t as (select distinct ci, r as t from m where ci = cj)", "reach as (select t.ci, t, min(i) as i from t join k on i % 3 = ci group by all union select w.ci, w.t, m.j from reach w join m on m.ci = w.ci and m.cj = w.ci and m.i = w.i and m.r <= w.t)", "n as (select i % 3 as ci, count(*) as n from k group by 1)", "sp as (select ci, min(t) as sparse from (select ci, t, count(*) as c from reach group by all) join n using (ci) where c = n group by ci)", "gp as (select ci, min(r) as gap from m where ci != cj group by ci)") + f"select {r('sum(n * (gap - sparse) / greatest(gap, sparse)) / sum(n)')} as dbcv from n join sp using (ci) join gp using (ci)",
+        "shared_fitness_of_reals": with_(GENES, "hd as (select a.ind_id as i, b.ind_id as j, list_distance(a.r, b.r) as d from pop a join pop b on a.ind_id != b.ind_id)", "sh as (select i, sum(1 - pow(d / 2, 2)) as s from hd where d < 2 group by i)") + f"select ind_id, {r('fitness / (1 + coalesce(s, 0))')} as fitness from pop left join sh on i = ind_id",
+        "near_genotypes": with_(GENES) + "select i, j, d::int as d from (select a.ind_id as i, b.ind_id as j, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] != z[2])::int)) as d from pop a join pop b on a.ind_id < b.ind_id) where d <= 42",
+        # one after the other in the order of fitness, with the list of those that stay
+        "cleared_fitness": with_(GENES, "o as (select *, row_number() over (order by fitness desc, ind_id) as p from pop)", "hd as materialized (select a.p, b.p as q, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] != z[2])::int)) as d from o a join o b on a.p < b.p)", "nb as materialized (select q as p, list(p) as before from hd where d < 44 group by q)", "st as (select 0::bigint as p, []::bigint[] as kept union all select o.p, case when list_has_any(kept, coalesce(before, [])) then kept else list_append(kept, o.p) end from st join o on o.p = st.p + 1 left join nb on nb.p = o.p)") + f"select ind_id, {r('case when list_contains((select kept from st order by p desc limit 1), p) then fitness else 0 end')} as fitness from o",
+        "ranecu_draws": with_("g as (select 0::bigint as n, 12345::bigint as a, 67890::bigint as b union all select n + 1, a * 40014 % 2147483563, b * 40692 % 2147483399 from g where n <= (select max(vec_id) from embeddings))") + f"select vec_id, {r('case when a - b < 1 then a - b + 2147483562 else a - b end * 4.656613e-10')} as u from embeddings join g on n = vec_id + 1",
+        "ranecu_far_draws": with_("s as (select vec_id, vec_id * 1000003000007 as n, 40014::hugeint as fa, 40692::hugeint as fb, (vec_id + 1)::hugeint as a, (2 * vec_id + 1)::hugeint as b from embeddings union all select vec_id, n // 2, fa * fa % 2147483563, fb * fb % 2147483399, case when n % 2 = 1 then a * fa % 2147483563 else a end, case when n % 2 = 1 then b * fb % 2147483399 else b end from s where n > 0)") + f"select vec_id, {r('case when a - b < 1 then a - b + 2147483562 else a - b end::double * 4.656613e-10')} as u from s where n = 0",
+        "rule_confusions": judged + "select rule_id, count(*) filter (label = cls and fired) as tp, count(*) filter (label != cls and fired) as fp, count(*) filter (label = cls and not fired) as fn, count(*) filter (label != cls and not fired) as tn from fire join lab using (bag) group by rule_id",
+        "rule_confusions_of_instances": with_(VEC, RULES_) + "select rule_id, count(*) filter (label = cls and fired) as tp, count(*) filter (label != cls and fired) as fp, count(*) filter (label = cls and not fired) as fn, count(*) filter (label != cls and not fired) as tn from (select rule_id, cls, label, embedding[1]::double >= b0 and embedding[2]::double <= b1 and embedding[3]::double >= b2 as fired from embeddings, rule) group by rule_id",
+        "rule_confusions_of_label_sets": judged + "select rule_id, count(*) filter (list_contains(ls, cls) and fired) as tp, count(*) filter (not list_contains(ls, cls) and fired) as fp, count(*) filter (list_contains(ls, cls) and not fired) as fn, count(*) filter (not list_contains(ls, cls) and not fired) as tn from fire join (select vec_id // 5 as bag, list(label) as ls from embeddings group by 1) using (bag) group by rule_id",
+        "rule_fitness": judged + ", " + CONFUSED + f"select rule_id, {r('sens')} as sensitivity, {r('spec')} as specificity, {r('case when tp + fp > 0 then tp / (tp + fp) else 0 end')} as precision, {r('case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end')} as f1, {r('(tp + tn) / (tp + fp + fn + tn)')} as accuracy, {r('sens * spec')} as fitness from rt",
+        "rule_list_predictions": judged + ", " + CONFUSED.rstrip() + ", best as (select *, row_number() over (order by sens * spec desc, rule_id) as p from rt qualify p <= 7), first as (select bag, min_by(cls, p) as cls from fire join best using (rule_id, cls) where fired group by bag) select lab.bag as id, label::int as label, coalesce(cls, (select label from lab group by label order by count(*) desc, label limit 1))::int as predicted from lab left join first using (bag)",
+        "tree_ends": programs + ", ends as (select ind_id, i, min(z) as e from open_ a join (select ind_id as k, j as z, s as t from open_) on k = ind_id and z > i and t = s - 1 group by all) select ind_id, list(e order by i)::int[] as ends from ends group by ind_id",
+        "tree_values": programs + f"select vec_id as ind_id, {r('case vec_id % 4 when 0 then x0 + x1 * x2 when 1 then case when x0 < x1 then x0 - x2 else -(x1 + 0.5) end when 2 then (x0 + x1) * (x1 + x2) else x2 end')} as v from (select vec_id, embedding[1]::double as x0, embedding[2]::double as x1, embedding[3]::double as x2 from embeddings)",
+        "tree_crossover": programs + ", e as (select ind_id, i, min(z) as e from open_ a join (select ind_id as k, j as z, s as t from open_) on k = ind_id and z > i and t = s - 1 group by all), g as (select e.*, g, n, (g in (4, 9, 10, 11))::int as ty from e join code using (ind_id, i) join size using (ind_id)), one as (select ind_id, i, e, ty, n from g where n > 1 and i = 1 + floor((ind_id * 7 % 101) / 101 * (n - 1))), two as (select one.ind_id, one.i, one.e, g.i as j, g.e as f, row_number() over (partition by one.ind_id order by g.i) - 1 as k, count(*) over (partition by one.ind_id) as c from one join g on g.ind_id = one.ind_id + 1 and g.i > 0 and g.ty = one.ty and one.n - (one.e - one.i) + g.e - g.i <= 11 and g.n - (g.e - g.i) + one.e - one.i <= 11), pick as (select * from two where k = floor((ind_id * 11 % 103) / 103 * c)) select a.ind_id, case when i is null then a.p else a.p[:i] || b.p[j + 1:f] || a.p[e + 1:] end as a, case when i is null then b.p else b.p[:j] || a.p[i + 1:e] || b.p[f + 1:] end as b from prog a join prog b on b.ind_id = a.ind_id + 1 left join pick on pick.ind_id = a.ind_id",
         "roulette": with_(GENES, slot, "wh as (select ind_id, sum(fitness) over (order by ind_id) / sum(fitness) over () as high, fitness / sum(fitness) over () as p, max(ind_id) over () as top from pop)") + "select slot, min(ind_id) as ind_id from sl join wh on u >= high - p and (u < high or ind_id = top) group by slot",
         "tournament": with_(GENES, slot, "pl as (select *, row_number() over (order by ind_id) - 1 as p from pop), n as (select count(*) as n from pop)") + "select slot // 3 as slot, arg_max(ind_id, struct_pack(f := fitness, i := -ind_id)) as ind_id from sl, n join pl on p = floor(u * n)::bigint group by 1",
         "truncation": with_(GENES) + "select r - 1 as slot, ind_id from (select ind_id, row_number() over (order by fitness desc, ind_id) as r from pop) where r <= 100",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import columns as C
 from satchel.functions import kernels
-from satchel.operators import centres, clusterers, evolution, external, indices, joins, multiobjective, population, programs, transforms, variation
+from satchel.operators import centres, clusterers, evolution, external, indices, joins, multiobjective, niches, population, programs, transforms, variation
 from satchel.plans import catalog
 from satchel.sources import files, views
 
@@ -204,7 +204,7 @@ def test_multiobjective(spark):
     assert {r.ind_id for r in d if r.raw == 0} == {0, 1, 2}
     flat = spark.createDataFrame([(0, 5.0), (1, 4.0), (2, 3.0)], "ind_id long, fitness double")
     dist = spark.createDataFrame([(0, 1, 0.1), (0, 2, 9.0), (1, 2, 9.0)], "i long, j long, d double")
-    assert {r.ind_id: r.fitness for r in multiobjective.cleared(flat, dist, 1.0).collect()} == {0: 5.0, 1: 0.0, 2: 3.0}
+    assert {r.ind_id: r.fitness for r in niches.cleared_by(flat, dist, 1.0).collect()} == {0: 5.0, 1: 0.0, 2: 3.0}
     shared = {r.ind_id: r.fitness for r in multiobjective.shared_fitness(flat, dist, 1.0).collect()}
     assert shared[2] == 3.0 and shared[0] == pytest.approx(5 / 1.9)
     evaluate = lambda pop: pop.withColumn("objectives", F.array(F.aggregate("genotype", F.lit(0.0), lambda s, v: s + v), -F.element_at("genotype", 1).cast("double")))
