@@ -93,3 +93,14 @@ def counts(clusters: DataFrame, k: int) -> DataFrame:
     n = clusters.groupBy(F.greatest("cluster", F.lit(-1)).alias("cluster")).count()
     every = spark.range(-1, k).select(F.col("id").cast("int").alias("cluster"))
     return every.join(n, "cluster", "left").select("cluster", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+def survey(instances: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, bags, instances, dim, mean, std (sample) of each cluster and, as cluster -1, of all data; clusters without
+    instances have no rows."""
+    inside = clusters.where("cluster >= 0").select("bag_idx", "cluster")
+    kinds = F.array(F.lit(-1), F.col("cluster"))
+    rows = instances.join(inside, "bag_idx", "left").select("bag_idx", "x", F.explode(F.when(F.col("cluster").isNull(), F.array(F.lit(-1))).otherwise(kinds)).alias("cluster"))
+    bags = rows.groupBy("cluster").agg(F.count_distinct("bag_idx").alias("bags"), F.count(F.lit(1)).alias("instances"))
+    flat = rows.select("cluster", F.posexplode("x").alias("dim", "v")).groupBy("cluster", "dim").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    return flat.join(F.broadcast(bags), "cluster").select("cluster", "bags", "instances", "dim", "mean", "std")  # a row per cluster

@@ -45,13 +45,34 @@ def integer_problem(length: int, low: int, high: int, evaluate, maximise: bool =
     )
 
 
+def summary(pop: DataFrame, maximise: bool = True) -> DataFrame:
+    """One row of a population: best_id, best, worst_id, worst, median_id, median (at place n / 2), mean and variance."""
+    sign = F.col("fitness") if maximise else -F.col("fitness")
+    one = F.struct("ind_id", "fitness")
+    ends = pop.agg(F.max_by(one, F.struct(sign, -F.col("ind_id"))).alias("b"), F.max_by(one, F.struct(-sign, -F.col("ind_id"))).alias("w"), F.avg("fitness").alias("mean"), F.var_pop("fitness").alias("variance"))
+    middle = P.median(pop).select(F.col("ind_id").alias("median_id"), F.col("fitness").alias("median"))
+    return ends.crossJoin(F.broadcast(middle)).select(F.col("b.ind_id").alias("best_id"), F.col("b.fitness").alias("best"), F.col("w.ind_id").alias("worst_id"), F.col("w.fitness").alias("worst"), "median_id", "median", "mean", "variance")
+
+
 @dataclass
 class Report:
+    """A listener: the summary of every ``every``-th generation, kept as rows, and below ``folder`` (if given) appended as CSV;
+    with ``whole`` the population itself is written there too, a folder for each reported generation."""
+
+    every: int = 1
+    folder: str | None = None
+    whole: bool = False
     generations: list[dict] = field(default_factory=list)
 
     def __call__(self, generation: int, pop: DataFrame, maximise: bool) -> None:
-        r = pop.agg(F.max("fitness").alias("high"), F.min("fitness").alias("low"), F.avg("fitness").alias("mean"), F.var_pop("fitness").alias("variance"), F.percentile_approx("fitness", 0.5).alias("median")).first()
-        self.generations.append({"generation": generation, "best": r.high if maximise else r.low, "worst": r.low if maximise else r.high, "mean": r["mean"], "variance": r["variance"], "median": r["median"]})
+        if generation % self.every:
+            return
+        rows = saved(summary(pop, maximise).select(F.lit(generation).alias("generation"), "*"))
+        self.generations += [r.asDict() for r in rows.collect()]
+        if self.folder:
+            rows.write.mode("append").option("header", True).csv(f"{self.folder}/generations")
+            if self.whole:
+                _sorted(pop, maximise).write.mode("overwrite").parquet(f"{self.folder}/population-{generation:06d}")
 
 
 def evaluated(problem: Problem, pop: DataFrame) -> DataFrame:

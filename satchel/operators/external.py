@@ -133,6 +133,14 @@ def macro(values: DataFrame, measure: str, sizes: dict[int, int] | None = None)
     return sum(rows[k] * sizes.get(k, 0) for k in rows) / max(1, sum(sizes.get(k, 0) for k in rows))
 
 
+def macros(cells: DataFrame) -> DataFrame:
+    """The macro value of each measure of per_class as one row, weighted by the sizes of classes (class 1's of two)."""
+    values = per_class(cells)
+    sizes = {r[0]: r[1] for r in cells.groupBy("class").agg(F.sum("n")).collect()}
+    names = ("precision", "recall", "f1", "specificity")
+    return cells.sparkSession.createDataFrame([tuple(float(macro(values, n, sizes)) for n in names)], ", ".join(f"{n} double" for n in names))
+
+
 def render(cells: DataFrame) -> str:
     to, known = mapped(cells)
     classes = sorted({k for _, k in known})

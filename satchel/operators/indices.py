@@ -149,6 +149,13 @@ def dbcv(bags: DataFrame, clusters: DataFrame, pairs: DataFrame, by: tuple[str,
     return v.groupBy(*by).agg((F.sum(value * F.col("n") / F.col("_every"))).alias("dbcv"))
 
 
+def evaluation(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> DataFrame:
+    """full_evaluation as one row; no row where no bag is assigned."""
+    found = full_evaluation(bags, clusters, distance)
+    names = ", ".join(f"{k} double" for k in found) or "rmsstd double"
+    return bags.sparkSession.createDataFrame([tuple(None if v is None else float(v) for v in found.values())] if found else [], names)
+
+
 def full_evaluation(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin") -> dict[str, float]:
     """All internal indices; the pair table is computed once.  Where no bag is assigned none is defined, so none is given."""
     from .lineage import saved

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import choose, nearest_of
+from ..functions.columns import choose, draw, nearest_of
 
 Pair = tuple[Column, Column]
 
@@ -279,3 +279,20 @@ def by_component(crosses):
 def mutated_components(mutations):
     """Of genotypes that are arrays of components: each component is mutated by its own operator."""
     return lambda g, seed, key: F.array(*(m(g[i], seed + 101 * i, key) for i, m in enumerate(mutations)))
+
+
+def mutated_repeatedly(mutation, times: int):
+    """``times`` mutations one after the other, each with draws of its own."""
+    def mutate(g, seed, key):
+        for t in range(times):
+            g = mutation(g, seed + 101 * t, key)
+        return g
+
+    return mutate
+
+
+def mutants(pop: DataFrame, mutation, seed: int, p: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Of (ind_id, genotype): the mutants of those that are drawn with probability p, and the others, which stay sterile."""
+    fertile = draw(seed, F.col("ind_id")) < p
+    changed = pop.where(fertile).withColumn("genotype", mutation(F.col("genotype"), seed + 1, F.col("ind_id")))
+    return changed, pop.where(~fertile)

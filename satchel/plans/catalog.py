@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import generators
-from ..operators import centres, clusterers, evoclusters, external, indices, joins, multiobjective, niches, population, rules, transforms, trees, variation
+from ..operators import centres, clusterers, evoclusters, evolution, external, indices, joins, multiobjective, niches, population, rules, transforms, trees, variation
 from ..operators.lineage import saved
 from ..sources import views
 
@@ -337,6 +337,10 @@ def queries():
         "rule_confusions_of_label_sets": lambda s, d: rules.multilabel_confusions(_label_sets(s, d), _rules(s, d)),
         "rule_fitness": lambda s, d: rounded(rules.rated(rules.confusions(rules.bags_of(vec(s, d)), _rules(s, d)))),
         "rule_list_predictions": _rule_list,
+        "cluster_survey": lambda s, d: rounded(centres.survey(views.user_instances(s, d), views.user_instances(s, d).select("bag_idx").distinct().select("bag_idx", ((F.col("bag_idx") % 4) - 1).cast("int").alias("cluster")))),
+        "population_report": lambda s, d: rounded(evolution.summary(genotypes(s, d))),
+        "full_evaluation": lambda s, d: rounded(indices.evaluation(vec(s, d), by_rule(vec(s, d)))),
+        "class_macros": lambda s, d: rounded(external.macros(_cells(s, d))),
         "tree_ends": lambda s, d: _programs(s, d).select("ind_id", F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: trees.end_of(_trees(), F.col("p"), i)).alias("ends")),
         "tree_values": lambda s, d: rounded(_programs(s, d).select("ind_id", trees.value(_trees(), F.col("p"), F.col("x")).alias("v"))),
         "tree_crossover": lambda s, d: _mated(s, d).select("ind_id", trees.crossed(_trees(), F.col("p"), F.col("q"), F.col("u"), F.col("v")).alias("c")).select("ind_id", F.col("c")[0].alias("a"), F.col("c")[1].alias("b")),
@@ -409,6 +413,12 @@ def _connected(spark, d):
     return i.select("l_orderkey", *cols).groupBy("l_orderkey").agg(*(F.sum(c).alias(c) for c in [f"{k}_{n}" for k in ("algebraic", "einstein", "hamacher", "logical") for n in "msfl"]))
 
 
+def dbcv_sql(kind):
+    """The longest edge of a cluster's spanning tree is the least threshold that connects it."""
+    r = lambda e: f"round({e}, 6) + 0.0"
+    return with_(VEC, ENDS, PAIR[kind], "s as (select i, j, i % 3 as ci, j % 3 as cj, d from p where i != j)", "k as (select i, pow(sum(pow(1 / greatest(d, 1e-12), 64)) / count(*), -1.0 / 64) as k from s where ci = cj group by i)", "m as (select s.i, s.j, ci, cj, greatest(d, a.k, b.k) as r from s join k a on a.i = s.i join k b on b.i = s.j)", "o as (select ci, i, j, r from m where ci = cj and i < j union all select ci, j, i, r from m where ci = cj and i < j)", "t as (select distinct ci, r as t from o)", "reach as (select t.ci, t, min(i) as i from t join k on i % 3 = ci group by all union select w.ci, w.t, m.j from reach w join o m on m.ci = w.ci and m.i = w.i and m.r <= w.t)", "n as (select i % 3 as ci, count(*) as n from k group by 1)", "sp as (select ci, min(t) as sparse from (select ci, t, count(*) as c from reach group by all) join n using (ci) where c = n group by ci)", "gp as (select ci, min(r) as gap from m where ci != cj group by ci)") + f"select {r('sum(n * (gap - sparse) / greatest(gap, sparse)) / sum(n)')} as dbcv from n join sp using (ci) join gp using (ci)"
+
+
 def oracle_sql():
     r = lambda e: f"round({e}, 6) + 0.0"
     rl = lambda e: f"list_transform({e}, lambda w: round(w, 6) + 0.0)"
@@ -494,8 +504,7 @@ def oracle_sql():
         "median_individual": with_(GENES) + "select ind_id, fitness from (select *, row_number() over (order by fitness, ind_id) as p, count(*) over () as n from pop) where p = n // 2 + 1",
         # a part of the wheel for each, and pointers at equal distances
         "universal_sampling": with_(GENES, "rk as (select ind_id, 0.9 + 0.2 * (row_number() over (order by fitness, ind_id) - 1) / greatest(count(*) over () - 1, 1) as w from pop)", "wh as (select ind_id, coalesce(sum(w) over (order by ind_id rows between unbounded preceding and 1 preceding), 0) / sum(w) over () as low from rk)", "pt as (select unnest(range(0, 300)) as slot)") + "select slot, ind_id from (select slot, (slot + 0.37) / 300 as u from pt) asof join wh on u >= low",
-        # the longest edge of a cluster's spanning tree is the least threshold that connects it
-        "dbcv": with_(VEC, ENDS, PAIR["mean"], "s as (select i, j, i % 3 as ci, j % 3 as cj, d from p where i != j)", "k as (select i, pow(sum(pow(1 / greatest(d, 1e-12), 64)) / count(*), -1.0 / 64) as k from s where ci = cj group by i)", "m as (select s.i, s.j, ci, cj, greatest(d, a.k, b.k) as r from s join k a on a.i = s.i join k b on b.i = s.j)", "t as (select distinct ci, r as t from m where ci = cj)", "reach as (select t.ci, t, min(i) as i from t join k on i % 3 = ci group by all union select w.ci, w.t, m.j from reach w join m on m.ci = w.ci and m.cj = w.ci and m.i = w.i and m.r <= w.t)", "n as (select i % 3 as ci, count(*) as n from k group by 1)", "sp as (select ci, min(t) as sparse from (select ci, t, count(*) as c from reach group by all) join n using (ci) where c = n group by ci)", "gp as (select ci, min(r) as gap from m where ci != cj group by ci)") + f"select {r('sum(n * (gap - sparse) / greatest(gap, sparse)) / sum(n)')} as dbcv from n join sp using (ci) join gp using (ci)",
+        "dbcv": dbcv_sql("mean"),
         "shared_fitness_of_reals": with_(GENES, "hd as (select a.ind_id as i, b.ind_id as j, list_distance(a.r, b.r) as d from pop a join pop b on a.ind_id != b.ind_id)", "sh as (select i, sum(1 - pow(d / 2, 2)) as s from hd where d < 2 group by i)") + f"select ind_id, {r('fitness / (1 + coalesce(s, 0))')} as fitness from pop left join sh on i = ind_id",
         "near_genotypes": with_(GENES) + "select i, j, d::int as d from (select a.ind_id as i, b.ind_id as j, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] != z[2])::int)) as d from pop a join pop b on a.ind_id < b.ind_id) where d <= 42",
         # one after the other in the order of fitness, with the list of those that stay
@@ -510,6 +519,8 @@ def oracle_sql():
         "tree_ends": programs + ", ends as (select ind_id, i, min(z) as e from open_ a join (select ind_id as k, j as z, s as t from open_) on k = ind_id and z > i and t = s - 1 group by all) select ind_id, list(e order by i)::int[] as ends from ends group by ind_id",
         "tree_values": programs + f"select vec_id as ind_id, {r('case vec_id % 4 when 0 then x0 + x1 * x2 when 1 then case when x0 < x1 then x0 - x2 else -(x1 + 0.5) end when 2 then (x0 + x1) * (x1 + x2) else x2 end')} as v from (select vec_id, embedding[1]::double as x0, embedding[2]::double as x1, embedding[3]::double as x2 from embeddings)",
         "tree_crossover": programs + ", e as (select ind_id, i, min(z) as e from open_ a join (select ind_id as k, j as z, s as t from open_) on k = ind_id and z > i and t = s - 1 group by all), g as (select e.*, g, n, (g in (4, 9, 10, 11))::int as ty from e join code using (ind_id, i) join size using (ind_id)), one as (select ind_id, i, e, ty, n from g where n > 1 and i = 1 + floor((ind_id * 7 % 101) / 101 * (n - 1))), two as (select one.ind_id, one.i, one.e, g.i as j, g.e as f, row_number() over (partition by one.ind_id order by g.i) - 1 as k, count(*) over (partition by one.ind_id) as c from one join g on g.ind_id = one.ind_id + 1 and g.i > 0 and g.ty = one.ty and one.n - (one.e - one.i) + g.e - g.i <= 11 and g.n - (g.e - g.i) + one.e - one.i <= 11), pick as (select * from two where k = floor((ind_id * 11 % 103) / 103 * c)) select a.ind_id, case when i is null then a.p else a.p[:i] || b.p[j + 1:f] || a.p[e + 1:] end as a, case when i is null then b.p else b.p[:j] || a.p[i + 1:e] || b.p[f + 1:] end as b from prog a join prog b on b.ind_id = a.ind_id + 1 left join pick on pick.ind_id = a.ind_id",
+        "cluster_survey": with_(USER, "c as (select *, unnest(case when bag % 4 = 0 then [-1] else [-1, bag % 4 - 1] end) as cluster from inst)", "f as (select cluster, unnest(x) as v, generate_subscripts(x, 1) - 1 as dim from c)", "n as (select cluster, count(distinct bag) as bags, count(*) as instances from c group by 1)") + f"select cluster::int as cluster, bags, instances, dim::int as dim, {r('avg(v)')} as mean, {r('stddev_samp(v)')} as std from f join n using (cluster) group by all",
+        "population_report": with_(GENES, "o as (select *, row_number() over (order by fitness, ind_id) as p, count(*) over () as n from pop)") + f"select arg_max(ind_id, fitness * 1000000 - ind_id) as best_id, max(fitness) as best, arg_min(ind_id, fitness * 1000000 + ind_id) as worst_id, min(fitness) as worst, max(case when p = n // 2 + 1 then ind_id end) as median_id, max(case when p = n // 2 + 1 then fitness end) as median, {r('avg(fitness)')} as mean, {r('var_pop(fitness)')} as variance from o",
         "roulette": with_(GENES, slot, "wh as (select ind_id, sum(fitness) over (order by ind_id) / sum(fitness) over () as high, fitness / sum(fitness) over () as p, max(ind_id) over () as top from pop)") + "select slot, min(ind_id) as ind_id from sl join wh on u >= high - p and (u < high or ind_id = top) group by slot",
         "tournament": with_(GENES, slot, "pl as (select *, row_number() over (order by ind_id) - 1 as p from pop), n as (select count(*) as n from pop)") + "select slot // 3 as slot, arg_max(ind_id, struct_pack(f := fitness, i := -ind_id)) as ind_id from sl, n join pl on p = floor(u * n)::bigint group by 1",
         "truncation": with_(GENES) + "select r - 1 as slot, ind_id from (select ind_id, row_number() over (order by fitness desc, ind_id) as r from pop) where r <= 100",
@@ -593,4 +604,9 @@ def oracle_sql():
         # the SQL of one assignment, with its number of clusters (3, and 6 ordered pairs) replaced
         each = [out[value].replace("% 3", f"% {t}").replace("/ 3", f"/ {t}").replace("/ 6", f"/ {t * (t - 1)}") for t in RULES]
         out[name] = " union all ".join(f"select {t}::bigint as ind_id, {value} from ({sql})" for t, sql in zip(RULES, each, strict=True))
+    out["population_dbcv"] = " union all ".join(f"select {t}::bigint as ind_id, dbcv from ({dbcv_sql('maxmin').replace('% 3', f'% {t}')})" for t in RULES)
+    whole = [out[k] for k in ("rmsstd", "silhouette", "xie_beni", "davies_bouldin", "s_dbw", "twcv", "ftwcv")] + [dbcv_sql("maxmin")]
+    out["full_evaluation"] = "select * from " + " cross join ".join(f"({sql})" for sql in whole)
+    exact = out["class_metrics"].replace("round(", "(").replace(", 6) + 0.0", ") + 0.0")
+    out["class_macros"] = "select " + ", ".join(f"{r(f'sum({c} * n) / sum(n)')} as {c}" for c in ("precision", "recall", "f1", "specificity")) + f" from ({exact}) join (select label % 3 as class, count(*) as n from (select vec_id // 5 as bag, arg_min(label, vec_id) as label from embeddings group by 1) group by 1) using (class)"
     return out

@@ -134,3 +134,17 @@ def write_classification(rows: DataFrame, folder: str, name: str, seconds: float
         whole = whole.join(one)  # one row each
     whole = whole.select(F.lit(name).alias("run"), "rows", "success", "fail", "unclassified", "kappa", "geometric_mean", "auc", F.lit(seconds).cast("double").alias("seconds"))
     write_results(whole, f"{folder}/global")
+
+
+def survey_text(rows: DataFrame, names: list[str] | None = None) -> str:
+    """A survey of clusters (centres.survey) as text: a line of means and one of deviations for each attribute."""
+    found = {(r.cluster, r.dim): r for r in rows.collect()}  # clusters times attributes
+    clusters, dims = sorted({c for c, _ in found}), sorted({d for _, d in found})
+    sizes = {c: next(r.bags for (k, _), r in found.items() if k == c) for c in clusters}
+    cell = lambda v: "" if v is None else f"{v:.4f}"
+    lines = [["Attribute", *("Full data" if c < 0 else str(c) for c in clusters)], ["", *(f"({sizes[c]})" for c in clusters)]]
+    for d in dims:
+        lines.append([names[d] if names else f"x{d}", *(cell(found[c, d].mean) if (c, d) in found else "" for c in clusters)])
+        lines.append(["", *(f"+/-{cell(found[c, d].std)}" if (c, d) in found and found[c, d].std is not None else "" for c in clusters)])
+    widths = [max(len(line[k]) for line in lines) for k in range(len(clusters) + 1)]
+    return "\n".join("  ".join(x.rjust(w) if k else x.ljust(w) for k, (x, w) in enumerate(zip(line, widths, strict=True))).rstrip() for line in lines)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.operators import clusterers, indices, joins, multiobjective, population, ranks
+from satchel.operators import centres, clusterers, evolution, indices, joins, multiobjective, population, ranks, variation
+from satchel.sources import files
 
 
 def sequential_optics(near, min_points, expand_all=False):
@@ -112,3 +113,36 @@ def test_medoid_and_own_centroid_use_their_cluster_only(spark):
     clusters = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "bag_idx long, cluster int")
     assert {(r.bag_idx, r.cluster): r.d for r in indices.to_own_centroid(bags, clusters).collect()} == {(0, 0): 1.0, (1, 0): 0.0, (2, 1): 0.0}
     assert joins.pair_table(bags).count() == 6
+
+
+def test_survey_and_its_text(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 2.0]), (1, [5.0, 4.0]), (2, [7.0, 0.0])], "bag_idx long, x array<double>")
+    clusters = spark.createDataFrame([(0, 0), (1, 1), (2, -2)], "bag_idx long, cluster int")
+    table = centres.survey(rows, clusters)
+    found = {(r.cluster, r.dim): (r.bags, r.instances, r["mean"]) for r in table.collect()}
+    assert found == {(-1, 0): (3, 4, 4.0), (-1, 1): (3, 4, 2.0), (0, 0): (1, 2, 2.0), (0, 1): (1, 2, 2.0), (1, 0): (1, 1, 5.0), (1, 1): (1, 1, 4.0)}
+    text = files.survey_text(table, ["a", "b"]).split("\n")
+    assert text[0].split() == ["Attribute", "Full", "data", "0", "1"] and text[1].split() == ["(3)", "(1)", "(1)"] and text[2].split() == ["a", "4.0000", "2.0000", "5.0000"] and text[3].split() == ["+/-2.5820", "+/-1.4142"]
+
+
+def test_reports_by_frequency_and_in_files(spark, tmp_path):
+    report = evolution.Report(every=2, folder=str(tmp_path), whole=True)
+    for g in range(5):
+        report(g, spark.createDataFrame([(i, [i], float((i * g) % 7)) for i in range(9)], "ind_id long, genotype array<int>, fitness double"), True)
+    assert [r["generation"] for r in report.generations] == [0, 2, 4]
+    last = report.generations[-1]
+    values = sorted(((i * 4) % 7, i) for i in range(9))
+    assert (last["best"], last["worst"], last["median_id"]) == (6, 0, values[4][1]) and last["best_id"] == min(i for v, i in values if v == 6)
+    assert spark.read.option("header", True).csv(str(tmp_path / "generations")).count() == 3
+    assert sorted(p.name for p in tmp_path.glob("population-*")) == [f"population-{g:06d}" for g in (0, 2, 4)]
+
+
+def test_repeated_and_sterile_mutation(spark):
+    add = lambda g, seed, key: F.transform(g, lambda v: v + F.lit(seed % 10))
+    pop = spark.createDataFrame([(i, [0]) for i in range(200)], "ind_id long, genotype array<int>")
+    one = pop.limit(1).select(variation.mutated_repeatedly(add, 3)(F.col("genotype"), 5, F.col("ind_id")).alias("g")).first()
+    assert one.g == [5 + 6 + 7]
+    changed, sterile = variation.mutants(pop, add, 4, 0.3)
+    ids = {r.ind_id for r in changed.collect()}
+    assert 30 < len(ids) < 90 and ids.isdisjoint(r.ind_id for r in sterile.collect()) and changed.count() + sterile.count() == 200
+    assert all(r.genotype == [5] for r in changed.collect())
