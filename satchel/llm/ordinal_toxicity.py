@@ -109,11 +109,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where(usable).select("doc_id", "toxic")
     rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # one row for each labelled id, so that an id with very many rows sends no more than one text
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     texts, marks, left = [], [], sample_bytes
     for r in found.toLocalIterator():
-        if len(r.text) <= left:
-            left -= len(r.text)
+        size = len(r.text.encode())
+        if size <= left:
+            left -= size
             texts.append(r.text)
             marks.append(r.toxic)
     return OrdinalModel().fit(texts, np.array(marks))
@@ -121,7 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, severity (expected grade), grade (most thresholds passed with 0.5 or more), score (P of grade 1
-    or more), predicted (1 if score >= 0.5)."""
+    or more), predicted (1 if score >= 0.5).  A null doc_id counts as not held out."""
     modest_batches(docs.sparkSession)
     model = fit_toxicity(docs, labels, fold() != 1)
     schema = with_fields(docs.select("doc_id").schema, "severity double, grade int, score double, predicted int")
