@@ -202,10 +202,13 @@ def test_mixing_needs_newton(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix_report(rows).collect())) != want
 
 
-def test_mixing_fails_loudly(spark):
-    sources = spark.createDataFrame([([1.0, 5.0], 4.0), ([7.0, 2.0], 3.0)], "words array<double>, target double")
-    with pytest.raises(RuntimeError):
-        mixing.balanced(sources, [0.9, 0.1], 1.5, 2.0, most_steps=1)
+def test_mixing_ends_after_its_steps_and_keeps_targets(spark):
+    words_, target = np.array([[1.0, 5.0], [7.0, 2.0]]), np.array([4.0, 3.0])
+    sources = spark.createDataFrame([(w.tolist(), float(t)) for w, t in zip(words_, target)], "words array<double>, target double")
+    for steps in (0, 1, 150):
+        mu = mixing.balanced(sources, [0.9, 0.1], 1.5, 2.0, most_steps=steps)
+        rates, _ = mixing.source_rates(words_, target, mu, 1.5, 2.0)
+        assert np.isfinite(mu).all() and (words_ * rates).sum(1) == pytest.approx(target)
 
 
 def test_mixing_names_repeats_and_null_ids(spark):
