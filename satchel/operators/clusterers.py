@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..sources.views import long
 from . import ranks
 from .centres import held, mean_centroids, medoids
@@ -27,13 +28,24 @@ def initial_bags(bags: DataFrame, k: int, seed: int = 10) -> DataFrame:
 
 
 def _repaired(bags: DataFrame, found: DataFrame, centres: dict, distance: str) -> DataFrame:
-    """Each empty cluster, in order, takes the bag that is nearest to it."""
-    used = {r[0] for r in found.select("cluster").distinct().collect()}
-    for c in sorted(set(centres) - used):
-        near = assign_nearest(bags, {c: centres[c]}, distance).orderBy("d", "bag_idx").select("bag_idx").first()
-        if near is not None:
-            found = found.withColumn("cluster", F.when(F.col("bag_idx") == near[0], c).otherwise(F.col("cluster")))
-    return found
+    """Each empty cluster, in order, takes the bag that is nearest to it (the lowest index on ties); of one pass over bags."""
+    empty = sorted(set(centres) - {r[0] for r in found.select("cluster").distinct().collect()})
+    if not empty:
+        return found
+    mats = [np.atleast_2d(np.asarray(centres[c], float)) for c in empty]
+    stack, starts = np.concatenate(mats), np.cumsum([0, *(len(m) for m in mats[:-1])])
+
+    def nearest(batches):
+        for pdf in batches:
+            rows = [(c, d, i) for i, b in zip(pdf.bag_idx, pdf.bag, strict=True) for c, d in zip(empty, kernels.against(distance, np.stack(b).astype(float), stack, starts), strict=True)]
+            yield pd.DataFrame(rows, columns=["c", "d", "bag_idx"]).sort_values(["d", "bag_idx"]).groupby("c", as_index=False).first()[["c", "d", "bag_idx"]]
+
+    least = bags.select("bag_idx", "bag").mapInPandas(nearest, "c int, d double, bag_idx long").groupBy("c").agg(F.min(F.struct("d", "bag_idx")).alias("m"))
+    taken = {r.m.bag_idx: r.c for r in least.orderBy("c").collect()}  # a row per empty cluster
+    if not taken:
+        return found
+    to = F.create_map(*(F.lit(v) for pair in taken.items() for v in pair))
+    return found.withColumn("cluster", F.coalesce(F.element_at(to, F.col("bag_idx")), F.col("cluster")).cast("int"))
 
 
 def one_step(bags: DataFrame, clusters: DataFrame, distance: str = "maxmin", repair: bool = True) -> DataFrame:

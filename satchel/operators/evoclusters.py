@@ -19,6 +19,7 @@ from ..sources.views import long
 from . import evolution as E
 from . import indices
 from . import population as P
+from . import ranks
 from . import variation as V
 from .joins import pair_table
 from .lineage import saved
@@ -39,8 +40,7 @@ class Space:
     @cached_property
     def bags(self) -> DataFrame:
         """bag_idx, bag, locus, m (mean instance) and size."""
-        place = (F.row_number().over(Window.orderBy("bag_idx")) - 1).alias("locus")  # a genotype needs one order of all bags
-        order = self.source.select("bag_idx").select("bag_idx", place)
+        order = ranks.numbered(self.source.select("bag_idx"), ["bag_idx"], "locus").withColumn("locus", F.col("locus").cast("int"))  # a genotype needs one order of all bags
         return saved(self.source.select("bag_idx", "bag").join(order, "bag_idx").select("bag_idx", "locus", "bag", bag_mean(F.col("bag")).alias("m"), F.size("bag").alias("size")))
 
     @cached_property

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, draw_array, hamming
@@ -192,8 +192,7 @@ def chc(spark: SparkSession, problem: Problem, length: int, n: int = 40, generat
     pop, d = saved(evaluated(problem, problem.create(spark, n, seed))), length // 4
     for g in range(1, generations + 1):
         s = seed * 1_000_003 + 17 * g
-        order = (F.row_number().over(Window.orderBy(draw(s, F.col("ind_id")), "ind_id")) - 1).cast("long")
-        pairs = P.pairs(pop.withColumn("slot", order)).where(hamming(F.col("a"), F.col("b")) / 2 > d)
+        pairs = P.pairs(ranks.numbered(pop, [draw(s, F.col("ind_id")), "ind_id"], "slot")).where(hamming(F.col("a"), F.col("b")) / 2 > d)
         sons = V.half_uniform(F.col("a"), F.col("b"), draw_array(s, F.lit(length), F.col("pair")))
         rows = pairs.select("pair", F.posexplode(F.array(*sons)).alias("side", "genotype"))
         sired = rows.select((F.lit(g * 10 * n) + F.col("pair") * 2 + F.col("side")).cast("long").alias("ind_id"), "genotype", F.lit(None).cast("double").alias("fitness"))
